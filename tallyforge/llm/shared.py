@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
+#: With this, shuffle files go as soon as the query that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
@@ -40,7 +42,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
