@@ -117,7 +117,8 @@ def filter_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> D
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
     text = F.col("text") if "text" in documents.columns else F.lit(None).cast("string")
     rows = documents.select(own.alias("doc_id"), text.alias("text"))
-    kept = measure(rows, rules).filter("kept")
+    # A filter on an undetermined column stays above the projection; pushed below, it would measure every text again.
+    kept = measure(rows, rules).withColumn("at", F.monotonically_increasing_id()).filter("kept AND at >= 0")
     return kept.select(*[F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
 
