@@ -76,6 +76,8 @@ def shard(documents: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RA
     tops = tops.select("range", (F.sum("b").over(along) - F.col("b")).alias("b0"), (F.sum("r").over(along) - F.col("r")).alias("r0"))
     before = sums.join(F.broadcast(tops), "range").select("range", "sub", (F.col("b0") + F.col("b1")).alias("bytes_before"), (F.col("r0") + F.col("r1")).alias("rows_before"))
 
+    before = materialize(before, "before")  # small: a row for each range and range_rows; Spark sees its size and picks the join
+
     order = Window.partitionBy("range", "sub").orderBy("key", "size", "text_crc32")
     placed = ranged.join(before, ["range", "sub"]).select(
         "doc_id", "size", "text_crc32", "n",
