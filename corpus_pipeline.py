@@ -7,6 +7,7 @@ as Parquet and read again as the next stage's docs. All but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm import packing, quality, repeats, simhash
 from tallyforge.llm.shared import materialize
@@ -23,8 +24,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without the passages that a smaller doc_id holds as well."""
-    return repeats.dedup_text(docs)
+    """Every document stays, without the passages that a smaller doc_id holds as well; n_chars follows the text."""
+    left = repeats.dedup_text(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in left.columns else left
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -539,6 +539,9 @@ def dedup_text(documents: DataFrame, **limits: int) -> DataFrame:
     found = changes(documents, True, **limits).filter("n_removed > 0").dropDuplicates(["doc_id", "rk"])
     found = materialize(found.select(F.col("doc_id").alias("r_id"), F.col("rk").alias("r_rk"), F.col("left").alias("r_left")), "left")
     release(documents.sparkSession)
-    key = (F.col("doc_id").cast("long") == F.col("r_id")) & (row_key(F.coalesce("text", F.lit(""))) == F.col("r_rk"))
-    text = F.when(F.col("r_id").isNotNull(), F.col("r_left")).otherwise(F.col("text"))
-    return documents.join(found, key, "left").select(*[text.alias(c) if c == "text" else documents[c] for c in documents.columns])
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
+    wide = documents.select(F.col("doc_id").cast("long").alias("d_id"), row_key(F.coalesce("text", F.lit(""))).alias("d_rk"), own.alias("own"))
+    met = wide.join(found, (F.col("d_id") == F.col("r_id")) & (F.col("d_rk") == F.col("r_rk")), "left")
+    at = documents.columns.index("text")
+    text = F.when(F.col("r_id").isNotNull(), F.col("r_left")).otherwise(F.col(f"own.c{at}"))
+    return met.select(*[(text if i == at else F.col(f"own.c{i}")).alias(c) for i, c in enumerate(documents.columns)])
