@@ -85,7 +85,8 @@ def measure(documents: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: l
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         stop_count.cast("long").alias("n_stop_words"),
-        F.array_sort(windows).alias("sorted_windows"),
+        # An undetermined column keeps later filters above this projection; pushed below, they would measure texts again.
+        F.when(F.monotonically_increasing_id() >= 0, F.array_sort(windows)).alias("sorted_windows"),
     )
     same = lambda x, j: F.get("sorted_windows", j)["h"] == x["h"]
     found = F.filter(
@@ -117,8 +118,7 @@ def filter_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> D
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
     text = F.col("text") if "text" in documents.columns else F.lit(None).cast("string")
     rows = documents.select(own.alias("doc_id"), text.alias("text"))
-    # A filter on an undetermined column stays above the projection; pushed below, it would measure every text again.
-    kept = measure(rows, rules).withColumn("at", F.monotonically_increasing_id()).filter("kept AND at >= 0")
+    kept = measure(rows, rules).filter("kept")
     return kept.select(*[F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
 
