@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, registry, texts  # noqa: F401  (importing a module registers its queries)
+from . import analytics, episodes, registry, texts  # noqa: F401  (importing a module registers its queries)
 
 
 def queries() -> dict[str, registry.Query]:
