@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CALL = "struct<name:string,arguments:string>"
 TURN = f"struct<role:string,content:string,tool_calls:array<{CALL}>,reasoning:string,completion_tokens:bigint,truncated:boolean>"
 
 #: One attempt of a model at a task. Free-form objects are JSON text and are read as VARIANT where they are used.
-TRIAL = T._parse_datatype_string(
+TRIAL = (
     "task_id string, module string, axis string, prompt string, system_prompt string, difficulty string, tier string, band string, "
     "tools_schema array<string>, expected string, response_raw string, "
     f"turns array<{TURN}>, final_state string, det_score double, success boolean, det_success boolean, det_breakdown string, "
@@ -19,17 +20,26 @@ TRIAL = T._parse_datatype_string(
     "malformed_tool_call boolean, duration_seconds double, llm_score double, llm_reasoning string, judge_anchor_det double, "
     "judge_blocked_by string, error string, infra_error boolean, raw_api_responses array<string>, task_hash string, world_hash string"
 )
-RUN = T._parse_datatype_string(
+RUN = (
     "model string, endpoint string, timestamp string, duration_seconds double, bench_version string, fast boolean, profile string, "
     "trials bigint, thinking boolean, temperature double, max_tokens bigint, seed bigint, sampling string, sandbox_backend string, "
     "python_version string, max_tokens_override boolean, concurrency bigint, served_context bigint, task_set_hash string, task_count bigint"
 )
-RESULT_FILE = T.StructType([T.StructField("meta", RUN), T.StructField("results", T.ArrayType(TRIAL))])
-TASK = T._parse_datatype_string(
+
+
+
+def struct(ddl: str) -> str:
+    """A table's columns as the fields of a struct."""
+    return "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl) + ">"
+
+
+#: A result file: the run's settings and its trials, in order.
+RESULT_FILE = f"meta {struct(RUN)}, results array<{struct(TRIAL)}>"
+TASK = (
     "id string, module string, axis string, prompt string, system_prompt string, difficulty string, tier string, band string, fast boolean, "
     "max_tokens bigint, answer_type string, expected string, constraints array<string>, tools array<string>, optimal_turns bigint, task_hash string, world_hash string"
 )
-MODEL = T._parse_datatype_string("name string, params_b double, active_b double, arch string, family string, variant_of string, base_model string, notes string")
+MODEL = ("name string, params_b double, active_b double, arch string, family string, variant_of string, base_model string, notes string")
 
 #: What a missing value means, by column.
 TRIAL_DEFAULTS = {

@@ -51,8 +51,9 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
     file = Path(path)
     entries = (yaml.safe_load(file.read_text()) or {}).get("models", []) if file.exists() else []
-    rows = [tuple(None if e.get(f.name) is None else float(e[f.name]) if f.dataType.typeName() == "double" else str(e[f.name]) for f in schema.MODEL) for e in entries if e.get("name")]
-    return spark.createDataFrame(rows, schema.MODEL)
+    kinds = [c.split() for c in schema.MODEL.split(", ")]
+    value = lambda e, c, t: None if e.get(c) is None else float(e[c]) if t == "double" else str(e[c])
+    return spark.createDataFrame([tuple(value(e, c, t) for c, t in kinds) for e in entries if e.get("name")], schema.MODEL)
 
 
 def load_tasks(spark: SparkSession, folder: str, modules: list[str] | None = None, fast: bool = False) -> DataFrame:
