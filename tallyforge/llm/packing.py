@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, release, small_batches
 
-CAPACITY, END_ID = 2048, 0
+CAPACITY, END_ID, PART_ROWS = 2048, 0, 500_000
 #: A text that holds this goes to the tokenizers library itself, which gives it an id of its own.
 SPECIAL = "<|endoftext|>"
 _loaded: dict[tuple[str, str], tuple] = {}
@@ -242,10 +242,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, json_path: str | None =
     spark = documents.sparkSession
     cut = materialize(pieces(documents, capacity, json_path, ranks_path), "pieces")
     # The rank among pieces of one length: any length may be common, so each is ranked in parts, with the parts' offsets.
-    # A part holds the pieces whose hash falls to it; there are as many parts as partitions of rows.
-    parts = max(8, cut.rdd.getNumPartitions() * 4)
+    # A part holds the pieces of a length whose hash falls to it; more pieces make more parts.
+    parts = max(8, cut.count() // PART_ROWS)
     keyed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(parts)))
-    sums = materialize(keyed.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
+    sums = keyed.groupBy("length", "part").agg(F.count("*").alias("n"))
     # At most `capacity` rows reach the driver.
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = plan(histogram, capacity).runs()
