@@ -65,7 +65,6 @@ def shard(documents: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RA
     # One row for each of the ranges that the splitters bound.
     sub = F.pmod(F.xxhash64("key", "size", "text_crc32"), F.col("parts"))
     ranged = ranged.join(F.broadcast(full), "range").withColumn("sub", sub).drop("parts")
-    ranged = materialize(ranged, "ranged")
 
     # Parts grow with the rows, one for range_rows of them; their totals are summed in two steps, along ranges and within.
     sums = ranged.groupBy("range", "sub").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.sum("n").alias("r"))
@@ -91,7 +90,6 @@ def shard(documents: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RA
         F.least(F.floor(middle.cast("decimal(38,0)") * shards / F.lit(max(2 * total, 1)).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int").alias("shard"),
         (F.col("first_row") + F.col("copy")).alias("row"),
     )
-    copies = materialize(copies, "placed")
     firsts = copies.groupBy("shard").agg(F.min("row").alias("first"))  # a row for each shard
     return copies.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"),
