@@ -299,7 +299,7 @@ def s10_probe_cycles(spark, sf_dir):
     return S.cycles_for(e.select(F.when(F.col("event_id") % 9 == 0, "torn {").otherwise(line).alias("value")), "click")
 
 
-@entry("SELECT i - 1 AS pos, 'Log entry ' || CAST(i + 100 AS VARCHAR) || ': subsystem ' || CAST((i + 100) * 7 % 1000 AS VARCHAR) || ' reported nominal status with no anomalies detected.' AS line FROM range(1, 1335) t(i)")
+@entry("SELECT i - 1 AS pos, 'Log entry ' || CAST(i + 100 AS VARCHAR) || ': routine system check completed for node ' || CAST((i + 100) * 7 % 1000 AS VARCHAR) || ' with nominal status and no anomalies recorded across all monitored subsystems.' AS line FROM range(1, 742) t(i)")
 def haystack_filler(spark, sf_dir):
     return H.filler(spark, 20_000, 100)
 

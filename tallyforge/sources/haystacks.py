@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILLER = "Log entry {i}: subsystem {n} reported nominal status with no anomalies detected."
+# Fixed value: the plain filler's line.
+FILLER = "Log entry {i}: routine system check completed for node {n} with nominal status and no anomalies recorded across all monitored subsystems."
 
 
 def filler(spark: SparkSession, target_tokens: int, start: int = 0, template: str = FILLER) -> DataFrame:
@@ -29,3 +33,27 @@ def with_needles(lines: DataFrame, needles: list[tuple[str, float]], count: int)
     extra = spark.createDataFrame(rows, "pos double, line string")
     both = lines.select(F.col("pos").cast("double").alias("pos"), "line").unionByName(extra)
     return both.orderBy("pos")
+
+
+def needles(spec: dict[str, Any]) -> list[tuple[str, float]]:
+    """What a spec hides, with depths, in order of insertion: one needle among distractors, a chain of hops, or counted keywords."""
+    spread = lambda items, low, share, by: [(x, low + share * (j / max(1, by))) for j, x in enumerate(items)]
+    decoys = spec.get("distractors", [])
+    kind = spec.get("type", "single")
+    if kind == "multi_hop":
+        chain, latent = spec["chain"], spec.get("latent", [])
+        links = spread(chain, 0.1, 0.8, len(chain) - 1) if len(chain) > 1 else [(x, 0.5) for x in chain]
+        hidden = [(x, 0.2 + 0.6 * (j + 1) / (len(latent) + 1)) for j, x in enumerate(latent)]
+        return links + hidden + spread(decoys, 0.15, 0.6, len(decoys))
+    if kind == "aggregation":
+        counts = sorted(spec["inject"].items())
+        mentions = [f"Note: the keyword {word} is mentioned here." for word, n in spec["inject"].items() for _ in range(n)]
+        random.Random(repr(counts)).shuffle(mentions)  # mixed, and the same for the same spec
+        return [(x, (j + 1) / (len(mentions) + 1)) for j, x in enumerate(mentions)]
+    return spread(decoys, 0.15, 0.6, len(decoys)) + [(spec["needle"], spec.get("position", 0.5))]
+
+
+def build(spark: SparkSession, spec: dict[str, Any], start: int = 0) -> DataFrame:
+    """The lines of a spec's haystack, in order."""
+    lines = filler(spark, spec.get("filler_tokens", 8000), start)
+    return with_needles(lines, needles(spec), lines.count())

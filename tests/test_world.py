@@ -101,6 +101,15 @@ def test_needles_sit_at_their_depths(spark):
     assert len(got) == n + 3 and got[0] == "FIRST" and got[-1] == "LAST" and abs(got.index("MIDDLE") - len(got) / 2) <= 2
 
 
+def test_specs_hide_what_they_say(spark):
+    hop = {"type": "multi_hop", "chain": ["A", "B", "C"], "latent": ["L"], "distractors": ["D"], "filler_tokens": 900}
+    got = [r["line"] for r in haystacks.build(spark, hop).collect() if len(r["line"]) == 1]
+    assert sorted(got) == ["A", "B", "C", "D", "L"] and got.index("A") < got.index("B") < got.index("C")
+    counted = haystacks.needles({"type": "aggregation", "inject": {"x": 3, "y": 2}})
+    assert len(counted) == 5 and [d for _, d in counted] == sorted(d for _, d in counted) and sum("x is" in t for t, _ in counted) == 3
+    assert haystacks.needles({"needle": "N", "distractors": ["p", "q"]}) == [("p", 0.15), ("q", 0.15 + 0.6 / 2), ("N", 0.5)]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     schema = spark.read.parquet(f"{DATA}/events.parquet").schema
     rows = live.read_events(spark, DATA, schema)
