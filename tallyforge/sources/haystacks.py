@@ -26,10 +26,12 @@ def filler(spark: SparkSession, target_tokens: int, start: int = 0, template: st
 def with_needles(lines: DataFrame, needles: list[tuple[str, float]], count: int) -> DataFrame:
     """Lines with needles at their depths (0 is the start, 1 the end), in the order given; positions are new."""
     spark = lines.sparkSession
-    rows, n = [], count
-    for k, (text, depth) in enumerate(needles):
-        rows.append((float(min(n, max(0, int(n * depth)))) - 0.5 + k / (len(needles) + 1) / 2, text))
-        n += 1
+    placed: list[tuple[int, str]] = []  # (place in the final document, needle)
+    for n, (text, depth) in enumerate(needles, count):
+        at = min(n, max(0, int(n * depth)))
+        placed = [(p + (p >= at), t) for p, t in placed] + [(at, text)]
+    # A needle at final place p, the k-th of its kind, has p - k lines before it.
+    rows = [(p - k - 0.5 + k / (len(placed) + 1) / 2, t) for k, (p, t) in enumerate(sorted(placed))]
     extra = spark.createDataFrame(rows, "pos double, line string")
     both = lines.select(F.col("pos").cast("double").alias("pos"), "line").unionByName(extra)
     return both.orderBy("pos")
