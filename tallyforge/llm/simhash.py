@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, release, small_batches, text_bytes, unsigned_hex
 
 SHINGLE, SEED, THRESHOLD, LIMIT = 3, 42, 3, 4096
+EDGES_A_FILE = 250_000
 ONE = np.uint64(1)
 
 
@@ -253,7 +254,8 @@ def connect(edges: DataFrame) -> DataFrame:
     now = materialize(edges.distinct(), "edges")
     seen = sign(now)
     while seen[0]:
-        new = materialize(star(star(now, True), False), "edges")
+        # Stars never add edges, so the files needn't be more than this many were worth.
+        new = materialize(star(star(now, True), False).coalesce(1 + seen[0] // EDGES_A_FILE), "edges")
         again = sign(new)
         if again == seen:
             break
@@ -269,7 +271,7 @@ def components(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def grouped(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """components() from rows that have their fingerprint fp."""
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connect(links(classes, limit))
     release(prints.sparkSession)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -288,8 +290,6 @@ def keep_first(documents: DataFrame) -> DataFrame:
     found = components(documents)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
     first = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
-    first = materialize(first, "first")
-    release(documents.sparkSession)
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
     wide = documents.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_th"), own.alias("own"))
     met = wide.join(first.distinct(), F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_th") == F.col("k_th")), "left_semi")
