@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, parts_for, release, small_batches, text_bytes
 
 LEAST, KMER = 50, 24
-BLOCK, FLUSH, CAP = 1 << 20, 1_200_000, 4 << 20
+BLOCK, FLUSH, CAP, LEAST_BUCKETS = 1 << 20, 700_000, 4 << 20, 24
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -494,7 +494,7 @@ def changes(documents: DataFrame, with_text: bool, least: int = LEAST, kmer: int
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = parts_for(spark, total, bucket_bytes, 8)
+    buckets = parts_for(spark, total, bucket_bytes, LEAST_BUCKETS)
 
     entries = rows.mapInArrow(index_rows(buckets, least, kmer, block, flush), "bucket int, doc_id long, rk int, data binary")
     resolved = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(resolve_bucket, "doc_id long, rk int, spans binary, wants binary")
