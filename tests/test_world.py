@@ -129,3 +129,18 @@ def test_duplicate_trials_are_taken_once(spark, tmp_path):
     rows = live.read_events(spark, DATA, schema)
     live.run_to_end(live.once(rows.union(rows), "event_id"), "once", str(tmp_path / "c"), "append")
     assert spark.table("once").count() == fixtures.table(spark, DATA, "events").count()
+
+
+def test_gate_and_live_episodes(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    runs = [("dead", True)] * 6 + [("fine", True)] * 4 + [("fine", False)] * 3 + [("short", True)] * 3
+    spark.createDataFrame(runs, "model string, dead boolean").coalesce(1).write.parquet(str(tmp_path / "runs"))
+    rows = spark.readStream.schema("model string, dead boolean").parquet(str(tmp_path / "runs"))
+    live.run_to_end(live.dead_gate(rows), "gate", str(tmp_path / "g"), "append")
+    assert {r["model"]: r["abort"] for r in spark.table("gate").collect()} == {"dead": True, "fine": False}
+    calls = [(e, p, "kv_set", json.dumps({"key": "k", "value": p})) for e in range(3) for p in range(4)] + [(e, 9, "kv_get", '{"key": "k"}') for e in range(3)]
+    spark.createDataFrame(calls, "episode long, pos long, name string, arguments string").coalesce(1).write.parquet(str(tmp_path / "calls"))
+    stream = spark.readStream.schema("episode long, pos long, name string, arguments string").parquet(str(tmp_path / "calls"))
+    live.run_to_end(live.live_episodes(stream), "played", str(tmp_path / "e"), "update")
+    got = {r["episode"]: json.loads(r["result"])["value"] for r in spark.table("played").filter("pos = 9").collect()}
+    assert got == {0: 3, 1: 3, 2: 3}
