@@ -6,7 +6,9 @@ speaks by Viterbi; each recovered turn is then rendered canonically, without its
 (thousandths of a nat), so that results don't depend on how work is divided.
 
 A conversation may hold any share of all rows. It is cut into blocks; a block's six by six matrix of best scores between
-its ends is all that its conversation needs to settle the states at the cuts, and then every block is decoded by itself.
+its ends, and the order in which ties fall, are all that its conversation needs to settle the states at the cuts, and then
+every block is decoded by itself. The pieces of a turn that goes on over cuts are joined before anything is trimmed, so that
+every row is a whole turn (continues, which older readers know, is always false).
 
 Defined cases: a null text is an empty line; a null turn comes first; a null conv_id is a conversation like another; equal
 rows (conv_id, turn, text) are one chunk; chunks of one turn number are in the order of their texts' hashes; ties between
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, small_batches
@@ -90,14 +92,30 @@ def emissions(lines: list[tuple[str, bool]]) -> np.ndarray:
     return np.array([emission(*x) for x in lines], np.int64)
 
 
-def matrix(e: np.ndarray, first: bool) -> np.ndarray:
-    """Best scores from each state before the block to each state at its end; before the first block all are as START."""
+def ranked(e: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores from each state before the block to each state at its end, and how these ways rank among ties.
+
+    Before the first block all are as START. viterbi() goes backwards and takes the first of equal ways; of two ways to one
+    end the lower ranked is the one that it would take if both were best.
+    """
     v = np.full((6, 6), NEVER, np.int64)
     np.fill_diagonal(v, 0)
+    rank = np.repeat(np.arange(6), 6).reshape(6, 6)
     for i, row in enumerate(e):
-        v = (np.broadcast_to(START, (6, 6)) if first and i == 0 else (v[:, :, None] + T).max(1)) + row
+        if first and i == 0:
+            v = np.broadcast_to(START, (6, 6)) + row
+        else:
+            ways = v[:, :, None] + T
+            best = ways.argmax(1)
+            v = np.take_along_axis(ways, best[:, None], 1)[:, 0] + row
+            rank = (best * 6 + np.take_along_axis(rank, best, 1)).argsort(0).argsort(0)
         v = np.maximum(v, NEVER)
-    return v
+    return v, rank
+
+
+def matrix(e: np.ndarray, first: bool) -> np.ndarray:
+    """Best scores from each state before the block to each state at its end."""
+    return ranked(e, first)[0]
 
 
 def viterbi(e: np.ndarray, entry: int | None = None, end: int | None = None) -> list[int]:
@@ -129,11 +147,15 @@ def settle_ends(group: pa.Table) -> pa.Table:
     ends: list[tuple[int | None, int]] = []
     for k in range(len(rows) - 1, -1, -1):
         m = np.frombuffer(rows[k]["matrix"], np.int64).reshape(6, 6)
-        before = int((forward[k - 1] + m[:, at]).argmax()) if k else None
+        before = None
+        if k:
+            scores = forward[k - 1] + m[:, at]
+            equal = np.flatnonzero(scores == scores.max())
+            before = int(equal[np.frombuffer(rows[k]["ranks"], np.int8).reshape(6, 6)[equal, at].argmin()])
         ends.append((before, at))
         at = before
     ends.reverse()
-    out = group.schema.remove(group.schema.get_field_index("matrix"))
+    out = pa.schema([f for f in group.schema if f.name not in ("matrix", "ranks")])
     columns = [pa.array([r[f.name] for r in rows], f.type) for f in out]
     return pa.Table.from_arrays([*columns, pa.array([a for a, _ in ends], pa.int32()), pa.array([b for _, b in ends], pa.int32())], [*out.names, "entry", "exit"])
 
@@ -162,21 +184,26 @@ def lines_of(rows: list[dict]) -> list[tuple[str, bool]]:
 
 def block_matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, rows in blocks(batches):
-        m = matrix(emissions(lines_of(rows)), bool(rows[0]["first"]))
-        yield pa.RecordBatch.from_pylist([dict(zip(KEYS, key, strict=True)) | {"matrix": m.tobytes()}], MATRIX)
+        m, rank = ranked(emissions(lines_of(rows)), bool(rows[0]["first"]))
+        yield pa.RecordBatch.from_pylist([dict(zip(KEYS, key, strict=True)) | {"matrix": m.tobytes(), "ranks": rank.astype(np.int8).tobytes()}], MATRIX)
 
 
-MATRIX = pa.schema([("conv_id", pa.int64()), ("g", pa.int64()), ("sub", pa.int64()), ("part", pa.int64()), ("matrix", pa.binary())])
-TURN = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("line", pa.int64()), ("role", pa.string()), ("continues", pa.bool_()), ("text", pa.string()), ("rendered", pa.string())])
+MATRIX = pa.schema([("conv_id", pa.int64()), ("g", pa.int64()), ("sub", pa.int64()), ("part", pa.int64()), ("matrix", pa.binary()), ("ranks", pa.binary())])
+PIECE = pa.schema([
+    ("conv_id", pa.int64()), ("g", pa.int64()), ("sub", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("turn", pa.int64()), ("line", pa.int64()),
+    ("role", pa.string()), ("begins", pa.bool_()), ("last", pa.bool_()), ("text", pa.string()),
+])
+PIECES = "conv_id long, g long, sub long, part long, n long, turn long, line long, role string, begins boolean, last boolean, text string"
 
 
 def decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The turns of each block, untrimmed; the first may go on from the block before, the last over the block's end."""
     out: list[dict] = []
-    for (conv, *_), rows in blocks(batches):
+    for key, rows in blocks(batches):
         lines = lines_of(rows)
         states = viterbi(emissions(lines), rows[0]["entry"], rows[0]["exit"])
         places = [(r["turn"], i) for r in rows for i in range((r["text"] or "").count("\n") + 1)]
-        at = 0
+        at = n = 0
         while at < len(lines):
             role, begins = STATES[states[at]]
             end = at + 1
@@ -185,19 +212,34 @@ def decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             texts = [line for line, _ in lines[at:end]]
             if begins and marker(texts[0])[0] == role:
                 texts[0] = texts[0][marker(texts[0])[1] :]
-            text = "\n".join(texts).strip("\n")
-            out.append({"conv_id": conv, "turn": places[at][0], "line": places[at][1], "role": role, "continues": not begins, "text": text, "rendered": render(role, text, not begins)})
-            at = end
+            turn, line = places[at]
+            out.append(dict(zip(KEYS, key, strict=True)) | {"n": n, "turn": turn, "line": line, "role": role, "begins": begins, "last": end == len(lines), "text": "\n".join(texts)})
+            at, n = end, n + 1
         if len(out) >= 2000:
-            yield pa.RecordBatch.from_pylist(out, TURN)
+            yield pa.RecordBatch.from_pylist(out, PIECE)
             out = []
     if out:
-        yield pa.RecordBatch.from_pylist(out, TURN)
+        yield pa.RecordBatch.from_pylist(out, PIECE)
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """Whole turns from the pieces of blocks. A turn that crosses cuts is the last of the block where it begins, and is known by that block."""
+    inner = pieces.filter("begins AND NOT last")
+    edges = pieces.filter("NOT begins OR last")
+    order = Window.partitionBy("conv_id").orderBy("g", "sub", "part", "n")
+    start = F.last(F.when(F.col("begins"), F.struct("g", "sub", "part", "turn", "line")), ignorenulls=True).over(order)
+    owners = edges.select(*KEYS, "n", "begins", "turn", "line").select(*[F.col(k).alias(f"o_{k}") for k in (*KEYS, "n")], start.alias("start"))
+    same = [edges[k].eqNullSafe(owners[f"o_{k}"]) for k in (*KEYS, "n")]
+    piece = F.struct("g", "sub", "part", "n", "text")
+    crossing = edges.join(owners, same).groupBy("conv_id", "start", "role").agg(F.array_sort(F.collect_list(piece)).alias("found"))
+    crossing = crossing.select("conv_id", "start.turn", "start.line", "role", F.array_join(F.col("found.text"), "\n").alias("text"))
+    return inner.select(*crossing.columns).unionByName(crossing)
 
 
-def render(role: str, text: str, continues: bool = False) -> str:
-    """The canonical form of a turn; one that goes on from the block before has no head."""
-    return f"{text}\n" if continues else f"<|{role}|>\n{text}\n"
+def rendered(turns: DataFrame) -> DataFrame:
+    """Turns without blank lines at their ends, and their canonical form."""
+    found = turns.withColumn("text", F.btrim("text", F.lit("\n")))
+    return found.select("conv_id", "turn", "line", "role", F.lit(False).alias("continues"), "text", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("rendered"))
 
 
 def parse(chunks: DataFrame, turns: int = TURNS, rows: int = ROWS) -> DataFrame:
@@ -223,13 +265,15 @@ def parse(chunks: DataFrame, turns: int = TURNS, rows: int = ROWS) -> DataFrame:
     several = materialize(several, "several")
     in_parts = cut.join(several, cut.conv_id.eqNullSafe(several.s_conv)).withColumn("first", first == F.col("f"))
     dealt = in_parts.select(*KEYS, "turn", "h", "text", "first").repartition(*KEYS).sortWithinPartitions(*order)
-    matrices = dealt.mapInArrow(block_matrices, "conv_id long, g long, sub long, part long, matrix binary")
+    matrices = dealt.mapInArrow(block_matrices, "conv_id long, g long, sub long, part long, matrix binary, ranks binary")
     ends = matrices.groupBy("conv_id").applyInArrow(settle_ends, "conv_id long, g long, sub long, part long, entry int, exit int")
     ends = materialize(ends, "ends").select(*[F.col(k).alias(f"e_{k}") for k in KEYS], "entry", "exit")
+    decoded = lambda d: d.repartition(*KEYS).sortWithinPartitions(*order).mapInArrow(decode_blocks, PIECES)
+    columns = [*KEYS, "turn", "h", "text"]
     same = [cut[k].eqNullSafe(ends[f"e_{k}"]) for k in KEYS]
-    full = cut.join(ends, same, "left").select(*KEYS, "turn", "h", "text", "entry", "exit")
-    ddl = "conv_id long, turn long, line long, role string, continues boolean, text string, rendered string"
-    return full.repartition(*KEYS).sortWithinPartitions(*order).mapInArrow(decode_blocks, ddl)
+    pieces = materialize(decoded(cut.join(ends, same).select(*columns, "entry", "exit")), "pieces")
+    alone = cut.join(several, cut.conv_id.eqNullSafe(several.s_conv), "left_anti").select(*columns, F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("exit"))
+    return rendered(decoded(alone).select("conv_id", "turn", "line", "role", "text").unionByName(joined(pieces)))
 
 
 #: How raw transcripts mark speakers, by conversation.

@@ -1,6 +1,7 @@
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tallyforge.llm import chat
@@ -64,3 +65,38 @@ def test_markers(line, role):
 
 def test_empty(spark):
     assert chat.parse(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0
+
+
+def test_turns_over_cuts_keep_their_blank_lines(spark):
+    rows = [(1, 0, "Human: hello\n\n"), (1, 1, "and more"), (1, 2, "\n\n"), (1, 3, "\nthe end\n\n"), (1, 4, "AI: yes\n"), (1, 5, "\n"), (1, 6, "Human: bye\n")]
+    rows += [(2, None, "User: first\n\n"), (2, 0, "second\n"), (None, 0, "Q: x\n\n"), (None, 1, "\ny"), (3, 5, "one\n\n"), (3, 5, "two\n\n"), (3, 5, "three\n\n"), (3, 6, "four\n\n")]
+    chunks = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    whole = chat.parse(chunks).collect()
+    assert not any(r["continues"] for r in whole)
+    assert [r["text"] for r in whole if r["conv_id"] == 1 and r["turn"] == 0] == ["hello\n\n\nand more\n\n\n\n\nthe end"]
+    assert [r["text"] for r in whole if r["conv_id"] == 2] == ["first\n\n\nsecond"]
+    for turns, most in ((1, 20_000), (2, 20_000), (1000, 1)):
+        parts = chat.parse(chunks, turns, most).collect()
+        assert plain(parts) == plain(whole) and not any(r["continues"] for r in parts)
+
+
+def test_cuts_change_no_row(spark):
+    chunks = chat.transcribe(spark.read.parquet(f"{DATA}/conversations.parquet")).union(
+        spark.createDataFrame([(10**6, i // 2, f"x{i}\n\n" if i % 5 else "AI: \n\n?") for i in range(90)], "conv_id long, turn long, text string")
+    )
+    whole = plain(chat.parse(chunks).collect())
+    assert plain(chat.parse(chunks, 2, 20_000).collect()) == whole and plain(chat.parse(chunks, 7, 3).collect()) == whole
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_ties_fall_as_in_one_block(seed):
+    random = np.random.default_rng(seed)
+    e = random.integers(-3, 1, (12, 6)) * 500  # so that many ways are equally good
+    cuts = [0, *sorted(random.choice(np.arange(1, 12), 3, replace=False).tolist()), 12]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    rows = []
+    for k, (a, b) in enumerate(spans):
+        m, rank = chat.ranked(e[a:b], k == 0)
+        rows.append({"conv_id": 1, "g": k, "sub": 0, "part": 0, "matrix": m.tobytes(), "ranks": rank.astype(np.int8).tobytes()})
+    ends = chat.settle_ends(pa.Table.from_pylist(rows, chat.MATRIX)).to_pylist()
+    assert sum((chat.viterbi(e[a:b], r["entry"], r["exit"]) for (a, b), r in zip(spans, ends, strict=True)), []) == chat.viterbi(e)
