@@ -41,6 +41,53 @@ def test_sandbox_fails_closed_and_runs_when_asked():
     assert sandbox.run("raise SystemExit(3)", backend="rlimit", allow_unsandboxed=True).status == "error"
 
 
+@pytest.fixture
+def programs(tmp_path, monkeypatch):
+    """Stands in for sandboxes: notes how it is called and runs nothing."""
+
+    def install(name, info=0, image=0):
+        (tmp_path / name).write_text(f"""#!/bin/sh
+[ "$1" = info ] && exit {info}
+[ "$1" = image ] || [ "$1" = pull ] && exit {image}
+echo "{name} $@" > {tmp_path}/called
+cat > {tmp_path}/given
+""")
+        (tmp_path / name).chmod(0o755)
+        monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+        return tmp_path
+
+    return install
+
+
+@pytest.mark.parametrize("name", ["docker", "podman"])
+def test_containers_are_wrapped(programs, name):
+    folder = programs(name)
+    script = f"open('{folder}/ran', 'w').write('x')"
+    done = sandbox.run(script, backend=name)
+    assert (done.status, done.backend) == ("ok", name) and not (folder / "ran").exists()
+    called = (folder / "called").read_text()
+    assert called.startswith(f"{name} run --rm -i") and all(x in called for x in ("--network none", "--read-only", "--memory 256m", "--cap-drop ALL", "--user 65534:65534"))
+    assert (folder / "given").read_text() == script
+
+
+def test_backends_that_do_not_work_fail_closed(programs):
+    folder = programs("docker", info=1)
+    script = f"open('{folder}/ran', 'w').write('x')"
+    assert sandbox.detect() != "docker"
+    assert sandbox.run(script, backend="docker", allow_unsandboxed=True).status == "skipped_no_sandbox"
+    programs("podman", image=1)
+    assert sandbox.run(script, backend="podman", allow_unsandboxed=True).status == "unavailable"
+    assert sandbox.run(script, backend="no such", allow_unsandboxed=True).status == "skipped_no_sandbox"
+    assert not (folder / "ran").exists()
+
+
+def test_sandbox_exec_is_wrapped(programs, monkeypatch):
+    monkeypatch.setattr(sandbox.platform, "system", lambda: "Darwin")
+    programs("sandbox-exec")
+    command = sandbox.wrapped("sandbox-exec", "print(1)", "/scratch", 256, "n")
+    assert sandbox.available("sandbox-exec") and command[:2] == ["sandbox-exec", "-p"] and "(deny network*)" in command[2] and '(subpath "/scratch")' in command[2]
+
+
 @pytest.mark.parametrize(
     ("det", "llm", "passed", "gate", "anchor", "want"),
     [(0.9, 0.9, False, None, None, False), (0.9, 0.96, False, None, None, True), (0.9, 0.96, False, "degenerate", None, False), (0.9, 0.96, False, None, 0.5, False), (0.8333, 0.83, True, None, None, True), (1.0, 0.4, True, None, None, False), (1.0, None, True, None, None, True), (0.5, None, False, None, None, False)],
