@@ -246,9 +246,7 @@ def x6_indel_ratio(spark, sf_dir):
 
 @entry(None)
 def x4_char_loop(spark, sf_dir):
-    d = P.table(spark, sf_dir, "documents")
-    run = F.concat(F.lit("x "), F.repeat(F.substring("text", 1, 3), 100))
-    return rounded(d.select("doc_id", Z.char_loop_ratio(F.when(F.col("doc_id") % 2 == 0, run).otherwise(F.col("text"))).alias("char_loop")))
+    return rounded(P.table(spark, sf_dir, "documents").select("doc_id", Z.char_loop_ratio(F.col("text")).alias("char_loop")))
 
 
 @entry(None)

@@ -115,3 +115,12 @@ def test_extract_code():
     two = "```python\nimport math\n```\ntext\n```python\ndef f(x):\n    return math.sqrt(x)\n```\n```json\n{}\n```"
     assert R.extract_code(two) == "import math\n\ndef f(x):\n    return math.sqrt(x)"
     assert R.extract_code("```python\ndef f():\n    return 1") == "def f():\n    return 1" and R.extract_code("no code") == ""
+
+
+def test_char_loop_reads_whole_texts(spark, tmp_path):
+    from tallyforge.plans import texts
+
+    made_up = {1: "x " + "20s" * 100, 2: "x " + "20s" * 100, 3: "plain words only", 4: "plain words only", 6: "a b " + "q" * 199, 8: None, 10: "on and on " + "abcdefg" * 60}
+    spark.createDataFrame(list(made_up.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["char_loop"] for r in texts.x4_char_loop(spark, str(tmp_path)).collect()}
+    assert found == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0, 6: 0.0, 8: 0.0, 10: 1.0}
