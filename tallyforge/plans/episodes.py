@@ -199,11 +199,12 @@ def r18_delta_credit(spark, sf_dir):
 
 @entry(None)
 def r3_factual(spark, sf_dir):
-    """Benchmark items looked for in their neighbours, by containment and by window ratio."""
-    b = X.table(spark, sf_dir, "benchmark")
-    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    met = Z.on_distinct(b.withColumn("needle", F.lower(F.substring("text", 1, 40))).join(other, "item_id"), ["needle", "other"], "ratio", Z.window)
-    return rounded(met.select("item_id", R.factual(F.col("text"), F.col("needle")).alias("held"), R.factual(F.col("other"), F.col("needle"), F.col("ratio")).alias("close")))
+    """Whole benchmark items looked for in themselves, by containment, and in all other items, by containment and window ratio."""
+    b = X.table(spark, sf_dir, "benchmark").withColumn("needle", F.lower("text"))
+    other = b.select(F.col("item_id").alias("other_id"), F.lower("text").alias("other"))
+    met = Z.on_distinct(b.join(other, F.col("item_id") != F.col("other_id"), "left"), ["needle", "other"], "ratio", Z.window)
+    close = F.coalesce(R.factual(F.col("other"), F.col("needle"), F.col("ratio")), F.lit(0.0))
+    return rounded(met.groupBy("item_id").agg(F.max(R.factual(F.col("text"), F.col("needle"))).alias("held"), F.max(close).alias("close")))
 
 
 # Maintenance.
