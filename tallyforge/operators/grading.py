@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constraints as C
+from ..functions import files as D
 from ..functions import jsonx as J
 from ..functions import text as X
+from . import maintain as M
 from . import scorers as R
 
 MOST_CHECKS = 2000
@@ -47,24 +49,163 @@ def knowledge(text: Column, kind: Column, answer: Column) -> Column:
     )
 
 
-def grade(answers: DataFrame, bank: DataFrame) -> DataFrame:
+def text_shares(texts: DataFrame, bank: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the share of its task's checks that each text (trial_id, task_id, at, text) meets: null for tasks without checks."""
+    checks = bank.select("task_id", F.col(column).alias("constraints")).filter(F.size("constraints") > 0)
+    own = texts.select(F.struct("trial_id", "at").alias("trial_id"), "task_id", "text")
+    found = fractions(own, checks).select(F.col("trial_id").alias("key"), F.col("fraction").alias(name))
+    return texts.join(found, F.struct("trial_id", "at") == F.col("key"), "left").drop("key")
+
+
+def file_shares(trials: DataFrame, bank: DataFrame) -> DataFrame:
+    """The share of a task's file checks that hold at an episode's end (trials: trial_id, task_id, initial_state, final_state)."""
+    spec = F.from_json(F.get_json_object("expected", "$.file_checks"), "map<string,array<string>>")
+    checks = bank.select("task_id", F.explode(spec).alias("path", "list")).select("task_id", "path", F.explode("list").alias("check"))
+    kinds = [r["check"] for r in checks.select("check").distinct().limit(MOST_CHECKS + 1).collect()]
+    if len(kinds) > MOST_CHECKS:
+        raise ValueError(f"a bank has at most {MOST_CHECKS} different checks")
+    files = lambda c: F.from_json(F.get_json_object(c, "$.files"), "map<string,string>")
+    met = trials.select("trial_id", "task_id", files("final_state").alias("now"), files("initial_state").alias("then")).join(F.broadcast(checks), "task_id")
+    met = met.withColumn("new", F.try_element_at("now", F.col("path"))).withColumn("old", F.coalesce(F.try_element_at("then", F.col("path")), F.lit("")))
+    ok = F.lit(False)
+    for text in kinds:
+        ok = F.when(F.col("check") == text, D.passes(json.loads(text), F.col("new"), F.col("old"))).otherwise(ok)
+    held = F.coalesce(F.col("new") != "", F.lit(False)) & F.coalesce(ok, F.lit(False))
+    return met.groupBy("trial_id").agg(F.avg(held.cast("double")).alias("files"))
+
+
+def grade_episodes(trials: DataFrame, bank: DataFrame) -> DataFrame:
+    """score and passed of tool episodes: single calls, states and loops, told apart by what the task expects."""
+    rows = R.episode_rows(trials)
+    texts = rows.filter("kind = 'loop'").select("trial_id", "task_id", F.explode("landed").alias("l")).select("trial_id", "task_id", F.col("l.at").alias("at"), F.col("l.content").alias("text"))
+    said = rows.filter("kind <> 'simple'").select("trial_id", "task_id", F.lit(-1).cast("long").alias("at"), F.col("said").alias("text"))
+    wanted = bank.withColumn("final_checks", F.from_json(F.get_json_object("expected", "$.final_text_checks"), "array<string>"))
+    marked = text_shares(text_shares(texts.unionByName(said), wanted, "content_checks", "content"), wanted, "final_checks", "final")
+    own = F.when(F.col("at") < 0, F.struct("content", "final"))
+    call = F.when(F.col("at") >= 0, F.struct("at", "content", "final"))
+    # The call whose content is best, and of these the first.
+    best = F.max_by(call, F.when(F.col("at") >= 0, F.struct(F.coalesce("content", F.lit(0.0)).alias("c"), (-F.col("at")).alias("a"))))
+    found = marked.groupBy("trial_id").agg(F.max(own).alias("own"), best.alias("best"))
+    checked = wanted.select("task_id", F.coalesce(F.size("content_checks") > 0, F.lit(False)).alias("has_content"), F.coalesce(F.size("final_checks") > 0, F.lit(False)).alias("has_final"))
+    c = F.col
+    m = rows.join(found, "trial_id", "left").join(file_shares(trials, bank), "trial_id", "left").join(F.broadcast(checked), "task_id")
+    m = m.withColumn("goal_call", c("best").isNotNull() & ~(c("must_last") & (c("best.at") != c("made") - 1)))
+    m = m.withColumn("in_text", c("text_ok") & ~c("goal_call") & ~c("forbidden") & (c("said") != ""))
+    zero = F.lit(0.0)
+    m = m.withColumn("shown", F.coalesce(F.when(c("in_text"), c("own.content")).when(c("goal_call"), c("best.content")), zero))
+    told = F.coalesce(F.when(c("said") != "", c("own.final")).when((c("kind") == "loop") & c("goal_call"), c("best.final")), zero)
+    m = m.withColumn("final", F.when(c("has_final"), told).otherwise(1.0))
+    reached = (c("goal_call") | c("in_text")) & ~c("forbidden")
+    by_loop = [reached, c("made"), c("optimal"), c("loops"), c("early"), c("forbidden")]
+    plain, with_content = (R.loop_tail(*by_loop, content, c("final"), c("in_text")) for content in (None, c("shown")))
+    goal = F.when(c("files").isNull(), c("goal")).when(c("has_state"), (c("goal") + c("files")) / 2).otherwise(c("files"))
+    state = R.state_tail(goal, c("side"), c("made"), c("optimal"), c("loops"), c("final"))
+    pick = lambda i, none, own: F.when(c("kind") == "simple", c(own)).when(c("kind") == "state", F.when(c("forbidden"), none).otherwise(state[i])).when(c("has_content"), with_content[i]).otherwise(plain[i])
+    return m.select("trial_id", pick(0, F.lit(0.0), "score").alias("score"), pick(1, F.lit(False), "passed").alias("passed"))
+
+
+def dialogue_rules(bank: DataFrame) -> DataFrame:
+    """task_id, turn, n_turns, checks and crossing (how many compare with the turn before): rules add up from turn to turn until revoked."""
+    rows = []
+    for task in bank.filter("conversation IS NOT NULL").select("task_id", "conversation").collect():  # a bank is small
+        held: list[dict] = []
+        turns = json.loads(task["conversation"])
+        for i, turn in enumerate(turns):
+            held = [c for c in held if c.get("id") not in turn.get("revokes", [])] if turn.get("revokes") else held
+            held = held + turn.get("constraints", [])
+            plain = [json.dumps(c) for c in held if c.get("type") != "bullets_kept"]
+            rows.append((task["task_id"], i, len(turns), plain, len(held) - len(plain)))
+    return bank.sparkSession.createDataFrame(rows, f"task_id {bank.schema['task_id'].dataType.simpleString()}, turn int, n_turns int, checks array<string>, crossing int")
+
+
+def grade_dialogues(trials: DataFrame, bank: DataFrame) -> DataFrame:
+    """score (the mean share of rules that hold) and passed (all turns are there, and all rules hold) of dialogues. A turn that was cut has no share."""
+    rules, c = dialogue_rules(bank), F.col
+    own = trials.select("trial_id", "task_id", F.from_json("turns", "array<struct<content:string,truncated:boolean>>").alias("turns")).join(F.broadcast(rules), "task_id")
+    said = lambda i: F.coalesce(F.try_element_at("turns", i)["content"], F.lit(""))
+    own = own.select(
+        "trial_id", F.struct("task_id", "turn").alias("task_id"), F.col("turn").alias("at"), "n_turns", F.size("checks").alias("n"), "crossing", F.coalesce(F.size("turns"), F.lit(0)).alias("seen"),
+        said(c("turn") + 1).alias("text"), F.when(c("turn") > 0, F.nullif(said(F.greatest(c("turn"), F.lit(1))), F.lit(""))).alias("before"),
+        F.coalesce(F.try_element_at("turns", c("turn") + 1)["truncated"], F.lit(False)).alias("cut"),
+    )
+    met = text_shares(own, rules.select(F.struct("task_id", "turn").alias("task_id"), "checks"), "checks", "share")
+    share = F.coalesce("share", F.lit(1.0))
+    kept = F.when(C.cross_turn_bullets(c("text"), c("before")), c("crossing")).otherwise(0)
+    full = F.when(c("cut"), 0.0).when(c("crossing") > 0, (F.round(share * c("n")) + kept) / (c("n") + c("crossing"))).otherwise(share)
+    return met.withColumn("share", full).groupBy("trial_id").agg(
+        F.round(F.avg(F.round("share", 4)), 4).alias("score"), ((F.min("share") >= R.FULL) & (F.max("seen") >= F.max("n_turns"))).alias("passed")
+    )
+
+
+def with_columns(df: DataFrame, **types: str) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
+
+
+#: What grade() reads of an answer besides its keys and text, and of a task besides its keys, answer and constraints.
+OF_ANSWER = {"calls": "string", "results": "string", "final_state": "string", "opening": "string", "closing": "string", "turns": "string", "attempts_used": "int"}
+OF_TASK = {
+    "expected": "string", "parallel": "string", "initial_state": "string", "content_checks": "array<string>", "has_tools": "boolean", "conversation": "string", "function_name": "string",
+    "support_code": "string", "test_cases": "string", "regression_cases": "string", "context_files": "string",
+}
+
+
+def grade(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
     """score and passed of each answer (trial_id, task_id, text, truncated, truncation_class).
 
     bank: task_id, module, answer_type, answer, constraints. Knowledge and long-context answers weigh their form in; format
-    answers are their checks, and must parse where JSON is asked for. A module without a rule is an error.
+    and plain adversarial answers are their checks, and must parse where JSON is asked for; what is extracted is matched field
+    by field. Tools, and adversarial tasks with has_tools, are graded as episodes. For these, answers also have, as JSON texts,
+    calls ([{name, arguments}]), results (a list of texts in the order of calls) and final_state, and the texts of the first
+    turn (opening) and of a last turn without calls (closing); the bank has, as JSON texts, expected, parallel and
+    initial_state, and content_checks like constraints. Dialogues have turns ([{content, truncated}], the model's) and the
+    bank's conversation ([{constraints, revokes}]). Code has attempts_used and the bank's function_name, support_code and, as
+    JSON texts, test_cases, regression_cases ([{args, expected}]) and context_files; it runs under limits (as sandbox.run has
+    them), and without a sandbox its score is null. A module without a rule is an error.
     """
+    answers, bank = with_columns(answers, **OF_ANSWER), with_columns(bank, **OF_TASK)
+    module, text = F.col("module"), F.col("text")
+    met = answers.join(F.broadcast(bank.drop("constraints", "content_checks")), "task_id").withColumn("closing", F.when(F.col("truncated"), "").otherwise(F.col("closing")))
+    fields = F.from_json(F.get_json_object("expected", "$.extracted"), "map<string,string>")
+    extracted = (module == "data_extract") | ((module == "format") & F.coalesce(F.size(fields) > 0, F.lit(False)))
+    tooled = (module == "tools") | ((module == "adversarial") & F.coalesce("has_tools", F.lit(False)))
+    met = met.withColumn("way", F.when(tooled, "tools").when(extracted, "extract").when(module.isin("code", "multi_turn_if"), module).otherwise("text"))
     shares = fractions(answers, bank).withColumnRenamed("trial_id", "f_trial")
-    met = answers.join(F.broadcast(bank.drop("constraints")), "task_id")
-    met = met.join(shares, F.col("trial_id") == F.col("f_trial"), "left")
-    text = F.col("text")
+    own = met.filter("way = 'text'").join(shares, F.col("trial_id") == F.col("f_trial"), "left")
     answered = knowledge(text, F.col("answer_type"), F.col("answer"))
     formed = F.when(F.col("fraction").isNull(), answered).otherwise(R.with_constraints(answered, F.col("fraction")))
     parsed = J.parse(text)
     gate = (F.col("answer_type") == "json") & (parsed.isNull() | F.is_variant_null(parsed))
     shaped = F.when(F.coalesce(gate, F.lit(False)), 0.0).otherwise(F.coalesce("fraction", F.lit(0.0)))
     score = (
-        F.when(F.col("module").isin("knowledge", "long_context"), formed).when(F.col("module") == "format", F.round(shaped, 4))
-        .otherwise(F.raise_error(F.concat(F.lit("no rule for module "), F.col("module"))).cast("double"))
+        F.when(module.isin("knowledge", "long_context"), formed).when(module == "format", F.round(shaped, 4))
+        .when(module == "adversarial", F.when(F.col("truncated") | (X.stripped(F.coalesce(text, F.lit(""))) == ""), 0.0).otherwise(F.round(shaped, 4)))
+        .otherwise(F.raise_error(F.concat(F.lit("no rule for module "), module)).cast("double"))
     )
-    final = R.gated(F.col("module"), F.col("truncated"), F.col("truncation_class"), score)
-    return met.withColumn("score", final).select("trial_id", "task_id", "module", "score", (F.col("score") >= R.FULL).alias("passed"))
+    full = (F.col("score") >= R.FULL).alias("passed")
+    by_text = own.withColumn("score", score).select("trial_id", "score", full)
+    by_field = R.score_rows(met.filter("way = 'extract'").select("trial_id", "expected", text.alias("response")), "data_extract").select("trial_id", "score", full)
+    episodes = grade_episodes(met.filter("way = 'tools'"), bank)
+    dialogues, code = grade_dialogues(met.filter("way = 'multi_turn_if'"), bank), R.code_rows(met.filter("way = 'code'"), **limits)
+    scored = by_text.unionByName(by_field).unionByName(episodes).unionByName(dialogues).unionByName(code)
+    final = R.gated(module, F.col("truncated"), F.col("truncation_class"), F.col("score"))
+    cut = (final == 0.0) & (F.col("score") != 0.0)
+    out = met.select("trial_id", "task_id", "module", "truncated", "truncation_class").join(scored, "trial_id", "left")
+    return out.select("trial_id", "task_id", "module", final.alias("score"), (F.col("passed") & ~F.coalesce(cut, F.lit(False))).alias("passed"))
+
+
+def rescore(trials: DataFrame, bank: DataFrame, **limits) -> DataFrame:
+    """Grades stored trials anew where rescore_status() allows it: trials with status, det_score, success and moved.
+
+    trials: as grade()'s answers, with module, error, n_turns, task_hash, prompt, det_score and success; bank: as grade()'s,
+    with task_hash and prompt. Trials that can't be graded, and code without a sandbox (status skipped_sandbox), keep what they
+    had. A judged trial's verdict follows from the new score through judging.
+    """
+    met = M.rescore_status(trials, bank).drop("now_hash", "now_prompt")
+    own = ["trial_id", "task_id", "text", "truncated", "truncation_class", *(c for c in OF_ANSWER if c in trials.columns)]
+    new = grade(met.filter("status = 'rescored'").select(*own), bank.drop("task_hash", "prompt"), **limits)
+    new = new.select("trial_id", F.col("score").alias("new_score"), F.col("passed").alias("new_passed"))
+    out = met.join(new, "trial_id", "left")
+    fresh = F.col("new_score").isNotNull()
+    moved = fresh & ((F.abs(F.col("new_score") - F.col("det_score")) > 1e-9) | (F.col("new_passed") != F.col("success")))
+    status = F.when((F.col("status") == "rescored") & ~fresh, "skipped_sandbox").otherwise(F.col("status"))
+    return out.withColumns({"moved": F.coalesce(moved, fresh), "status": status, "det_score": F.coalesce("new_score", "det_score"), "success": F.coalesce("new_passed", "success")}).drop("new_score", "new_passed")
