@@ -2,7 +2,8 @@
 
 Records are gzip members of their own. The writer notes a member's length in its header (extra field ``sl``), so that the
 reader inflates only as much as holds the record's headers and passes over members that it doesn't want; members without
-that field are inflated and dropped. The reader plans partitions from the archives' sizes, takes equality and IN
+that field are inflated and dropped, and may hold any number of records, as may a whole .warc.gz that was compressed as one
+stream; .warc archives are read as they are. A record that ends too soon is an error. The reader plans partitions from the archives' sizes, takes equality and IN
 predicates on record type and on header columns to itself, and decodes payloads only where the option ``payload`` asks for
 it (the default).
 
@@ -114,38 +115,91 @@ def parse_headers(text: bytes) -> dict[str, str]:
     return out
 
 
-def records_in(stream: BinaryIO, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+class Plain:
+    """Bytes of an archive that isn't compressed, from a place on."""
+
+    def __init__(self, stream: BinaryIO, at: int):
+        self.stream = stream
+        stream.seek(at)
+
+    def more(self) -> bytes:
+        return self.stream.read(1 << 16)
+
+
+class Inflated:
+    """A gzip member's data, piece by piece. at: where the member ends, once it has."""
+
+    def __init__(self, stream: BinaryIO, chunk: bytes):
+        self.stream, self.inflate, self.chunk, self.at = stream, zlib.decompressobj(31), chunk, 0
+
+    def more(self) -> bytes:
+        while not self.inflate.eof:
+            data = self.inflate.decompress(self.inflate.unconsumed_tail or self.chunk or self.stream.read(1 << 16), 1 << 16)
+            ended = not self.inflate.unconsumed_tail and not data and not self.chunk and self.stream.tell() >= self.stream.size()
+            self.chunk = b""
+            if self.inflate.eof:
+                self.at = self.stream.tell() - len(self.inflate.unused_data)
+            elif ended:
+                raise ValueError("a gzip member ends too soon")
+            if data:
+                return data
+        return b""
+
+
+def body_of(headers: dict[str, str], block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("content-type", "") else block
+
+
+def records_of(source: Plain | Inflated, wanted, payload: bool, only_first: bool = False) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The wanted records of a run of bytes, to its end. only_first: it holds one record, whose block needn't be read unless it is wanted."""
+    held = b""
+    while True:
+        # Between records there are empty lines.
+        while not (held := held.lstrip(b"\r\n")):
+            if not (new := source.more()):
+                return
+            held = new
+        while b"\r\n\r\n" not in held:
+            if not (new := source.more()):
+                raise ValueError("a WARC record's headers end too soon")
+            held += new
+        head, _, held = held.partition(b"\r\n\r\n")
+        headers = parse_headers(head)
+        if not head.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        take = wanted(headers)
+        if only_first and not (take and payload):
+            if take:
+                yield headers, None
+            return
+        left, parts = int(headers.get("content-length", "0")), []
+        while left:
+            if not held and not (held := source.more()):
+                raise ValueError("a WARC record's block ends too soon")
+            part, held = held[:left], held[left:]
+            left -= len(part)
+            if take and payload:
+                parts.append(part)
+        if take:
+            yield headers, body_of(headers, b"".join(parts)) if payload else None
+        if only_first:
+            return
+
+
+def records_in(stream: BinaryIO, wanted, payload: bool, gzipped: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the records whose headers are wanted. Others are passed over by their members' lengths."""
     size, at = stream.size(), 0
+    if not gzipped:
+        yield from records_of(Plain(stream, 0), wanted, payload)
+        return
     while at < size:
         stream.seek(at)
         chunk = stream.read(8192)
-        length = None
-        if len(chunk) >= 24 and chunk[3] & 4 and chunk[12:14] == b"sl":
-            length = struct.unpack_from("<I", chunk, 16)[0]
-        inflate = zlib.decompressobj(31)
-        text = inflate.decompress(chunk)
-        while b"\r\n\r\n" not in text and not inflate.eof and (chunk := stream.read(65536)):
-            text += inflate.decompress(chunk)
-        head, _, rest = text.partition(b"\r\n\r\n")
-        headers = parse_headers(head)
-        take = wanted(headers)
-        parts = [rest]
-        if (take and payload) or not length:
-            while not inflate.eof and (chunk := stream.read(1 << 20)):
-                more = inflate.decompress(chunk)
-                if take and payload:
-                    parts.append(more)
-            at = stream.tell() - len(inflate.unused_data)
-        else:
-            at += length
-        if take:
-            body = None
-            if payload:
-                block = b"".join(parts)[: int(headers.get("content-length", "0"))]
-                http = "application/http" in headers.get("content-type", "")
-                body = block.partition(b"\r\n\r\n")[2] if http else block
-            yield headers, body
+        # Members with the field sl are the writer's, of one record each.
+        length = struct.unpack_from("<I", chunk, 16)[0] if len(chunk) >= 24 and chunk[3] & 4 and chunk[12:14] == b"sl" else None
+        source = Inflated(stream, chunk)
+        yield from records_of(source, wanted, payload, bool(length))
+        at = at + length if length else source.at
 
 
 @dataclass
@@ -194,7 +248,7 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for name in partition.names:
             with fs.open_input_file(f"{root}/{name}") as stream:
-                for headers, payload in records_in(stream, wanted, self.payload and "payload" in self.fields):
+                for headers, payload in records_in(stream, wanted, self.payload and "payload" in self.fields, not name.endswith(".warc")):
                     values = {c: headers.get(h) for c, h in HEADERS.items()}
                     values |= {"content_length": int(headers.get("content-length", "0")), "payload": payload}
                     rows.append([values[f] for f in self.fields])

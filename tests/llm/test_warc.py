@@ -93,3 +93,25 @@ def test_unwanted_payloads_are_not_read(tmp_path):
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], DDL)).count() == 0
     assert warc.read(spark, new_path(spark, "none")).count() == 0
+
+
+def test_members_of_many_records_and_plain_archives(spark, tmp_path):
+    records = [warc.record("response", str(i), "u", "d", n, b"\r\n" * (n // 2), None) for i, n in enumerate((0, 10, 300_000, 8, 20_000, 2))]
+    whole = b"".join(records)
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "some.warc.gz").write_bytes(gzip.compress(b"".join(records[:2])) + warc.member(records[2]) + gzip.compress(b"") + gzip.compress(b"".join(records[3:])))
+    (tmp_path / "plain.warc").write_bytes(whole)
+    want = sorted((f"<urn:page:{i}>", n) for i, n in enumerate((0, 10, 300_000, 8, 20_000, 2)))
+    found = warc.read(spark, str(tmp_path))
+    assert sorted(map(tuple, found.select("record_id", F.length("payload")).collect())) == sorted(want * 3)
+    assert found.filter("record_id = '<urn:page:3>'").select("record_type").count() == 3
+    assert warc.read(spark, str(tmp_path), payload=False).count() == 18
+
+
+@pytest.mark.parametrize("name", ["cut.warc", "cut.warc.gz", "member.warc.gz"])
+def test_archives_that_end_too_soon_are_errors(tmp_path, name):
+    data = warc.record("response", "1", "u", "d", 900, bytes(range(225)) * 4, None)
+    data = {"cut.warc": data[:-500], "cut.warc.gz": gzip.compress(data[:-500]), "member.warc.gz": gzip.compress(data)[:-200]}[name]
+    (tmp_path / name).write_bytes(data)
+    with warc.pa.fs.LocalFileSystem().open_input_file(str(tmp_path / name)) as stream, pytest.raises(ValueError, match="too soon"):
+        list(warc.records_in(stream, lambda h: True, True, name.endswith(".gz")))
