@@ -11,8 +11,13 @@ minimizer (the 24-byte substring of smallest hash), and the maximal runs of wind
 2. ``resolve``: minimizers that have one segment are done. Where segments differ, one copy of each is wanted.
 3. ``fetch``: the wanted segments' bytes are cut from the texts and dealt by minimizer.
 4. ``scan``: in each group an enhanced suffix array (suffixes, common prefixes, left neighbours) is scanned with a stack;
-   intervals with different left neighbours are the maximal repeat groups, with all their occurrences. Groups beyond
-   ``cap`` bytes are never held: their windows are compared by aggregation.
+   intervals with different left neighbours are the maximal repeat groups of what was fetched. Groups beyond ``cap``
+   bytes are never held: their windows are compared by aggregation.
+
+Which bytes of each document are repeats is exact. Repeat groups with all their occurrences are not an output: an interval
+holds the fetched copy of each different segment alone (equal segments, and so exact copies of whole documents, are settled
+by hash in steps 1 and 2 and give no interval), and it reaches over one segment. To give groups, every settled copy would
+have to be shuffled again by its hash and overlapping groups be chained over whole documents; nothing here does that.
 
 Defined cases: a null text is empty; a null doc_id is smaller and larger than none, so such rows neither lose nor remove
 anything; rows with one doc_id are no smaller documents to each other; repeated rows get equal results; columns beyond
