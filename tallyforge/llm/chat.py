@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches
+from .shared import materialize, sliced
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]  # (role, begins a turn)
@@ -166,7 +166,7 @@ KEYS = ["conv_id", "g", "sub", "part"]
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows that come sorted, block by block."""
     key, held = None, []
-    for b in batches:
+    for b in sliced(batches):
         for row in b.to_pylist():
             now = tuple(row[k] for k in KEYS)
             if held and now != key:
@@ -244,7 +244,6 @@ def rendered(turns: DataFrame) -> DataFrame:
 
 def parse(chunks: DataFrame, turns: int = TURNS, rows: int = ROWS) -> DataFrame:
     """conv_id, turn and line where it begins, role, continues, text and rendered of every recovered turn."""
-    small_batches(chunks.sparkSession)
     own = chunks.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     own = own.withColumn("h", F.xxhash64("text")).withColumn("g", F.coalesce(F.floor(F.col("turn") / turns), F.lit(-(1 << 62))).cast("long"))
     own = materialize(own, "chunks")

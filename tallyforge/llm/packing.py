@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, release, small_batches
+from .shared import materialize, sliced
 
 CAPACITY, END_ID, PART_ROWS = 2048, 0, 500_000
 #: A text that holds this goes to the tokenizers library itself, which gives it an id of its own.
@@ -55,12 +55,11 @@ def encode(text: str, json_path: str, ranks_path: str) -> np.ndarray:
 
 def pieces(documents: DataFrame, capacity: int = CAPACITY, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """doc_id, th, piece, start, length, ids_crc32 of every piece."""
-    small_batches(documents.sparkSession)
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(2)):
                 ids = np.append(encode(text.as_py() or "", json_path, ranks_path), np.uint32(END_ID)).astype("<u4")
@@ -266,5 +265,4 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, json_path: str | None =
                 offset[at] = slots[i, 2]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    release(spark)
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

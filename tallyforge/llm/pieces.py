@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import sliced
 
 SPACE = "▁"
 REMEMBERED, LONG_WORD = 300_000, 400
@@ -207,12 +207,11 @@ def model(path: str) -> Model:
 
 def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
-    small_batches(documents.sparkSession)
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
+        for b in sliced(batches):
             found = [m.encode(t or "") for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate([*found, np.zeros(0, "<u4")]).astype(np.int32)
@@ -227,7 +226,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
+        for b in sliced(batches):
             texts = [m.decode(np.array(x or [], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -236,12 +235,11 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 def report(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (ids as little-endian unsigned 32-bit numbers), n_bytes and whether decoding gave the text back."""
-    small_batches(documents.sparkSession)
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
+        for b in sliced(batches):
             n, crc, size, same = [], [], [], []
             for text in b.column(1).to_pylist():
                 text = text or ""

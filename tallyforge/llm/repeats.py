@@ -8,11 +8,11 @@ minimizer (the 24-byte substring of smallest hash), and the maximal runs of wind
 1. ``index``: the segments' hashes, packed per bucket of minimizers, are shuffled once (about one entry in 14 bytes).
    Of equal segments all but those of the smallest document are repeats throughout: that is settled within the task
    that reads them where it can be, so a segment in a third of all documents sends one entry a task.
-2. ``resolve``: minimizers that have one segment are done. Where segments differ, one copy of each is wanted.
-3. ``fetch``: the wanted segments' bytes are cut from the texts and dealt by minimizer.
-4. ``scan``: in each group an enhanced suffix array (suffixes, common prefixes, left neighbours) is scanned with a stack;
-   intervals with different left neighbours are the maximal repeat groups of what was fetched. Groups beyond ``cap``
-   bytes are never held: their windows are compared by aggregation.
+2. ``resolve``: minimizers that have one segment are done. Where segments differ, one document's copies of each are wanted.
+3. ``fetch``: the wanted segments' bytes are cut from the texts and dealt by minimizer; those of a crowded minimizer are
+   dealt suffix by suffix, by the suffix's first ``least`` bytes, equal ones combined before they are sent.
+4. ``scan``: of what meets, an enhanced suffix array (suffixes, common prefixes, left neighbours) is scanned with a stack;
+   intervals with different left neighbours are the maximal repeat groups of what was fetched.
 
 Which bytes of each document are repeats is exact. Repeat groups with all their occurrences are not an output: an interval
 holds the fetched copy of each different segment alone (equal segments, and so exact copies of whole documents, are settled
@@ -32,14 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts_for, release, small_batches, text_bytes
+from .shared import materialize, parts_for, sliced, text_bytes
 
 LEAST, KMER = 50, 24
-BLOCK, FLUSH, CAP, LEAST_BUCKETS = 1 << 20, 700_000, 4 << 20, 24
+BLOCK, FLUSH, LEAST_BUCKETS, BUCKET = 1 << 20, 700_000, 12, 12 << 20
+#: More wanted strings than this under one minimizer are dealt suffix by suffix.
+HOT = 1000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -158,8 +161,8 @@ def by_document(doc: np.ndarray, rk: np.ndarray, rows: np.ndarray) -> Iterator[t
 def index_rows(buckets: int, least: int, kmer: int, block: int, flush: int):
     """Rows (doc_id, rk, text) to rows (bucket, doc_id, rk, data): packed entries, or, with a doc_id, settled spans."""
 
-    def emit(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        e = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+    def emit(held: list[dict[str, np.ndarray]]) -> Iterator[tuple]:
+        e = {k: np.concatenate([x.pop(k) for x in held]) for k in list(held[0])}
         order = np.lexsort((e["doc"], e["sh"], e["key"]))
         key, sh, doc = (e[x][order] for x in ("key", "sh", "doc"))
         first = np.ones(len(key), bool)
@@ -169,25 +172,14 @@ def index_rows(buckets: int, least: int, kmer: int, block: int, flush: int):
         settled[order] = doc > least_doc
         bucket = ((e["key"] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
         e["mh"] = e["key"] >> np.uint64(32)
-        rows: tuple[list, list, list, list] = ([], [], [], [])
         go = np.flatnonzero(~settled)
         go = go[np.argsort(bucket[go], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[go])) + 1
-        for part in np.split(go, cuts):
+        for part in np.split(go, np.flatnonzero(np.diff(bucket[go])) + 1):
             if len(part):
-                for x, v in zip(rows, (int(bucket[part[0]]), None, None, packed(e, part)), strict=True):
-                    x.append(v)
-        if settled.any():
-            spans = np.zeros(int(settled.sum()), SPAN)
-            spans["start"], spans["len"] = e["start"][settled], e["len"][settled]
-            for d, r, data in by_document(e["doc"][settled], e["rk"][settled], spans):
-                for x, v in zip(rows, (d % buckets, d, r, data), strict=True):
-                    x.append(v)
-        for at in range(0, len(rows[0]), 2000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[at : at + 2000], t) for x, t in zip(rows, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                ["bucket", "doc_id", "rk", "data"],
-            )
+                yield int(bucket[part[0]]), None, None, packed(e, part)
+        spans = np.zeros(int(settled.sum()), SPAN)
+        spans["start"], spans["len"] = e["start"][settled], e["len"][settled]
+        yield from ((d % buckets, d, r, data) for d, r, data in by_document(e["doc"][settled], e["rk"][settled], spans))
 
     def entries(texts: list[bytes], docs: list[int], rks: list[int], base: list[int]) -> dict[str, np.ndarray]:
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -202,14 +194,14 @@ def index_rows(buckets: int, least: int, kmer: int, block: int, flush: int):
         }
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, int]]:
-        for b in batches:
+        for b in sliced(batches):
             docs, rks = b.column(0).to_pylist(), b.column(1).to_pylist()
             for d, r, t in zip(docs, rks, text_bytes(b.column(2)), strict=True):
                 if len(t) >= least:
                     for at in range(0, max(1, len(t) - least + 1), block):  # long texts in parts; each window is in one
                         yield t[at : at + block + least - 1], d, r, at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now: list[tuple[bytes, int, int, int]] = []
         size, held, n = 0, [], 0
         for piece in pieces(batches):
@@ -227,24 +219,28 @@ def index_rows(buckets: int, least: int, kmer: int, block: int, flush: int):
         if held:
             yield from emit(held)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(rows(batches), ENTRIES)
+
     return run
 
 
+ENTRIES = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("rk", pa.int32()), ("data", pa.binary())])
 RESOLVED = pa.schema([("doc_id", pa.int64()), ("rk", pa.int32()), ("spans", pa.binary()), ("wants", pa.binary())])
 
 
-def resolve_bucket(group: pa.Table) -> pa.Table:
-    """All entries of a bucket: spans that are repeats throughout, and segments whose bytes are wanted."""
-    blobs, docs = group.column("data").to_pylist(), group.column("doc_id").to_pylist()
-    rks = group.column("rk").to_pylist()
-    out: list[tuple] = [(d, r, x, None) for d, r, x in zip(docs, rks, blobs, strict=True) if d is not None]
-    held = [unpacked(x) for d, x in zip(docs, blobs, strict=True) if d is None]
-    if held:
-        bucket = group.column("bucket")[0].as_py()
-        e = {name: np.concatenate([x[name] for x in held]) for name, _ in ENTRY}
-        del held
+def resolve_rows(hot: int):
+    """Rows of whole buckets to spans that are repeats throughout, and segments whose bytes are wanted.
+
+    Blobs are unpacked as they come, and only arrays are held. The wants of a minimizer with more than `hot` of them get a
+    negative key: their suffixes are dealt one by one.
+    """
+
+    def settled(bucket: int, held: list[dict[str, np.ndarray]]) -> Iterator[tuple]:
+        e = {name: np.concatenate([x.pop(name) for x in held]) for name, _ in ENTRY}
         order = np.lexsort((e["doc"], e["sh"], e["mh"]))
-        e = {k: v[order] for k, v in e.items()}
+        for name in e:
+            e[name] = e[name][order]
         mh, sh, doc = e["mh"], e["sh"], e["doc"]
         new_mh = np.ones(len(mh), bool)
         new_mh[1:] = mh[1:] != mh[:-1]
@@ -255,14 +251,31 @@ def resolve_bucket(group: pa.Table) -> pa.Table:
         several = (np.add.reduceat(new_sh, starts) > 1) & (np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts))
         first_doc = doc[np.maximum.accumulate(np.where(new_sh, np.arange(len(mh)), 0))]
         repeat, want = doc > first_doc, (doc == first_doc) & several[group_of]
+        crowded = np.add.reduceat(want, starts, dtype=np.int64)[group_of] > hot
         spans = np.zeros(int(repeat.sum()), SPAN)
         spans["start"], spans["len"] = e["start"][repeat], e["len"][repeat]
-        out += [(d, r, x, None) for d, r, x in by_document(doc[repeat], e["rk"][repeat], spans)]
+        yield from ((d, r, x, None) for d, r, x in by_document(doc[repeat], e["rk"][repeat], spans))
         wants = np.zeros(int(want.sum()), WANT)
         wants["start"], wants["len"] = e["start"][want], e["len"][want]
-        wants["key"] = mh[want].astype(np.int64) << 31 | bucket  # a name for the minimizer
-        out += [(d, r, None, x) for d, r, x in by_document(doc[want], e["rk"][want], wants)]
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(RESOLVED)], schema=RESOLVED)
+        name = mh[want].astype(np.int64) << 31 | bucket  # a name for the minimizer
+        wants["key"] = np.where(crowded[want], -1 - name, name)
+        yield from ((d, r, None, x) for d, r, x in by_document(doc[want], e["rk"][want], wants))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: dict[int, list[dict[str, np.ndarray]]] = {}
+        for b in sliced(batches):
+            for bucket, d, r, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if d is None:
+                    held.setdefault(bucket, []).append(unpacked(data))
+                else:
+                    yield d, r, data, None
+        for bucket in list(held):
+            yield from settled(bucket, held.pop(bucket))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(rows(batches), RESOLVED)
+
+    return run
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -288,35 +301,58 @@ def settle(text: bytes, spans: np.ndarray, with_text: bool) -> tuple[int, int, s
 
 
 FETCHED = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("rk", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("data", pa.binary()),
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("rk", pa.int32()), ("key", pa.int64()), ("starts", pa.binary()), ("data", pa.binary()),
      ("spans", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("left", pa.string())]
 )
+FETCHED_DDL = "kind int, doc_id long, rk int, key long, starts binary, data binary, spans binary, n_removed long, n_spans long, sha string, left string"
 DONE, WAITS, SEGMENT = 0, 1, 2
 
 
-def fetch_rows(with_text: bool):
-    """Rows (doc_id, rk, text, spans, wants) to results, documents that wait (text compressed), and wanted segments."""
+def fetch_rows(with_text: bool, least: int):
+    """Rows (doc_id, rk, text, spans, wants) to results, documents that wait (text compressed), and wanted strings.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            size = 0
-            texts = text_bytes(b.column(2))
-            for d, r, t, spans, wants in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                covered, wanted = b"".join(spans), np.frombuffer(b"".join(wants), WANT)
-                if len(wanted):
-                    for start, length, key in wanted.tolist():
-                        out.append((SEGMENT, d, r, key, start, t[start : start + length], None, None, None, None, None))
-                    out.append((WAITS, d, r, None, None, squeeze(t), covered, None, None, None, None))
+    A wanted string is a segment, or, where its minimizer is crowded, each of its suffixes alone, cut to `least` bytes and
+    keyed by them. Of equal suffixes in the rows at hand those of the smallest document go on; the others are settled here,
+    so that a suffix in a third of all documents is sent once a batch.
+    """
+
+    def wanted(texts: list[bytes], docs: list[int], wants: list[np.ndarray], covered: list[list[bytes]]) -> Iterator[tuple[int, int, bytes, list[int]]]:
+        """(row, key, string, its starts) of what is sent; what is settled here goes to covered."""
+        suffixes: dict[bytes, dict[int, list[int]]] = {}
+        for i, (t, want) in enumerate(zip(texts, wants, strict=True)):
+            plain: dict[tuple[int, bytes], list[int]] = {}
+            for start, length, key in want.tolist():
+                if key >= 0:
+                    plain.setdefault((key, t[start : start + length]), []).append(start)
+                else:
+                    for at in range(start, start + length - least + 1):
+                        suffixes.setdefault(t[at : at + least], {}).setdefault(i, []).append(at)
+            yield from ((i, key, string, starts) for (key, string), starts in plain.items())
+        for string, found in suffixes.items():
+            smallest = min(docs[i] for i in found)
+            for i, starts in found.items():
+                if docs[i] > smallest:
+                    spans = np.zeros(len(starts), SPAN)
+                    spans["start"], spans["len"] = starts, least
+                    covered[i].append(spans.tobytes())
                 else:
-                    n, k, sha, left = settle(t, np.frombuffer(covered, SPAN), with_text)
-                    out.append((DONE, d, r, None, None, None, None, n, k, sha, left))
-                size += len(t)
-                if size > 8 << 20 or len(out) > 50_000:
-                    yield batch(out, FETCHED)
-                    out, size = [], 0
-            if out:
-                yield batch(out, FETCHED)
+                    yield i, xxhash.xxh64_intdigest(string) >> 1, string, starts
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in sliced(batches):
+            docs, rks, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))
+            covered = [list(x) for x in b.column(3).to_pylist()]
+            wants = [np.frombuffer(b"".join(x), WANT) for x in b.column(4).to_pylist()]
+            for i, key, string, starts in wanted(texts, docs, wants, covered):
+                yield SEGMENT, docs[i], rks[i], key, np.array(starts, "<u4").tobytes(), string, None, None, None, None, None
+            for d, r, t, want, spans in zip(docs, rks, texts, wants, covered, strict=True):
+                if len(want):
+                    yield WAITS, d, r, None, None, squeeze(t), b"".join(spans), None, None, None, None
+                else:
+                    yield DONE, d, r, None, None, None, None, *settle(t, np.frombuffer(b"".join(spans), SPAN), with_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(rows(batches), FETCHED)
 
     return run
 
@@ -325,6 +361,20 @@ def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded numbers and bytes."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += 100 + sum(len(x) for x in row if isinstance(x, bytes | str))
+        if size > 4 << 20:
+            yield batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield batch(held, schema)
+
+
 def suffix_array(texts: list[bytes], least: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[int]]:
     """The suffixes of at least `least` bytes whose first `least` bytes occur twice, sorted.
 
@@ -412,55 +462,43 @@ def repeated_spans(texts: list[bytes], docs: np.ndarray, least: int) -> Iterator
                 yield *key, length
 
 
-SCANNED = pa.schema([("doc_id", pa.int64()), ("rk", pa.int32()), ("spans", pa.binary()), ("start", pa.int64()), ("window", pa.binary())])
+SCANNED = pa.schema([("doc_id", pa.int64()), ("rk", pa.int32()), ("spans", pa.binary())])
 
 
-def scan_rows(least: int, cap: int):
-    """Rows (key, doc_id, rk, start, data), sorted by key, to spans by document; windows of groups beyond cap bytes."""
+def scan_rows(least: int):
+    """Rows (key, doc_id, rk, starts, data), sorted by key, to spans by document.
 
-    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        docs = np.array([x[1] for x in rows], np.int64)
-        found = list(repeated_spans([x[4] for x in rows], docs, least))
-        if found:
-            who, at, length = np.array(found, np.int64).T
-            spans = np.zeros(len(who), SPAN)
-            spans["start"], spans["len"] = np.array([x[3] for x in rows], np.int64)[who] + at, length
-            rks = np.array([x[2] for x in rows], np.int32)
-            yield batch([(d, r, x, None, None) for d, r, x in by_document(docs[who], rks[who], spans)], SCANNED)
+    A key's rows are bounded: a crowded minimizer's suffixes have keys of their own.
+    """
 
-    def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(rows), 1000):
-            yield batch([(d, r, None, s + i, t[i : i + least]) for _, d, r, s, t in rows[at : at + 1000] for i in range(len(t) - least + 1)], SCANNED)
+    def done(rows: list[tuple]) -> Iterator[tuple]:
+        found = list(repeated_spans([x[4] for x in rows], np.array([x[1] for x in rows], np.int64), least))
+        if not found:
+            return
+        who, at, length = np.array(found, np.int64).T
+        starts = [np.frombuffer(x[3], "<u4").astype(np.int64) for x in rows]
+        times = np.array([len(x) for x in starts])[who]
+        spans = np.zeros(int(times.sum()), SPAN)
+        spans["start"] = np.concatenate([starts[w] for w in who.tolist()]) + np.repeat(at, times)
+        spans["len"] = np.repeat(length, times)
+        docs, rks = np.array([x[1] for x in rows], np.int64), np.array([x[2] for x in rows], np.int32)
+        yield from by_document(np.repeat(docs[who], times), np.repeat(rks[who], times), spans)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[tuple] = []
+        size = 0
+        for b in sliced(batches):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if size >= 1 << 19 and row[0] != held[-1][0]:
+                    yield from done(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield from done(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []  # whole groups
-        group: list[tuple] = []
-        ready_size = group_size = 0
-        crowded = False
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if group and row[0] != group[0][0]:
-                    if crowded:
-                        yield from windows(group)
-                    else:
-                        ready += group
-                        ready_size += group_size
-                        if ready_size >= 1 << 19:
-                            yield from done(ready)
-                            ready, ready_size = [], 0
-                    group, group_size, crowded = [], 0, False
-                group.append(row)
-                group_size += len(row[4])
-                if group_size > cap:
-                    crowded = True
-                    yield from windows(group[1:])  # the first stays, for its key
-                    group, group_size = group[:1], cap
-        if crowded:
-            yield from windows(group)
-        else:
-            ready += group
-        if ready:
-            yield from done(ready)
+        yield from batched(spans(batches), SCANNED)
 
     return run
 
@@ -468,17 +506,13 @@ def scan_rows(least: int, cap: int):
 def settle_rows(with_text: bool):
     """Waiting documents (doc_id, rk, data, spans, more) to results."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in sliced(batches):
             for d, r, data, spans, more in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                covered = np.frombuffer(spans + b"".join(more or []), SPAN)
-                out.append((d, r, *settle(restore(data), covered, with_text)))
-                if len(out) >= 500:
-                    yield batch(out, RESULT)
-                    out = []
-            if out:
-                yield batch(out, RESULT)
+                yield d, r, *settle(restore(data), np.frombuffer(spans + b"".join(more or []), SPAN), with_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(rows(batches), RESULT)
 
     return run
 
@@ -492,40 +526,29 @@ def row_key(text: str | Column = "text") -> Column:
     return F.shiftright(F.xxhash64(text), 32).cast("int")
 
 
-def changes(documents: DataFrame, with_text: bool, least: int = LEAST, kmer: int = KMER, block: int = BLOCK, flush: int = FLUSH, cap: int = CAP, bucket_bytes: int = 28 << 20) -> DataFrame:
+def changes(documents: DataFrame, with_text: bool, least: int = LEAST, kmer: int = KMER, block: int = BLOCK, flush: int = FLUSH, hot: int = HOT, bucket_bytes: int = BUCKET) -> DataFrame:
     """RESULT rows of the documents that lose bytes (and of some that lose none)."""
-    spark = documents.sparkSession
-    small_batches(spark)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = parts_for(spark, total, bucket_bytes, LEAST_BUCKETS)
+    buckets = parts_for(documents.sparkSession, total, bucket_bytes, LEAST_BUCKETS)
 
+    # A bucket's number is its partition: hashing numbers would leave some tasks empty and give others several.
     entries = rows.mapInArrow(index_rows(buckets, least, kmer, block, flush), "bucket int, doc_id long, rk int, data binary")
-    resolved = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(resolve_bucket, "doc_id long, rk int, spans binary, wants binary")
+    resolved = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(resolve_rows(hot), "doc_id long, rk int, spans binary, wants binary")
     resolved = materialize(resolved, "resolved")
-    release(spark)
 
     per_document = resolved.groupBy("doc_id", "rk").agg(F.collect_list("spans").alias("spans"), F.collect_list("wants").alias("wants"))
     met = rows.join(per_document, ["doc_id", "rk"]).select("doc_id", "rk", "text", "spans", "wants")
-    ddl = "kind int, doc_id long, rk int, key long, start long, data binary, spans binary, n_removed long, n_spans long, sha string, left string"
-    fetched = materialize(met.mapInArrow(fetch_rows(with_text), ddl), "fetched")
-    release(spark)
-
-    wanted = fetched.filter(F.col("kind") == SEGMENT).select("key", "doc_id", "rk", "start", "data")
-    scanned = wanted.repartition("key").sortWithinPartitions("key").mapInArrow(scan_rows(least, cap), "doc_id long, rk int, spans binary, start long, window binary")
-    scanned = materialize(scanned, "scanned")
-    release(spark)
-    windows = scanned.filter("window is not null").select("doc_id", "rk", "start", "window")
-    smallest = windows.groupBy("window").agg(F.min("doc_id").alias("least_id"))
-    as_span = lambda start: F.concat(*[F.unhex(F.substring(F.lpad(F.hex(x), 8, "0"), i, 2)) for x in (start, F.lit(least)) for i in (7, 5, 3, 1)])
-    late = windows.join(smallest, "window").filter("doc_id > least_id").select("doc_id", "rk", as_span(F.col("start")).alias("spans"))
-    more = scanned.filter("window is null").select("doc_id", "rk", "spans").union(late)
-    more = more.groupBy("doc_id", "rk").agg(F.collect_list("spans").alias("more"))
+    fetched = materialize(met.mapInArrow(fetch_rows(with_text, least), FETCHED_DDL), "fetched")
+
+    wanted = fetched.filter(F.col("kind") == SEGMENT).select("key", "doc_id", "rk", "starts", "data")
+    scanned = wanted.repartition("key").sortWithinPartitions("key").mapInArrow(scan_rows(least), "doc_id long, rk int, spans binary")
+    more = scanned.groupBy("doc_id", "rk").agg(F.collect_list("spans").alias("more"))
     waiting = fetched.filter(F.col("kind") == WAITS).select("doc_id", "rk", "data", "spans").join(more, ["doc_id", "rk"], "left")
-    late_results = waiting.select("doc_id", "rk", "data", "spans", "more").mapInArrow(settle_rows(with_text), RESULT_DDL)
+    late = waiting.select("doc_id", "rk", "data", "spans", "more").mapInArrow(settle_rows(with_text), RESULT_DDL)
     early = fetched.filter(F.col("kind") == DONE).select("doc_id", "rk", "n_removed", "n_spans", "sha", "left")
-    return early.union(late_results)
+    return early.union(late)
 
 
 def report(documents: DataFrame, **limits: int) -> DataFrame:
@@ -542,8 +565,7 @@ def report(documents: DataFrame, **limits: int) -> DataFrame:
 def dedup_text(documents: DataFrame, **limits: int) -> DataFrame:
     """The documents, all of them, without their repeated bytes."""
     found = changes(documents, True, **limits).filter("n_removed > 0").dropDuplicates(["doc_id", "rk"])
-    found = materialize(found.select(F.col("doc_id").alias("r_id"), F.col("rk").alias("r_rk"), F.col("left").alias("r_left")), "left")
-    release(documents.sparkSession)
+    found = found.select(F.col("doc_id").alias("r_id"), F.col("rk").alias("r_rk"), F.col("left").alias("r_left"))
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
     wide = documents.select(F.col("doc_id").cast("long").alias("d_id"), row_key(F.coalesce("text", F.lit(""))).alias("d_rk"), own.alias("own"))
     met = wide.join(found, (F.col("d_id") == F.col("r_id")) & (F.col("d_rk") == F.col("r_rk")), "left")

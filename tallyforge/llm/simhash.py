@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, release, small_batches, text_bytes, unsigned_hex
+from .shared import materialize, sliced, text_bytes, unsigned_hex
 
 SHINGLE, SEED, THRESHOLD, LIMIT = 3, 42, 3, 4096
 EDGES_A_FILE = 250_000
@@ -53,12 +53,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and fp, the fingerprint as a signed long."""
-    small_batches(documents.sparkSession)
     rows = documents.select(*keep, F.col("text").cast("string").alias("text"))
     fields = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t) for t in text_bytes(b.column(b.num_columns - 1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], [*b.schema.names[:-1], "fp"])
 
@@ -273,7 +272,6 @@ def grouped(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """components() from rows that have their fingerprint fp."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connect(links(classes, limit))
-    release(prints.sparkSession)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", "root").join(ids, "root")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .shared import materialize, new_path, small_batches
+from .shared import materialize, new_path
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"  # archives are made from tables that tell no date; equal input gives equal bytes
@@ -73,7 +73,6 @@ def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 def write(records: DataFrame, path: str, roll: int = ROLL) -> DataFrame:
     """Write (page_id, url, html, record_type, refers_to) to archives under path; gives (file, bytes, records) of those that count."""
-    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(path)

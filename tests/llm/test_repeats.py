@@ -28,7 +28,7 @@ def brute(docs, least=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [{}, {"block": 700, "flush": 50, "cap": 200, "bucket_bytes": 3000}])
+@pytest.mark.parametrize("limits", [{}, {"block": 700, "flush": 50, "hot": 2, "bucket_bytes": 3000}])
 def test_report_against_brute_force(spark, limits):
     got = sorted((str(r[0]), *tuple(r)[1:]) for r in repeats.report(documents(spark), **limits).collect())
     assert got == brute([(r[0], (r[1] or "").encode()) for r in rows()])
