@@ -8,12 +8,14 @@ runs of slots per length, and each piece takes the slot of its rank among the pi
 
 Defined cases: a null text is empty and gives the end id alone; rows with equal ids are packed as separate documents; ties
 in rank are between pieces of equal length and fall to (doc_id, hash, piece); columns beyond doc_id and text are ignored.
-An empty table gives an empty table. Tokenising takes whole texts.
+An empty table gives an empty table. Tokenising takes whole texts; those with very long runs of white space (from ``BLANKS``
+characters) or with the special token's text are coded by the tokenizers library, all others by the faster tiktoken.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,6 +32,9 @@ from .shared import materialize, sliced
 CAPACITY, END_ID, PART_ROWS = 2048, 0, 500_000
 #: A text that holds this goes to the tokenizers library itself, which gives it an id of its own.
 SPECIAL = "<|endoftext|>"
+#: So does one with a run of white space that the fast encoder's pattern can't step back through (from about 500,000).
+BLANKS = 10_000
+blank_run = re.compile(rf"\s{{{BLANKS}}}").search
 _loaded: dict[tuple[str, str], tuple] = {}
 
 
@@ -49,7 +54,8 @@ def encoders(json_path: str, ranks_path: str) -> tuple:
 def encode(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     """The ids that the tokenizers library gives (add_special_tokens=False); both libraries agree on ordinary text."""
     slow, fast = encoders(json_path, ranks_path)
-    ids = slow.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+    plain = SPECIAL not in text and (len(text) < BLANKS or not blank_run(text))
+    ids = fast.encode_ordinary(text) if plain else slow.encode(text, add_special_tokens=False).ids
     return np.array(ids, "<u4")
 
 
@@ -104,97 +110,88 @@ class Plan:
         return {size: np.array(x, np.int64) for size, x in out.items()}
 
 
-def reduce_by_dominance(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fix sets that dominate all others with the largest piece j; count keeps the rest.
-
-    Let r be what j leaves. {j} alone is fixed if nothing fits; {j, k} if k fills r exactly, or if k is the largest that fits
-    and no two pieces fit, or no two that fit weigh more than k; {j, a, b} if no three fit, and a is the largest that
-    fits at all and b the largest beside it, so every set with j has at most two more pieces, the larger no larger than a
-    and the smaller no larger than b.
-    """
-    bins = []
-    sizes = sorted(count)  # ascending; sizes with count 0 are taken out
-
-    def fits(room: int, less: dict[int, int]) -> int | None:
-        import bisect
-
-        i = bisect.bisect_right(sizes, room) - 1
-        while i >= 0 and count[sizes[i]] - less.get(sizes[i], 0) <= 0:
-            i -= 1
-        return sizes[i] if i >= 0 else None
-
-    def smallest(n: int, less: dict[int, int]) -> int | None:
-        total, left = 0, n
-        for s in sizes:
-            k = min(left, count[s] - less.get(s, 0))
-            total, left = total + k * s, left - k
-            if not left:
+class Stock:
+    """How many pieces of each length there are, with the largest length up to each room."""
+
+    def __init__(self, count: dict[int, int], capacity: int):
+        self.count = np.zeros(capacity + 1, np.int64)
+        for size, n in count.items():
+            self.count[size] = n
+        self.refresh()
+
+    def refresh(self) -> None:
+        have = self.count > 0
+        self.sizes = np.flatnonzero(have)
+        self.floor = np.maximum.accumulate(np.where(have, np.arange(len(have)), 0))
+
+    def largest(self, room: np.ndarray, *taken: np.ndarray) -> np.ndarray:
+        """For each room the largest piece that fits beside the taken ones; 0 if none."""
+        found = self.floor[np.maximum(room, 0)]
+        for _ in taken:  # each can use up one length
+            used = sum((found == t).astype(np.int64) for t in taken)
+            found = np.where((found > 0) & (self.count[found] <= used), self.floor[np.maximum(found - 1, 0)], found)
+        return found
+
+    def smallest(self, n: int, j: int) -> int | None:
+        """The weight of the n smallest pieces beside one of length j."""
+        total = 0
+        for s in self.sizes[: n + 1].tolist():
+            k = min(n, int(self.count[s]) - (s == j))
+            total, n = total + k * s, n - k
+            if not n:
                 return total
         return None
 
-    def fix(pattern: tuple[int, ...]) -> None:
-        need: dict[int, int] = defaultdict(int)
-        for s in pattern:
-            need[s] += 1
-        n = min(count[s] // k for s, k in need.items())
-        # After one such bin the same test holds for the next while none of its sizes changes the answer: one at a time
-        # unless the pattern fills the capacity or is j alone.
-        if sum(pattern) != capacity and len(pattern) > 1:
-            n = 1 if len(pattern) > 2 else n
-        for s, k in need.items():
-            count[s] -= n * k
-            if not count[s]:
-                sizes.remove(s)
-                del count[s]
-        bins.append((pattern, n))
-
-    while sizes:
-        j = sizes[-1]
-        room, own = capacity - j, {j: 1}
-        k = fits(room, own)
-        if k is None:
-            fix((j,))
-            continue
-        if k == room:
-            fix((j, k))
-            continue
-        two = smallest(2, own)
-        if two is None or two > room:
-            fix((j, k))
-            continue
-        best = best_pair(sizes, count, j, room)
-        if best <= k:
-            fix((j, k))
-            continue
-        three = smallest(3, own)
-        b = fits(room - k, {j: 1, **({k: 2} if k == j else {k: 1})})
-        if (three is None or three > room) and b is not None:
-            largest_beside = max((y for x in sizes for y in [fits_beside(sizes, count, j, x, room)] if y is not None and y <= x), default=None)
-            if b == largest_beside:
-                fix(tuple(sorted((j, k, b), reverse=True)))
-                continue
-        break
-    return bins
-
 
-def fits_beside(sizes: list[int], count: dict[int, int], j: int, x: int, room: int) -> int | None:
-    """The largest piece that fits beside j and x."""
-    import bisect
+def dominating(stock: Stock, capacity: int, j: int) -> tuple[int, ...] | None:
+    """A set with j that dominates every other set with j, if one is known.
 
-    if count[x] - (x == j) <= 0:
+    Let r be what j leaves. Such are {j} if nothing fits; {j, k} if k fills r exactly, or if k is the largest that fits, no three
+    others fit, and no two that fit weigh more than k; {j, a, b} if no three fit, a is the largest that fits at all and b, the
+    largest beside it, is no smaller than the smaller one of any two that fit. In each case the pieces of any other set with j
+    can be swapped for the dominating ones without any other sequence growing.
+    """
+    room, own = capacity - j, np.array([j])
+    k = int(stock.largest(np.array([room]), own)[0])
+    if not k:
+        return (j,)
+    two, three = stock.smallest(2, j), stock.smallest(3, j)
+    if k == room or two is None or two > room:
+        return (j, k)
+    if three is not None and three <= room:
         return None
-    i = bisect.bisect_right(sizes, room - x) - 1
-    while i >= 0:
-        y = sizes[i]
-        if count[y] - (y == j) - (y == x) > 0:
-            return y
-        i -= 1
+    x = stock.sizes[(stock.count[stock.sizes] > (stock.sizes == j)) & (stock.sizes <= room)]
+    y = stock.largest(room - x, np.broadcast_to(own, x.shape), x)
+    if int((x + y)[y > 0].max(initial=0)) <= k:
+        return (j, k)
+    b = int(stock.largest(np.array([room - k]), own, np.array([k]))[0])
+    if b and b >= int(np.minimum(x, y).max(initial=0)):
+        return (j, k, b)
     return None
 
 
-def best_pair(sizes: list[int], count: dict[int, int], j: int, room: int) -> int:
-    """The largest sum within room of two pieces beside j; 0 if none."""
-    return max((x + y for x in sizes for y in [fits_beside(sizes, count, j, x, room)] if y is not None), default=0)
+def reduce_by_dominance(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fix dominating sets, piece by piece from the largest, and again while any was fixed; count keeps the rest.
+
+    Taking a set away leaves fewer pieces, so the set dominates again while its pieces last: all such are fixed at once.
+    """
+    bins = []
+    stock = Stock(count, capacity)
+    shrunk = True
+    while shrunk:
+        shrunk = False
+        for j in stock.sizes[::-1].tolist():
+            while stock.count[j] and (found := dominating(stock, capacity, j)):
+                need = {s: found.count(s) for s in found}
+                n = min(int(stock.count[s]) // k for s, k in need.items())
+                for s, k in need.items():
+                    stock.count[s] -= n * k
+                stock.refresh()
+                bins.append((tuple(sorted(found, reverse=True)), n))
+                shrunk = True
+    count.clear()
+    count.update((s, int(stock.count[s])) for s in stock.sizes.tolist())
+    return bins
 
 
 def best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -70,6 +71,50 @@ def test_reduction_never_costs_a_bin(seed):
     assert sum(n for _, n in plan.bins) <= best(sizes, 40) + 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_reduction_goes_on_past_pieces_that_it_cannot_settle(seed):
+    rng = random.Random(seed)
+    count = defaultdict(int)
+    for _ in range(3000):
+        count[rng.randint(2, 2047)] += 1
+    left = dict(count)
+    fixed = packing.reduce_by_dominance(left, 2048)
+    again = dict(left)
+    assert packing.reduce_by_dominance(again, 2048) == [] and again == left  # nothing settled is left over
+    # Every exact pair of what was there is settled: of two such lengths one has run out.
+    assert not any(n and (left.get(2048 - s, 0) > (2 * s == 2048)) for s, n in left.items())
+    assert sum(n for _, n in fixed) > 0
+    packed = defaultdict(int, left)
+    for pattern, n in fixed:
+        for s in pattern:
+            packed[s] += n
+    assert dict(packed) == dict(count)
+
+
+def test_three_smaller_pieces_can_beat_one():
+    # {4, 5} dominates all pairs beside 4, but not {4, 2, 2, 2}.
+    assert packing.dominating(packing.Stock({4: 1, 5: 1, 2: 3}, 10), 10, 4) is None
+
+
+def test_plan_has_no_step_for_each_sequence():
+    began = time.time()
+    plan = packing.plan({682: 3_000_000})
+    assert plan.bins == [((682, 682, 682), 1_000_000)] and time.time() - began < 1
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n"])
+def test_long_runs_of_white_space(blank):
+    json_path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    text = "a b" + blank * (1_000_000 // len(blank)) + "c"
+    slow, _ = packing.encoders(json_path, ranks)
+    assert packing.encode(text, json_path, ranks).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_takes_a_blank_text(spark):
+    rows = packing.pack(spark.createDataFrame([(1, " " * 1_000_000), (2, "x")], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == {1, 2}
+
+
 def test_both_libraries_agree_on_every_character():
     slow, fast = packing.encoders(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
