@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The best segmentation is that of the highest sum of piece scores. Positions are taken from left to right; a position's best
-way in comes from at most ``longest`` positions back, so only that window of scores is held. Ids are committed as soon as
-every surviving way leads through one boundary: at a position that no piece spans, or, where positions have piled up,
-at the last boundary that the ways to all live positions share.
+way in comes from at most ``longest`` positions back, so scores live in a ring of ``longest`` + 1 places. Ids are committed as
+soon as every surviving way leads through one boundary: at a position that no piece spans, or, where back-pointers have
+piled up, at the last boundary that the ways to all live positions share. Where ways don't meet at all (periodic text such
+as "aaaa...", whose best beginning depends on how it ends), they are folded from ``FOLD`` * ``longest`` back-pointers on: each of
+the at most ``longest`` live positions keeps the ids of its way as repeated blocks. What a search holds is so bounded by the
+model, not by the text; ``Model.held`` tells the most that was held.
 
 Text is prepared as such models do: a leading space is added, and spaces become U+2581. Characters that no piece covers
 fall back to their UTF-8 bytes' pieces. Pieces hold U+2581 only at their beginning (or nothing else), so a word with its
-leading spaces is always closed by boundaries that no piece spans; the ids of such words are remembered in a bounded
-table, and only new words are searched.
+leading spaces is always closed by boundaries that no piece spans, where the search commits whatever came before. The ids
+of such words are remembered in a bounded table, and only words that aren't in it are searched; there is one search for all.
 
 Defined cases: null and empty texts have no ids and decode to the empty string; ties go to the longer last piece; U+2581 in a
 text is a space to the model and decodes as one; ids outside the model are refused. Decoding gives back any other text
@@ -33,6 +36,99 @@ from .shared import sliced
 
 SPACE = "▁"
 REMEMBERED, LONG_WORD = 300_000, 400
+#: Back-pointers, in lengths of the longest piece, from which ways that don't meet are folded.
+FOLD = 16
+
+
+class Ways:
+    """The surviving ways of a search: back-pointers from positions, and roots from which the ways go on.
+
+    At first there is one root, the start. Where ways don't meet for long they are folded: each position that can still be gone
+    on from becomes a root with the ids of its way, as blocks of ids and how often they repeat. Ways that don't meet run
+    through periodic text, so their ids are periodic too, and a root has few blocks.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.back: dict[int, tuple[int, int]] = {}  # position -> start and id of the last piece
+        self.roots: dict[int, list[tuple[tuple[int, ...], int]]] = {0: []}
+        self.most = 0
+
+    def note(self) -> None:
+        self.most = max(self.most, len(self.back) + sum(len(ids) for blocks in self.roots.values() for ids, _ in blocks))
+
+    def trace(self, text: str, end: int) -> tuple[int, list[int]]:
+        """The root of the way to end, and the ids from there."""
+        model, back, out = self.model, self.back, []
+        while end in back:
+            start, piece = back[end]
+            if piece == model.unknown and model.bytes:
+                out.extend(model.bytes[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass")))
+            else:
+                out.append(piece)
+            end = start
+        return end, out[::-1]
+
+    def meeting(self, live: list[int]) -> int | None:
+        """The last boundary on the ways to all live positions, if back-pointers still tell one."""
+        held = set(live)
+        while len(held) > 1:
+            top = max(held)
+            if top not in self.back:
+                return None
+            held.discard(top)
+            held.add(self.back[top][0])
+        found = held.pop()
+        return None if list(self.roots) == [found] else found
+
+    def commit(self, text: str, cut: int) -> list[int]:
+        """The ids up to cut, which all ways lead through; it is the only root from now on."""
+        self.note()
+        root, ids = self.trace(text, cut)
+        done = [i for block, times in self.roots[root] for _ in range(times) for i in block]
+        self.back = {p: x for p, x in self.back.items() if p > cut}
+        self.roots = {cut: []}
+        return done + ids
+
+    def fold(self, text: str, live: list[int]) -> None:
+        self.note()
+        found = {p: self.trace(text, p) for p in live}
+        self.roots = {p: folded(self.roots[root], ids) for p, (root, ids) in found.items()}
+        self.back = {}
+
+
+def folded(blocks: list[tuple[tuple[int, ...], int]], ids: list[int], longest: int = 64) -> list[tuple[tuple[int, ...], int]]:
+    """Blocks and further ids as blocks: a last block that came once is taken up again, and repeats become one block."""
+    out = list(blocks)
+    if out and out[-1][1] == 1:
+        ids = [*out.pop()[0], *ids]
+    at = 0
+    while at < len(ids):
+        if out:  # the last block goes on
+            block, times = out[-1]
+            more = 0
+            while tuple(ids[at : at + len(block)]) == block:
+                at, more = at + len(block), more + 1
+            out[-1] = (block, times + more)
+            if more:
+                continue
+        best, reps = 1, 1
+        for p in range(1, min(longest, (len(ids) - at) // 2) + 1):
+            k = 1
+            while ids[at + k * p : at + (k + 1) * p] == ids[at : at + p]:
+                k += 1
+            if k > 1 and k * p > best * reps:
+                best, reps = p, k
+        if reps > 1:
+            out.append((tuple(ids[at : at + best]), reps))
+            at += best * reps
+        elif out and out[-1][1] == 1:
+            out[-1] = ((*out[-1][0], ids[at]), 1)
+            at += 1
+        else:
+            out.append(((ids[at],), 1))
+            at += 1
+    return out
 
 
 class Model:
@@ -67,53 +163,34 @@ class Model:
         self.word = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|{apart}")
         # Remembered words in two generations: when the younger is full, it becomes the elder.
         self.known: dict[str, bytes] = {}
+        #: The most back-pointers and folded ids that one search has held.
+        self.held = 0
         self.elder: dict[str, bytes] = {}
 
     def segment(self, text: str) -> Iterator[list[int]]:
         """Lists of ids, in order, as they are committed."""
-        table, longest = self.table.get, self.longest
-        n, base = len(text), 0
-        # For positions base, base + 1, ...: the best score to get there, the start and id of its last piece.
-        score: list[float | None] = [0.0]
-        back: list[tuple[int, int]] = [(-1, -1)]
-        spanned = 0  # the farthest end of a piece that began before
-        live = 4 * longest
-        for at in range(n):
-            if at >= spanned and at > base:  # no piece spans this position: all ways lead through it
-                yield self.path(text, back, base, at)
-                score, back, base = [score[at - base]], [(-1, -1)], at
-            elif at - base > live:
-                cut = self.meeting(back, base, at, min(spanned, n))
-                if cut > base:
-                    yield self.path(text, back, base, cut)
-                    score, back, base = score[cut - base :], back[cut - base :], cut
-                    back[0] = (-1, -1)
-                live = max(4 * longest, 2 * (at - base))
-            here = score[at - base]
-            if here is None:
-                continue
-            single = False
-            for end in range(at + 1, min(n, at + longest) + 1):
-                found = table(text[at:end], False)
-                if found is False:
-                    break
-                if found is not None:
-                    single = single or end == at + 1
-                    self.reach(score, back, base, at, end, here + found[1], found[0])
-                    spanned = max(spanned, end)
-            if not single:
-                self.reach(score, back, base, at, at + 1, here + self.unknown_score, self.unknown)
-                spanned = max(spanned, at + 1)
-        if n > base:
-            yield self.path(text, back, base, n)
-
-    def window(self, text: str) -> list[int]:
-        """The ids of a text that is no longer than the window: the same search, with nothing to commit on the way."""
-        table, n, none = self.table.get, len(text), -1e300
-        score, back = [none] * (n + 1), [(-1, -1)] * (n + 1)
+        table, longest, unknown_score, unknown = self.table.get, self.longest, self.unknown_score, self.unknown
+        n, ring, none = len(text), longest + 1, float("-inf")
+        score = [none] * ring  # of the positions from here to `longest` further, by position modulo ring
         score[0] = 0.0
+        ways = Ways(self)
+        back = ways.back
+        spanned, patience = 0, 2 * longest  # the farthest end of a piece that began before; positions held until the next look
         for at in range(n):
-            here = score[at]
+            if at == spanned and at:  # no piece spans this position: all ways lead through it
+                yield ways.commit(text, at)
+                back = ways.back
+            elif len(back) > patience:
+                live = [p for p in range(at, spanned + 1) if score[p % ring] > none]
+                cut = ways.meeting(live)
+                if cut is not None:
+                    yield ways.commit(text, cut)
+                elif len(back) > FOLD * longest:
+                    ways.fold(text, live)
+                back = ways.back
+                patience = len(back) + 2 * longest
+            slot = at % ring
+            here, score[slot] = score[slot], none
             if here == none:
                 continue
             single = False
@@ -122,55 +199,24 @@ class Model:
                 if found is False:
                     break
                 if found is not None:
-                    if end == at + 1:
-                        single = True
+                    single = single or end == at + 1
                     value = here + found[1]
-                    if value > score[end]:
-                        score[end], back[end] = value, (at, found[0])
-            if not single and here + self.unknown_score > score[at + 1]:
-                score[at + 1], back[at + 1] = here + self.unknown_score, (at, self.unknown)
-        return self.path(text, back, 0, n)
-
-    @staticmethod
-    def reach(score: list, back: list, base: int, at: int, end: int, value: float, piece: int) -> None:
-        while len(score) <= end - base:
-            score.append(None)
-            back.append((-1, -1))
-        have = score[end - base]
-        if have is None or value > have:  # starts come in order: of equal ways the longer last piece stays
-            score[end - base], back[end - base] = value, (at, piece)
-
-    @staticmethod
-    def meeting(back: list, base: int, at: int, end: int) -> int:
-        """The last boundary on the ways to all positions that can still be reached from or are held: at to end."""
-        held = {p for p in range(at, end + 1) if p - base < len(back) and back[p - base][0] >= 0}
-        held.add(at)
-        while len(held) > 1:
-            top = max(held)
-            held.discard(top)
-            held.add(back[top - base][0] if top > base else base)
-        (cut,) = held
-        return max(cut, base) if cut <= at else base
-
-    def path(self, text: str, back: list, base: int, end: int) -> list[int]:
-        out: list[int] = []
-        while end > base:
-            start, piece = back[end - base]
-            if piece == self.unknown and self.bytes:
-                out.extend(self.bytes[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass")))
-            else:
-                out.append(piece)
-            end = start
-        return out[::-1]
+                    if value > score[end % ring]:  # starts come in order: of equal ways the longer last piece stays
+                        score[end % ring] = value
+                        back[end] = (at, found[0])
+                        spanned = end if end > spanned else spanned
+            if not single and here + unknown_score > score[(at + 1) % ring]:
+                score[(at + 1) % ring] = here + unknown_score
+                back[at + 1] = (at, unknown)
+                spanned = max(spanned, at + 1)
+        if n:
+            yield ways.commit(text, n)
+        self.held = max(self.held, ways.most)
 
     def coded(self, word: str) -> bytes:
         found = self.elder.get(word)
         if found is None:
-            if len(word) <= 4 * self.longest:
-                ids = self.window(word)
-            else:
-                ids = [i for part in self.segment(word) for i in part]
-            found = array("I", ids).tobytes()
+            found = array("I", [i for part in self.segment(word) for i in part]).tobytes()
         if len(word) <= LONG_WORD:
             if len(self.known) >= REMEMBERED:
                 self.known, self.elder = {}, self.known

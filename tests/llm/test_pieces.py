@@ -57,6 +57,46 @@ def test_streaming_over_text_without_spaces(model, seed):
     assert len(parts) > 20 and max(map(len, parts)) < 400  # committed on the way, not at the end
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "abc", "the", "entertain", "=", "-=", "吃葡萄不吐葡萄皮", "的", "ha"])
+def test_periodic_text_holds_a_bounded_window(unit):
+    held = []
+    for times in (3000, 30_000):
+        m = pieces.Model(PATH)
+        text = (unit * times)[:30_000 if times > 3000 else 3000]
+        got = [i for part in m.segment(text) for i in part]
+        assert m.decode(np.array(got)) == text.replace(SPACE, " ")
+        if times == 3000:
+            assert got == brute(m, text)
+        held.append(m.held)
+    assert max(held) < 40 * m.longest and held[1] <= held[0] + m.longest
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_folding_changes_nothing(seed, monkeypatch):
+    monkeypatch.setattr(pieces, "FOLD", 1)
+    m = pieces.Model(PATH)
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["a", "aa", "ab", "abab" * rng.randint(1, 60), "aaaa" * rng.randint(1, 60), "e"]) for _ in range(60))
+    assert [i for part in m.segment(text) for i in part] == brute(m, text)
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_folded_blocks_unfold(seed):
+    rng = random.Random(seed)
+    blocks, ids = [], []
+    for _ in range(8):
+        more = [rng.randint(1, 2) for _ in range(rng.randint(0, 4))] * rng.randint(1, 9)
+        blocks = pieces.folded(blocks, more)
+        ids += more
+        assert [i for block, times in blocks for _ in range(times) for i in block] == ids
+
+
+def test_chinese_without_spaces(model):
+    rng = random.Random(5)
+    text = "".join(rng.choice("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经") for _ in range(5000))
+    assert [i for part in model.segment(text) for i in part] == brute(model, text)
+
+
 def test_round_trip_and_the_librarys_decoder(model):
     file = sentencepiece.SentencePieceProcessor(model_file=PATH)
     for t in texts():
