@@ -67,17 +67,14 @@ def measure(documents: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: l
         F.filter(F.split("text", "\n"), lambda line: F.translate(line, SPACES, "") != "").alias("lines"),
     )
     n = F.size("words")
-    windows = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-            lambda i: F.struct(
-                F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    hashes = F.transform(
+        F.slice("words", 1, F.greatest(n - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)),
+    )
+    # An undetermined column stays below what uses it: later filters aren't pushed below it, nor is it computed for each use.
+    once = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
     stop_count = F.size(F.filter("words", lambda w: F.lower(w).isin(stops)))
-    counted = arrays.select(
+    hashed = arrays.select(
         "doc_id",
         n.cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
@@ -85,14 +82,18 @@ def measure(documents: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: l
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         stop_count.cast("long").alias("n_stop_words"),
-        # An undetermined column keeps later filters above this projection; pushed below, they would measure texts again.
-        F.when(F.monotonically_increasing_id() >= 0, F.array_sort(windows)).alias("sorted_windows"),
+        once(hashes).alias("hashes"),
     )
+    # Places matter only where a window is found twice; most texts have no such window.
+    repeated = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    places = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    counted = hashed.withColumn("sorted_windows", once(F.when(repeated, F.sort_array(places)).otherwise(none))).drop("hashes")
     same = lambda x, j: F.get("sorted_windows", j)["h"] == x["h"]
     found = F.filter(
         "sorted_windows", lambda x, j: ((j > 0) & same(x, j - 1)) | F.coalesce(same(x, j + 1), F.lit(False))
     )
-    starts = F.array_sort(F.transform(found, lambda x: x["i"]))
+    starts = F.sort_array(F.transform(found, lambda x: x["i"]))
     # A window covers its start and the two words after it, less what the next start covers again.
     covered = F.aggregate(
         starts,
