@@ -262,20 +262,27 @@ def connect(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def fingerprinted(documents: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text) and fp of each row, written."""
+    return materialize(fingerprints(documents.withColumn("th", F.xxhash64("text")), "doc_id", "th"), "fingerprints")
+
+
+def named(classes: DataFrame, limit: int) -> DataFrame:
+    """Classes (fp, ...), one row for each fingerprint, with the root that names their component."""
+    roots = connect(links(classes, limit))
+    return classes.join(roots, classes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def components(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """For each row doc_id, fp, th (hash of the text), root (fingerprint that names the component) and component_id."""
-    rows = documents.withColumn("th", F.xxhash64("text"))
-    return grouped(materialize(fingerprints(rows, "doc_id", "th"), "fingerprints"), limit)
+    return grouped(fingerprinted(documents), limit)
 
 
 def grouped(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """components() from rows that have their fingerprint fp."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connect(links(classes, limit))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(ids, "root")
-    return prints.join(of, "fp")
+    found = named(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), limit)
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(found.select("fp", "root").join(ids, "root"), "fp")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -283,13 +290,19 @@ def report(documents: DataFrame) -> DataFrame:
     return components(documents).select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
-    """One row of each component, whole: that with the smallest (doc_id, hash of text); of equal rows one."""
-    found = components(documents)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
-    first = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
+def keep_first(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row of each component, whole: that with the smallest (doc_id, hash of text); of equal rows one.
+
+    Copies are combined before they are shuffled: only a row for each fingerprint meets the links.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("th").alias("th"))
+    classes = fingerprinted(documents).groupBy("fp").agg(F.min(order).alias("k"))
+    first = named(classes, limit).groupBy("root").agg(F.min("k").alias("k")).select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in KEY])
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
-    wide = documents.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_th"), own.alias("own"))
-    met = wide.join(first.distinct(), F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_th") == F.col("k_th")), "left_semi")
-    one = met.groupBy("d_id", "d_th").agg(F.first("own").alias("own"))
+    wide = documents.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), own.alias("own"))
+    met = wide.join(first, [wide[c] == first[f"k_{c}"] for c in KEY], "left_semi")
+    one = met.groupBy(*KEY).agg(F.first("own").alias("own"))  # dealt as the join has dealt it
     return one.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(documents.columns)])
+
+
+KEY = ("none", "id", "th")
