@@ -44,7 +44,8 @@ UNWANTED = (
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, 0) for u in WANTED] + [(u, 1) for u in UNWANTED], "url string, label int")
+    rows = [F.struct(F.lit(u).alias("url"), F.lit(label).alias("label")) for label, urls in enumerate((WANTED, UNWANTED)) for u in urls]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def lower_ascii(column: Column) -> Column:
