@@ -6,7 +6,8 @@ Repeats are common across trials, so callers bring distinct pairs first and join
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import zip_longest
 from typing import Any
 
 import numpy as np
@@ -44,39 +45,57 @@ def window_ratio(needle: str, haystack: str) -> float:
     return max((indel_ratio(needle, " ".join(words[i : i + size])) for i in range(len(words) - size + 1)), default=0.0)
 
 
-def value_match(want: Any, got: Any, strict: bool = False) -> float:
-    """How far a JSON value matches a wanted one.
+def kind(value: Any) -> str:
+    """A JSON value's kind; booleans are no numbers here."""
+    kinds = {type(None): "null", bool: "truth", int: "number", float: "number", str: "text", list: "array", dict: "object"}
+    return kinds[type(value)]
 
-    Nothing matches null; booleans match only themselves; numbers match by value; objects and arrays are means over what is
-    wanted, so extra parts are free; strings match wholly, by containment (0.8), or by ratio; a scalar matches the best of an
-    array's elements; scalars of different kinds match by value unless types are strict.
-    """
-    if got is None:
-        return 0.0
-    if isinstance(want, bool) or isinstance(got, bool):
-        return float(want == got)
-    number = (int, float)
-    if isinstance(want, number) and isinstance(got, number):
-        return float(float(want) == float(got))
-    if isinstance(want, dict) and isinstance(got, dict):
-        return sum(value_match(v, got.get(k), strict) for k, v in want.items()) / len(want) if want else 1.0
-    if isinstance(want, list) and isinstance(got, list):
-        return sum(value_match(w, g, strict) for w, g in zip(want, got)) / len(want) if want else 1.0  # noqa: B905
-    if isinstance(want, str) and isinstance(got, str):
-        a, b = want.lower().strip(), got.lower().strip()
-        return 1.0 if a == b else CONTAINED if a in b or b in a else indel_ratio(a, b)
-    if isinstance(want, (str, *number)) and isinstance(got, list):
-        return max((value_match(want, g, strict) for g in got), default=0.0)
-    if isinstance(want, (str, *number)) and isinstance(got, (str, *number)):
-        return 0.0 if strict else scalar_match(want, got)
-    return float(want == got)
-
-
-def scalar_match(want: Any, got: Any) -> float:
+
+def near_texts(want: str, got: str, _: bool = False) -> float:
+    want, got = (x.lower().strip() for x in (want, got))
+    return 1.0 if want == got else CONTAINED if want in got or got in want else indel_ratio(want, got)
+
+
+def across(want: Any, got: Any, strict: bool) -> float:
+    """A number and a text: by the number that the text spells, or else as texts."""
+    spelt = [as_number(x) for x in (want, got)]
+    return 0.0 if strict else near_texts(str(want), str(got)) if None in spelt else float(spelt[0] == spelt[1])
+
+
+def as_number(value: Any) -> float | None:
     try:
-        return float(float(str(want).strip()) == float(str(got).strip()))
+        return float(str(value).strip())
     except ValueError:
-        return value_match(str(want), str(got))
+        return None
+
+
+def mean_of(pairs: Iterable[tuple[Any, Any]], strict: bool) -> float:
+    """Over what is wanted, so extra parts are free; where nothing is wanted, anything will do."""
+    marks = [value_match(want, got, strict) for want, got in pairs]
+    return sum(marks) / len(marks) if marks else 1.0
+
+
+def any_of(want: Any, got: list, strict: bool) -> float:
+    return max((value_match(want, one, strict) for one in got), default=0.0)
+
+
+#: What decides, by the kinds of the wanted and the given value. Other pairs match if they are equal, and null never does.
+RULES: dict[tuple[str, str], Callable[[Any, Any, bool], float]] = {
+    ("number", "number"): lambda want, got, _: float(float(want) == float(got)),
+    ("number", "text"): across,
+    ("number", "array"): any_of,
+    ("text", "text"): near_texts,
+    ("text", "number"): across,
+    ("text", "array"): any_of,
+    ("array", "array"): lambda want, got, strict: mean_of(zip_longest(want, got[: len(want)]), strict),
+    ("object", "object"): lambda want, got, strict: mean_of(((v, got.get(k)) for k, v in want.items()), strict),
+}
+
+
+def value_match(want: Any, got: Any, strict: bool = False) -> float:
+    """How far a JSON value matches a wanted one, by RULES; a part that is missing counts as null. strict: a number is no text."""
+    decided = RULES.get((kind(want), kind(got)), lambda *_: float(got is not None and want == got))
+    return decided(want, got, strict)
 
 
 def periodicity(run: str) -> float:
