@@ -24,17 +24,16 @@ def two_digits(column) -> F.Column:
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per model, task and attempt, from every event."""
+    """One row per model, task and attempt, from every event. Attempts are in the order of events: trial_seq tells it, and isn't dense."""
     e, no, task = F.col("event_id"), F.col("user_id") % 12, F.col("event_id") % 8
     rows = table(spark, sf_dir, "events").select(
         "event_id", no.alias("model_no"), F.concat(F.lit("m"), two_digits(no)).alias("model"), F.col("event_type").alias("module"),
         F.concat("event_type", F.lit("_"), two_digits(task)).alias("task_id"), task.alias("task_no"), "value",
     )
-    seq = F.row_number().over(Window.partitionBy("model", "task_id").orderBy("event_id")).cast("long")
     cents = F.floor(F.col("value")).cast("long") % 100
     passed = F.col("value") < 12 + 6 * F.col("model_no")
     return rows.select(
-        "event_id", "model_no", "model", "module", "task_id", "task_no", seq.alias("trial_seq"), "value",
+        "event_id", "model_no", "model", "module", "task_id", "task_no", F.col("event_id").alias("trial_seq"), "value",
         F.when(F.col("task_no") < 3, "easy").when(F.col("task_no") < 6, "medium").otherwise("hard").alias("difficulty"),
         F.when(F.col("task_no") < 4, "baseline").otherwise("hard").alias("tier"),
         F.when(task % 4 == 0, "anchor").when(task % 4 == 1, "mid").when(task % 4 == 2, "hard").otherwise("frontier").alias("band"),
