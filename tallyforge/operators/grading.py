@@ -39,13 +39,13 @@ def fractions(answers: DataFrame, bank: DataFrame) -> DataFrame:
     return check_results(answers, bank).groupBy("trial_id").agg(F.avg(F.col("ok").cast("double")).alias("fraction"))
 
 
-def knowledge(text: Column, kind: Column, answer: Column) -> Column:
-    """By the task's answer type; factual answers by containment here (ratios need scorers.factual with one)."""
+def knowledge(text: Column, kind: Column, answer: Column, exact: Column, fact: Column) -> Column:
+    """By the task's answer type; fact is what scorers.factual_rows gives."""
     return (
-        F.when(kind == "numeric", R.numeric(text, answer.try_cast("double")))
+        F.when(kind == "numeric", R.numeric(text, answer.try_cast("double"), exact))
         .when(kind == "calibration", X.is_uncertain(text).cast("double"))
         .when(kind == "multiple_choice", F.coalesce(R.multiple_choice(text) == F.upper(F.trim(answer)), F.lit(False)).cast("double"))
-        .otherwise(R.factual(text, answer))
+        .otherwise(F.coalesce(fact, F.lit(0.0)))
     )
 
 
@@ -145,14 +145,14 @@ def with_columns(df: DataFrame, **types: str) -> DataFrame:
 OF_ANSWER = {"calls": "string", "results": "string", "final_state": "string", "opening": "string", "closing": "string", "turns": "string", "attempts_used": "int"}
 OF_TASK = {
     "expected": "string", "parallel": "string", "initial_state": "string", "content_checks": "array<string>", "has_tools": "boolean", "conversation": "string", "function_name": "string",
-    "support_code": "string", "test_cases": "string", "regression_cases": "string", "context_files": "string",
+    "accept": "array<string>", "exact": "boolean", "support_code": "string", "test_cases": "string", "regression_cases": "string", "context_files": "string",
 }
 
 
 def grade(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
     """score and passed of each answer (trial_id, task_id, text, truncated, truncation_class).
 
-    bank: task_id, module, answer_type, answer, constraints. Knowledge and long-context answers weigh their form in; format
+    bank: task_id, module, answer_type, answer (with accept, more right answers, and exact), constraints. Knowledge and long-context answers weigh their form in; format
     and plain adversarial answers are their checks, and must parse where JSON is asked for; what is extracted is matched field
     by field. Tools, and adversarial tasks with has_tools, are graded as episodes. For these, answers also have, as JSON texts,
     calls ([{name, arguments}]), results (a list of texts in the order of calls) and final_state, and the texts of the first
@@ -171,7 +171,11 @@ def grade(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
     met = met.withColumn("way", F.when(tooled, "tools").when(extracted, "extract").when(module.isin("code", "multi_turn_if"), module).otherwise("text"))
     shares = fractions(answers, bank).withColumnRenamed("trial_id", "f_trial")
     own = met.filter("way = 'text'").join(shares, F.col("trial_id") == F.col("f_trial"), "left")
-    answered = knowledge(text, F.col("answer_type"), F.col("answer"))
+    told = module.isin("knowledge", "long_context") & ~F.coalesce(F.col("answer_type").isin("numeric", "calibration", "multiple_choice"), F.lit(False))
+    candidates = F.filter(F.concat(F.array("answer"), F.coalesce("accept", F.array().cast("array<string>"))), lambda c: c.isNotNull())
+    facts = R.factual_rows(own.filter(told).select("trial_id", "text", candidates.alias("candidates"), "exact"))
+    own = own.join(facts.select(F.col("trial_id").alias("k_trial"), F.col("score").alias("fact")), F.col("trial_id") == F.col("k_trial"), "left")
+    answered = knowledge(text, F.col("answer_type"), F.col("answer"), F.col("exact"), F.col("fact"))
     formed = F.when(F.col("fraction").isNull(), answered).otherwise(R.with_constraints(answered, F.col("fraction")))
     parsed = J.parse(text)
     gate = (F.col("answer_type") == "json") & (parsed.isNull() | F.is_variant_null(parsed))

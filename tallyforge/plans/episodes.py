@@ -110,14 +110,21 @@ def tools_db_query(spark, sf_dir):
     return W.db_query(W.world_tables(spark, "orders"), {"status": "shipped"}, "total")
 
 
-@entry(None)
+@entry(f"""WITH {X.CALLS_SQL}, kv AS (SELECT episode, string_agg(name || '=' || CAST(v AS VARCHAR), ',' ORDER BY name) AS kv FROM (SELECT episode, name, arg_max(argument, pos) AS v FROM calls WHERE pos % 3 <> 0 GROUP BY episode, name) GROUP BY episode),
+pay AS (SELECT episode, -CAST(sum(CASE WHEN pos % 3 = 0 AND argument <= 40 THEN argument ELSE 0 END) AS BIGINT) AS balance, CAST(sum(CAST(pos % 3 = 0 AND argument <= 40 AS INT)) AS BIGINT) AS refunds,
+CAST(sum(CAST(pos % 3 = 0 AND argument > 40 AS INT)) AS BIGINT) AS failed FROM calls GROUP BY episode) SELECT episode, failed, balance, refunds, coalesce(kv, '') AS kv FROM pay LEFT JOIN kv USING (episode)""")
 def tools_episodes(spark, sf_dir):
     """Episodes in order, each call writing its argument under its tool's name or asking for a refund."""
     c = X.calls(spark, sf_dir)
     put = F.concat(F.lit('{"key": "'), "name", F.lit('", "value": '), F.col("argument").cast("string"), F.lit("}"))
-    pay = F.concat(F.lit('{"order_id": 1, "amount": '), F.col("argument").cast("string"), F.lit("}"))
+    pay = F.concat(F.lit('{"order_id": 1, "amount": '), F.when(F.col("argument") > 40, F.col("argument") + 20).otherwise(F.col("argument")).cast("string"), F.lit("}"))
     kind = F.when(F.col("pos") % 3 == 0, "issue_refund").otherwise("kv_set")
-    return W.episodes(c.select("episode", "pos", kind.alias("name"), F.when(F.col("pos") % 3 == 0, pay).otherwise(put).alias("arguments")))
+    played = W.episodes(c.select("episode", "pos", kind.alias("name"), F.when(F.col("pos") % 3 == 0, pay).otherwise(put).alias("arguments")))
+    state = F.from_json("final_state", "balance long, refunds array<struct<amount:long>>, kv map<string,long>")
+    pairs = F.array_sort(F.transform(F.map_entries("s.kv"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))))
+    return played.withColumn("s", state).select(
+        "episode", "failed", F.coalesce("s.balance", F.lit(0)).alias("balance"), F.coalesce(F.size("s.refunds"), F.lit(0)).cast("long").alias("refunds"), F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("kv")
+    )
 
 
 # Scorers.
@@ -197,14 +204,19 @@ def r18_delta_credit(spark, sf_dir):
     return rounded(X.table(spark, sf_dir, "events").select("event_id", R.delta_credit((e % 11) / 10.0, (e % 6) / 5.0).alias("credit")))
 
 
-@entry(None)
+#: Benchmark items as answers to themselves: whole, without most letters e, or without most vowels; and in capitals, to the letter.
+NEEDLE = "CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '([a-z])e', '\\1', 'g') WHEN 2 THEN regexp_replace(text, '([a-z])[aeiou]', '\\1', 'g') ELSE upper(text) END"
+
+
+@entry(f"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark), n AS (SELECT item_id, text, {NEEDLE} AS needle, item_id % 8 = 3 AS exact FROM b),
+h AS (SELECT *, CASE WHEN exact THEN contains(text, needle) ELSE contains(lower(text), lower(needle)) END AS held, len(text) AS t, len(needle) AS k FROM n)
+SELECT item_id, held, CASE WHEN NOT held AND NOT exact THEN round(CAST(2 * k AS DOUBLE) / (k + t), 6) END AS ratio, CAST(held OR (NOT exact AND CAST(2 * k AS DOUBLE) / (k + t) >= 0.85) AS INT)::DOUBLE AS score FROM h""")
 def r3_factual(spark, sf_dir):
-    """Whole benchmark items looked for in themselves, by containment, and in all other items, by containment and window ratio."""
-    b = X.table(spark, sf_dir, "benchmark").withColumn("needle", F.lower("text"))
-    other = b.select(F.col("item_id").alias("other_id"), F.lower("text").alias("other"))
-    met = Z.on_distinct(b.join(other, F.col("item_id") != F.col("other_id"), "left"), ["needle", "other"], "ratio", Z.window)
-    close = F.coalesce(R.factual(F.col("other"), F.col("needle"), F.col("ratio")), F.lit(0.0))
-    return rounded(met.groupBy("item_id").agg(F.max(R.factual(F.col("text"), F.col("needle"))).alias("held"), F.max(close).alias("close")))
+    """What is left after letters are taken out is a subsequence, so its ratio to the whole text is known from lengths alone."""
+    i, text = F.col("item_id") % 4, F.trim(F.regexp_replace("text", r"\s+", " "))
+    needle = F.when(i == 0, text).when(i == 1, F.regexp_replace(text, "([a-z])e", "$1")).when(i == 2, F.regexp_replace(text, "([a-z])[aeiou]", "$1")).otherwise(F.upper(text))
+    rows = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("trial_id"), text.alias("text"), F.array(needle).alias("candidates"), (F.col("item_id") % 8 == 3).alias("exact"))
+    return rounded(R.factual_rows(rows)).withColumnRenamed("trial_id", "item_id")
 
 
 # Maintenance.

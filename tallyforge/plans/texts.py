@@ -236,7 +236,21 @@ def d_table_files(spark, sf_dir):
     )
 
 
-@entry(None)
+def lcs_sql(pairs: str) -> str:
+    """CTEs that end in lcs(id, n): the longest common subsequence of each pair (id, a, b), a row of the table at a time."""
+    return f"""pr AS ({pairs}), gr AS (
+  SELECT id, 0 AS i, unnest(range(0, len(b) + 1)) AS j, 0 AS v FROM pr
+  UNION ALL
+  SELECT id, i + 1, j, CAST(max(t) OVER (PARTITION BY id ORDER BY j) AS INT) FROM (
+    SELECT gr.id, gr.i, gr.j, CASE WHEN gr.j > 0 AND pr.a[gr.i + 1] = pr.b[gr.j] THEN lag(gr.v) OVER (PARTITION BY gr.id ORDER BY gr.j) + 1 ELSE gr.v END AS t FROM gr JOIN pr USING (id) WHERE gr.i < len(pr.a)
+  )
+), lcs AS (SELECT pr.id, max(CASE WHEN gr.i = len(pr.a) THEN v END) AS n FROM gr JOIN pr USING (id) GROUP BY pr.id)"""
+
+
+PAIRED = "SELECT x.item_id AS id, x.text AS a, y.text AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1"
+
+
+@entry(f"WITH RECURSIVE {lcs_sql(PAIRED)} SELECT id AS item_id, round(2 * CAST(n AS DOUBLE) / (len(a) + len(b)), 6) AS ratio FROM lcs JOIN pr USING (id)")
 def x6_indel_ratio(spark, sf_dir):
     """Benchmark items against each other's neighbours, on distinct pairs."""
     b = P.table(spark, sf_dir, "benchmark")
@@ -244,12 +258,19 @@ def x6_indel_ratio(spark, sf_dir):
     return rounded(Z.on_distinct(b.join(nxt, "item_id"), ["text", "next"], "ratio", Z.ratio).select("item_id", "ratio"))
 
 
-@entry(None)
+@entry("""WITH r AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: len(w) >= 200)) AS run FROM documents),
+c AS (SELECT doc_id, run[1:4096] AS s, unnest(range(1, least(64, len(run[1:4096]) // 2) + 1)) AS p FROM r),
+m AS (SELECT doc_id, max(CAST(list_sum(list_transform(range(1, len(s) - p + 1), lambda i: CASE WHEN s[i] = s[i + p] THEN 1 ELSE 0 END)) AS DOUBLE) / (len(s) - p)) AS v FROM c GROUP BY doc_id)
+SELECT doc_id, round(coalesce(v, 0), 6) AS char_loop FROM documents LEFT JOIN m USING (doc_id)""")
 def x4_char_loop(spark, sf_dir):
     return rounded(P.table(spark, sf_dir, "documents").select("doc_id", Z.char_loop_ratio(F.col("text")).alias("char_loop")))
 
 
-@entry(None)
+KINDS = "SELECT event_type AS id, event_type AS a, 'signup page' AS b FROM events GROUP BY event_type"
+
+
+@entry(f"""WITH RECURSIVE {lcs_sql(KINDS)}, kd AS (SELECT id, CASE WHEN contains(b, a) THEN 0.8 ELSE 2 * CAST(n AS DOUBLE) / (len(a) + len(b)) END AS kind FROM lcs JOIN pr USING (id))
+SELECT event_id, round(CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 0 ELSE (CAST(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) = 30 AS INT) + kind) / 2 END, 6) AS match FROM events JOIN kd ON id = event_type""")
 def x8_value_match(spark, sf_dir):
     e = P.table(spark, sf_dir, "events")
     want = F.concat(F.lit('{"k": 30, "kind": "'), "event_type", F.lit('"}'))

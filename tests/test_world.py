@@ -193,16 +193,12 @@ def test_gate_and_live_episodes(spark, tmp_path):
     assert got == {0: 3, 1: 3, 2: 3}
 
 
-def test_whole_items_are_looked_for_in_all_others(spark, tmp_path):
-    from tallyforge.functions import fuzzy
-    from tallyforge.plans import episodes
-
-    head = "What is the capital city of the old kingdom "  # over 40 characters
-    texts = [head + "in the north?", head + "by the southern sea, and who rules there?", "Before: " + head.upper() + "IN THE NORTH? And after.", "Something else.", head + "in the norths?"]
-    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    want = {}
-    for i, a in enumerate(x.lower() for x in texts):
-        marks = [1.0 if a in b else fuzzy.window_ratio(a, b) for j, b in enumerate(x.lower() for x in texts) if i != j]
-        want[i] = (1.0, round(max((m for m in marks if m >= 0.85), default=0.0), 6))
-    found = {r["item_id"]: (r["held"], r["close"]) for r in episodes.r3_factual(spark, str(tmp_path)).collect()}
-    assert found == want and [want[i][1] for i in (0, 1, 3)] == [1.0, 0.0, 0.0] and 0.85 <= want[4][1] < 1
+def test_factual_answers_by_containment_ratio_and_to_the_letter(spark):
+    from tallyforge.operators import scorers
+
+    rows = [
+        (1, "It is in Lisbon.", ["lisbon"], False), (2, "It is in Lisbon.", ["lisbon"], True), (3, "the treaty of westfalia ended it", ["Treaty of Westphalia"], False),
+        (4, "the treaty of westfalia ended it", ["Treaty of Westphalia"], True), (5, "no idea", ["Rome", "no idea"], None), (6, None, ["x"], False), (7, "Paris", [], False),
+    ]
+    got = {r["trial_id"]: (r["held"], r["score"]) for r in scorers.factual_rows(spark.createDataFrame(rows, "trial_id long, text string, candidates array<string>, exact boolean")).collect()}
+    assert got == {1: (True, 1.0), 2: (False, 0.0), 3: (False, 1.0), 4: (False, 0.0), 5: (True, 1.0), 6: (False, 0.0), 7: (False, 0.0)}
