@@ -17,7 +17,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def place(spark: SparkSession, name: str) -> str:
     """A checkpoint location: in the shared folder where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.gettempdir()
     return f"{shared}/tallyforge-stream-{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -43,9 +46,18 @@ def stream_daily(spark, sf_dir):
     return daily.select(F.to_date("day").cast("string").alias("day"), "event_type", "n")
 
 
-@entry("SELECT 'm' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS model, count(*) >= 5 AND false AS abort FROM events GROUP BY ALL HAVING count(*) >= 5")
+@entry("""SELECT 'u' || CAST(user_id AS VARCHAR) AS model, bool_and(user_id % 3 = 0) AS abort FROM events GROUP BY ALL HAVING count(*) >= 2""")
 def stream_dead_gate(spark, sf_dir):
-    """No run of these is dead at its start: a trial is only where its event's value is 0."""
+    """A run for each user, dead or alive by the user's number; two finished trials decide."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = events(spark, sf_dir).select(F.concat(F.lit("m"), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0")).alias("model"), (F.col("value") <= 0).alias("dead"))
-    return drained(spark, L.dead_gate(rows), "append")
+    rows = events(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("model"), (F.col("user_id") % 3 == 0).alias("dead"))
+    return drained(spark, L.dead_gate(rows, 2), "append")
+
+
+@entry("SELECT event_id FROM events")
+def stream_top_up(spark, sf_dir):
+    """The same events streamed twice into one lake: each is there once."""
+    lake = place(spark, "lake")
+    for run in ("first", "second"):
+        L.top_up(events(spark, sf_dir).select("event_id"), lake, "event_id", place(spark, run))
+    return spark.read.parquet(lake)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import re
+from datetime import UTC, datetime
 from pathlib import Path
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -110,6 +115,123 @@ def read_log(spark: SparkSession, path: str, fingerprint: dict[str, str], ddl: s
     return log_rows(raw, fingerprint, ddl)
 
 
+class TrialLog:
+    """An append-only log of a run's finished trials: a header with the run's fingerprint, then a JSON line for each.
+
+    Every line is on disk before the next trial begins, so a run that dies leaves all but its last. ``discard`` goes with the
+    results file: a log that is still there means that a run did not finish.
+    """
+
+    def __init__(self, path: str | Path, fingerprint: dict[str, Any]):
+        self.path, self.fingerprint = Path(path), fingerprint
+
+    def __enter__(self) -> TrialLog:
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        self.file = self.path.open("a", encoding="utf-8")
+        if not self.file.tell():
+            self.append({"__checkpoint__": self.fingerprint})
+        return self
+
+    def append(self, row: dict[str, Any]) -> None:
+        self.file.write(json.dumps(row, default=str) + "\n")
+        self.file.flush()
+        os.fsync(self.file.fileno())
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+    def discard(self) -> None:
+        self.file.close()
+        self.path.unlink(missing_ok=True)
+
+
+def log_path(results: str | Path) -> Path:
+    return Path(f"{results}.partial.jsonl")
+
+
+#: What has to be the same for trials of two sessions to be one run. Where the model was served is no part of it.
+SAME_RUN = ("model", "profile", "thinking", "temperature", "seed", "max_tokens", "max_tokens_override", "bench_version")
+
+
+def run_fingerprint(settings: dict[str, Any]) -> dict[str, Any]:
+    return {name: settings.get(name) for name in SAME_RUN}
+
+
+def read_trial_log(spark: SparkSession, path: str, fingerprint: dict[str, Any], ddl: str = schema.TRIAL) -> DataFrame:
+    """Trials of an interrupted run: none if the log is another run's, and none from the first torn line on."""
+    own = {k: json.dumps(v) for k, v in fingerprint.items()}
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
+    head = raw.filter("line_no = 0").select("file", F.get_json_object("value", "$.__checkpoint__").alias("head")).collect()  # a line for each run's log
+    fits = [r["file"] for r in head if r["head"] and {k: json.dumps(v) for k, v in json.loads(r["head"]).items() if k != "endpoint"} == own]
+    rows = raw.filter(F.col("file").isin(fits) & (F.col("line_no") > 0))
+    torn = F.max(F.try_parse_json("value").isNull()).over(Window.partitionBy("file").orderBy("line_no"))
+    return rows.withColumn("torn", torn).filter("NOT torn").select("file", "line_no", F.from_json("value", ddl).alias("row")).select("file", "line_no", "row.*")
+
+
+def append_log(path: str | Path, row: dict[str, Any]) -> None:
+    """A line more in a log that is only ever appended to; it is stamped in UTC."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with Path(path).open("a", encoding="utf-8") as f:
+        f.write(json.dumps({"at": datetime.now(UTC).isoformat(timespec="seconds")} | row, default=str) + "\n")
+
+
+def find_tasks_dir(*bases: str | Path) -> Path:
+    """The first folder `tasks` below the given places (here, then beside the package)."""
+    places = [Path(b) / "tasks" for b in bases or (Path.cwd(), Path(__file__).resolve().parents[2])]
+    found = next((p for p in places if p.is_dir()), None)
+    if found is None:
+        raise FileNotFoundError(f"no folder of tasks: {', '.join(map(str, places))}")
+    return found
+
+
+def candidate_fingerprint(folder: str | Path, module: str) -> str:
+    """Twelve digits that change with a module's task file; empty without one."""
+    file = Path(folder) / f"{module}.yaml"
+    return hashlib.sha256(file.read_bytes()).hexdigest()[:12] if file.exists() else ""
+
+
+def read_expectation(folder: str | Path, module: str, task_id: str) -> dict | None:
+    """What a candidate's author said beforehand that the probe would show."""
+    import yaml
+
+    file = Path(folder) / f"{module}.yaml"
+    data = (yaml.safe_load(file.read_text()) or {}) if file.exists() else {}
+    return next((t.get("probe_expect") for t in data.get("tasks", []) if t.get("id") == task_id), None)
+
+
+def slug(name: str) -> str:
+    return re.sub(r"[^\w.-]", "_", name)
+
+
+def probe_paths(root: str | Path, task_id: str) -> dict[str, Path]:
+    return {"tasks": Path(root) / "tasks", "run": Path(root) / "runs" / slug(task_id), "log": Path(root) / "log.jsonl"}
+
+
+def assert_outside(path: str | Path, results: str | Path) -> None:
+    """Refuses a path within the results, where a probe's files would pass for a run's."""
+    own, kept = Path(path).resolve(), Path(results).resolve()
+    if own.is_relative_to(kept):
+        raise ValueError(f"{own} is inside the results {kept}")
+
+
+def served_context(body: Column) -> Column:
+    """The context window that a server's properties (JSON) tell; null if they tell none. Asking the server is the caller's part."""
+    n = F.get_json_object(body, "$.default_generation_settings.n_ctx").try_cast("long")
+    return F.when(n > 0, n)
+
+
+def context_urls(endpoint: str, model: str) -> list[str]:
+    """Where a server may tell its properties, in the order to try."""
+    root = re.sub(r"/v1/?$", "", endpoint.rstrip("/"))
+    return [f"{root}/props", f"{root}/upstream/{model}/props"]
+
+
+def save_board(rows: DataFrame, path: str | Path, **more: Any) -> None:
+    """The board as one JSON document; it has a row for each model."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(more | {"rows": [json.loads(r) for r in rows.toJSON().collect()]}, indent=2, ensure_ascii=False))
+
+
 def cycles_for(log: DataFrame, task_id: str) -> DataFrame:
     """How often a task was probed with a valid verdict, over lines that parse (value)."""
     row = F.from_json("value", "task_id string, verdict string")

@@ -43,6 +43,25 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"
     return q
 
 
+def top_up(rows: DataFrame, lake: str, uid: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream's trials to a lake of trials, each uid once, whether it came before in the stream or in an earlier run.
+
+    A batch that is run again after a failure finds its rows in the lake and adds nothing.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([uid])
+        place = spark._jvm.org.apache.hadoop.fs.Path(lake)
+        if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(lake).select(uid), uid, "left_anti").select(*batch.columns)
+        fresh.write.mode("append").parquet(lake)
+
+    q = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 class DeadGate(StatefulProcessor):
     """Keyed by run: says once whether the first `need` finished trials were all dead."""
 
