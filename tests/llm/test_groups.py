@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from tallyforge.llm import groups
+from tallyforge.llm import groups, repeats
 
 from .corpus import documents, empty, rows
 
@@ -74,6 +74,18 @@ def test_a_passage_in_many_documents_is_spread_over_parts(spark):
     assert found(spark, texts, part_bytes=1500) == all_repeats(texts, 50)
 
 
+def test_the_digests_of_documents_follow_from_the_groups(spark):
+    """A byte goes if a group's occurrence covers it, in a document larger than the group's smallest."""
+    texts = corpus(4)
+    frame = spark.createDataFrame(list(enumerate(t.decode() for t in texts)), "doc_id long, text string")
+    cover = [np.zeros(len(t), bool) for t in texts]
+    for length, at in found(spark, texts):
+        for d, p in at:
+            if d > min(i for i, _ in at):
+                cover[d][p : p + length] = True
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.report(frame).collect()} == {i: int(c.sum()) for i, c in enumerate(cover)}
+
+
 def test_intervals_in_blocks_are_those_of_the_whole():
     rng = np.random.default_rng(3)
     for _ in range(200):
