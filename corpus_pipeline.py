@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases: a null text has no words and goes at the first stage; a null doc_id is kept, is nobody's smaller document, and loses
+to a row that has one where both are near-duplicates; rows with one doc_id and different texts are documents of their own, equal rows
+are near-duplicates of each other; columns beyond those of documents are carried along, whatever their names; n_chars, where it
+is a column, follows the text. An empty table gives empty tables.
 """
 
 from __future__ import annotations
