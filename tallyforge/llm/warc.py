@@ -25,11 +25,12 @@ from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .shared import materialize, new_path
+from .shared import new_path
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"  # archives are made from tables that tell no date; equal input gives equal bytes
@@ -210,7 +211,7 @@ class Files(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str], fields: list[str]):
-        self.path, self.files = options["path"], options.get("files", "")
+        self.path, self.manifest = options["path"], options.get("manifest", "")
         self.target = int(options.get("partition_bytes", 128 << 20))
         self.payload, self.fields = options.get("payload", "true").lower() == "true", fields
         self.tests: list[tuple[str, list]] = []
@@ -225,8 +226,10 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, root = filesystem(self.path)
-        if self.files:
-            found = [(n, int(s)) for n, s in (x.rsplit(":", 1) for x in self.files.split(","))]
+        if self.manifest:
+            of, place = filesystem(self.manifest)
+            rows = pyarrow.parquet.read_table(place, columns=["file", "bytes"], filesystem=of).to_pydict()
+            found = sorted(zip(rows["file"], rows["bytes"], strict=True))
         else:
             infos = fs.get_file_info(pa.fs.FileSelector(root, recursive=True, allow_not_found=True))
             found = sorted((i.path[len(root) :].lstrip("/"), i.size) for i in infos if i.is_file and i.path.endswith((".warc", ".warc.gz")))
@@ -260,7 +263,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """spark.read.format("warc").load(folder); options path, files (name:bytes,...), payload, partition_bytes."""
+    """spark.read.format("warc").load(folder); options path, manifest (Parquet of file and bytes: only these are read), payload, partition_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -278,12 +281,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def read(spark: SparkSession, path: str, files: list[tuple[str, int]] | None = None, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, manifest: str | None = None, payload: bool = True) -> DataFrame:
     register(spark)
     found = spark.read.format("warc").option("payload", str(payload).lower()).option("partition_bytes", 16 << 20)
-    if files is not None:
-        found = found.option("files", ",".join(f"{n}:{s}" for n, s in files))
-    return found.load(path)
+    return (found if manifest is None else found.option("manifest", manifest)).load(path)
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -304,11 +305,9 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    manifest = materialize(write(with_revisits(pages), path), "manifest")
-    files = [(r["file"], r["bytes"]) for r in manifest.select("file", "bytes").orderBy("file").collect()]  # one for each ROLL bytes or task
-    if not files:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = read(spark, path, files)
+    manifest = new_path(spark, "manifest")
+    write(with_revisits(pages), path).write.parquet(manifest)
+    found = read(spark, path, manifest)
     response = F.col("record_type") == "response"
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1) AS BIGINT)")
     return found.select(
