@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,17 @@ def drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     return spark.table(name)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for as long as a stream runs."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.read_events(spark, sf_dir, X.table(spark, sf_dir, "events").schema)
 
@@ -49,9 +62,9 @@ def stream_daily(spark, sf_dir):
 @entry("""SELECT 'u' || CAST(user_id AS VARCHAR) AS model, bool_and(user_id % 3 = 0) AS abort FROM events GROUP BY ALL HAVING count(*) >= 2""")
 def stream_dead_gate(spark, sf_dir):
     """A run for each user, dead or alive by the user's number; two finished trials decide."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = events(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("model"), (F.col("user_id") % 3 == 0).alias("dead"))
-    return drained(spark, L.dead_gate(rows, 2), "append")
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
+        return drained(spark, L.dead_gate(rows, 2), "append")
 
 
 @entry("SELECT event_id FROM events")
