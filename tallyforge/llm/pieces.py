@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The best segmentation is that of the highest sum of piece scores. Positions are taken from left to right; a position's best
-way in comes from at most ``longest`` positions back, so scores live in a ring of ``longest`` + 1 places. Ids are committed as
+way in comes from at most ``longest`` positions back, so scores are held of at most ``longest`` + 1 positions. Ids are committed as
 soon as every surviving way leads through one boundary: at a position that no piece spans, or, where back-pointers have
 piled up, at the last boundary that the ways to all live positions share. Where ways don't meet at all (periodic text such
 as "aaaa...", whose best beginning depends on how it ends), they are folded from ``FOLD`` * ``longest`` back-pointers on: each of
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import sliced
 
 SPACE = "▁"
-REMEMBERED, LONG_WORD = 300_000, 400
+REMEMBERED, LONG_WORD = 500_000, 400
 #: Back-pointers, in lengths of the longest piece, from which ways that don't meet are folded.
 FOLD = 16
 
@@ -52,10 +52,12 @@ class Ways:
         self.model = model
         self.back: dict[int, tuple[int, int]] = {}  # position -> start and id of the last piece
         self.roots: dict[int, list[tuple[tuple[int, ...], int]]] = {0: []}
-        self.most = 0
+        self.most = self.folded = 0  # the most ids and back-pointers held at once; ids held in roots
 
     def note(self) -> None:
-        self.most = max(self.most, len(self.back) + sum(len(ids) for blocks in self.roots.values() for ids, _ in blocks))
+        held = len(self.back)
+        if held > self.most - self.folded:
+            self.most = held + self.folded
 
     def trace(self, text: str, end: int) -> tuple[int, list[int]]:
         """The root of the way to end, and the ids from there."""
@@ -85,15 +87,16 @@ class Ways:
         """The ids up to cut, which all ways lead through; it is the only root from now on."""
         self.note()
         root, ids = self.trace(text, cut)
-        done = [i for block, times in self.roots[root] for _ in range(times) for i in block]
-        self.back = {p: x for p, x in self.back.items() if p > cut}
-        self.roots = {cut: []}
-        return done + ids
+        done = [i for block, times in self.roots[root] for _ in range(times) for i in block] if self.roots[root] else []
+        self.back = {p: x for p, x in self.back.items() if p > cut} if max(self.back) > cut else {}
+        self.roots, self.folded = {cut: []}, 0
+        return done + ids if done else ids
 
     def fold(self, text: str, live: list[int]) -> None:
         self.note()
         found = {p: self.trace(text, p) for p in live}
         self.roots = {p: folded(self.roots[root], ids) for p, (root, ids) in found.items()}
+        self.folded = sum(len(ids) for blocks in self.roots.values() for ids, _ in blocks)
         self.back = {}
 
 
@@ -155,8 +158,13 @@ class Model:
                 self.out[i] = " ⁇ ".encode()
         for value, i in self.bytes.items():
             self.out[i] = bytes([value])
-        # Pieces, and None for what only begins pieces, so that a search for pieces ends early.
-        self.table = dict.fromkeys(p[:k] for p in self.ids for k in range(1, len(p))) | self.ids
+        # character -> (the characters that may follow, the id of the piece that ends here or -1, its score)
+        self.trie: dict[str, tuple] = {}
+        for name, (i, gain) in self.ids.items():
+            node = self.trie
+            for character in name[:-1]:
+                node = node.setdefault(character, ({}, -1, 0.0))[0]
+            node[name[-1]] = (node[name[-1]][0] if name[-1] in node else {}, i, gain)
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.ids))
         apart = f"[{alone}]" if alone else "(?!)"
@@ -169,19 +177,19 @@ class Model:
 
     def segment(self, text: str) -> Iterator[list[int]]:
         """Lists of ids, in order, as they are committed."""
-        table, longest, unknown_score, unknown = self.table.get, self.longest, self.unknown_score, self.unknown
-        n, ring, none = len(text), longest + 1, float("-inf")
-        score = [none] * ring  # of the positions from here to `longest` further, by position modulo ring
-        score[0] = 0.0
+        root, longest, unknown_score, unknown = self.trie, self.longest, self.unknown_score, self.unknown
+        n, none = len(text), float("-inf")
+        score = {0: 0.0}  # of the positions from here to `longest` further
         ways = Ways(self)
         back = ways.back
-        spanned, patience = 0, 2 * longest  # the farthest end of a piece that began before; positions held until the next look
+        spanned, patience = 0, 2 * longest  # the farthest end of a piece that began before; back-pointers held until the next look
         for at in range(n):
-            if at == spanned and at:  # no piece spans this position: all ways lead through it
-                yield ways.commit(text, at)
-                back = ways.back
+            if at == spanned:  # no piece spans this position: all ways lead through it
+                if at:
+                    yield ways.commit(text, at)
+                    back = ways.back
             elif len(back) > patience:
-                live = [p for p in range(at, spanned + 1) if score[p % ring] > none]
+                live = [at, *(p for p in score if p > at)] if at in score else list(score)
                 cut = ways.meeting(live)
                 if cut is not None:
                     yield ways.commit(text, cut)
@@ -189,29 +197,29 @@ class Model:
                     ways.fold(text, live)
                 back = ways.back
                 patience = len(back) + 2 * longest
-            slot = at % ring
-            here, score[slot] = score[slot], none
+            here = score.pop(at, none)
             if here == none:
                 continue
-            single = False
-            for end in range(at + 1, n + 1):
-                found = table(text[at:end], False)
-                if found is False:
+            node, end = root, at
+            for character in text[at : at + longest]:
+                step = node.get(character)
+                if step is None:
                     break
-                if found is not None:
-                    single = single or end == at + 1
-                    value = here + found[1]
-                    if value > score[end % ring]:  # starts come in order: of equal ways the longer last piece stays
-                        score[end % ring] = value
-                        back[end] = (at, found[0])
-                        spanned = end if end > spanned else spanned
-            if not single and here + unknown_score > score[(at + 1) % ring]:
-                score[(at + 1) % ring] = here + unknown_score
+                node, piece, gain = step
+                end += 1
+                if piece >= 0 and here + gain > score.get(end, none):  # starts come in order: of equal ways the longer last piece stays
+                    score[end] = here + gain
+                    back[end] = (at, piece)
+                    if end > spanned:
+                        spanned = end
+            if here + unknown_score > score.get(at + 1, none):  # a piece of one character always beats this
+                score[at + 1] = here + unknown_score
                 back[at + 1] = (at, unknown)
                 spanned = max(spanned, at + 1)
         if n:
             yield ways.commit(text, n)
-        self.held = max(self.held, ways.most)
+        if ways.most > self.held:
+            self.held = ways.most
 
     def coded(self, word: str) -> bytes:
         found = self.elder.get(word)
