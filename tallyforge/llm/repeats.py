@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, parts_for, sliced, text_bytes
 
 LEAST, KMER = 50, 24
-BLOCK, FLUSH, LEAST_BUCKETS, BUCKET = 1 << 20, 700_000, 12, 12 << 20
+BLOCK, FLUSH, LEAST_BUCKETS, BUCKET = 1 << 18, 350_000, 12, 12 << 20
 #: More wanted strings than this under one minimizer are dealt suffix by suffix.
 HOT = 1000
 BASE = 0x9E3779B97F4A7C15

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
-#: With this, shuffle files go as soon as the query that wrote them has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, shuffle files go as soon as the query that wrote them has ended, and Arrow batches are small.
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
@@ -46,12 +47,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in (CLEANUP, BATCH)}
+    own = int(before[BATCH])
     try:
+        spark.conf.set(CLEANUP, "true")
+        spark.conf.set(BATCH, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
