@@ -208,7 +208,7 @@ def r18_delta_credit(spark, sf_dir):
 NEEDLE = "CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '([a-z])e', '\\1', 'g') WHEN 2 THEN regexp_replace(text, '([a-z])[aeiou]', '\\1', 'g') ELSE upper(text) END"
 
 
-@entry(f"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark), n AS (SELECT item_id, text, {NEEDLE} AS needle, item_id % 8 = 3 AS exact FROM b),
+@entry(f"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark), n AS (SELECT item_id, text, {NEEDLE} AS needle, item_id % 8 = 3 AS exact FROM b),
 h AS (SELECT *, CASE WHEN exact THEN contains(text, needle) ELSE contains(lower(text), lower(needle)) END AS held, len(text) AS t, len(needle) AS k FROM n)
 SELECT item_id, held, CASE WHEN NOT held AND NOT exact THEN round(CAST(2 * k AS DOUBLE) / (k + t), 6) END AS ratio, CAST(held OR (NOT exact AND CAST(2 * k AS DOUBLE) / (k + t) >= 0.85) AS INT)::DOUBLE AS score FROM h""")
 def r3_factual(spark, sf_dir):
