@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts whose strings in that column have about `size` bytes, or a single row."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(lengths) - lengths) // size
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows], strict=True):
+            yield b.slice(a, z - a)
+
+
 def parts_for(spark: SparkSession, n_bytes: int, each: int, least: int = 1) -> int:
     """Partitions of about `each` bytes."""
     return max(least, -(-int(n_bytes) // each))
