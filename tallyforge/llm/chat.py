@@ -11,7 +11,8 @@ every block is decoded by itself. The pieces of a turn that goes on over cuts ar
 every row is a whole turn (continues, which older readers know, is always false).
 
 Defined cases: a null text is an empty line; a null turn comes first; a null conv_id is a conversation like another; equal
-rows (conv_id, turn, text) are one chunk; chunks of one turn number are in the order of their texts' hashes; ties between
+rows (conv_id, turn, text) are chunks of their own, one after the other; chunks of one turn number are in the order of their texts' hashes
+(with over ``ROWS`` equal ones, in rounds of so many copies of each); ties between
 ways go to the state listed first; a conversation without any marker is one turn of the role its first line is likeliest
 to have. Columns beyond these three are ignored. An empty table gives an empty table.
 """
@@ -242,19 +243,24 @@ def rendered(turns: DataFrame) -> DataFrame:
     return found.select("conv_id", "turn", "line", "role", F.lit(False).alias("continues"), "text", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("rendered"))
 
 
-def parse(chunks: DataFrame, turns: int = TURNS, rows: int = ROWS) -> DataFrame:
+def parse(chunks: DataFrame, turns: int = TURNS, rows: int = ROWS, copies: int = ROWS) -> DataFrame:
     """conv_id, turn and line where it begins, role, continues, text and rendered of every recovered turn."""
-    own = chunks.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    own = chunks.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Equal rows are counted first and dealt in rounds, so that however many there are, no block holds them all.
+    whole = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / copies))
+    own = own.groupBy("conv_id", "turn", "text").agg(F.count("*").alias("times")).withColumn("round", F.explode(whole))
+    own = own.withColumn("times", F.least(F.col("times") - F.col("round") * copies, F.lit(copies)))
     own = own.withColumn("h", F.xxhash64("text")).withColumn("g", F.coalesce(F.floor(F.col("turn") / turns), F.lit(-(1 << 62))).cast("long"))
     own = materialize(own, "chunks")
-    sizes = own.groupBy("conv_id", "g").agg(F.count("*").alias("n"))
+    sizes = own.groupBy("conv_id", "g").agg(F.sum("times").alias("n"))
     # Blocks with too many rows are cut by turn, and a turn's rows by their hash.
     over = sizes.filter(F.col("n") > rows).select(F.col("conv_id").alias("o_conv"), F.col("g").alias("o_g"), F.ceil(F.col("n") / rows).alias("parts"))
     spread = F.lit(0.5) + F.col("h") / F.lit(2.0**64)  # from 0 to 1, in the order of h
     cut = own.join(over, own.conv_id.eqNullSafe(over.o_conv) & (own.g == over.o_g), "left").select(
         "conv_id", "g", F.when(F.col("parts").isNotNull(), F.coalesce("turn", F.lit(0))).otherwise(0).cast("long").alias("sub"),
-        F.coalesce(F.floor(spread * F.col("parts")), F.lit(0)).cast("long").alias("part"), "turn", "h", "text",
-    )
+        (F.shiftleft("round", 32) + F.coalesce(F.floor(spread * F.col("parts")), F.lit(0))).cast("long").alias("part"), "turn", "h", "text",
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
+    ).drop("copy")
     cut = materialize(cut, "blocks")
     order = [F.asc_nulls_first(c) for c in (*KEYS, "turn", "h", "text")]
 

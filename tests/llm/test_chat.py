@@ -55,7 +55,7 @@ def test_awkward_rows(spark):
     found = plain(chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")).collect())
     second = sorted((r for r in found if r[0] == 2), key=lambda r: (-1 if r[1] is None else r[1], r[2]))  # a turn without a number comes first
     assert [(r[1], r[2], r[3], r[4]) for r in second] == [(None, 0, "user", "<|user|>\nhi\n"), (3, 0, "assistant", "<|assistant|>\nhello\n"), (3, 2, "user", "<|user|>\nquoted?\n")]
-    assert [r for r in found if r[0] == 1][0][4].endswith("\nhello\nthere\n") and len([r for r in found if r[0] == 1]) == 1
+    assert [r for r in found if r[0] == 1][0][4].endswith("\nhello\nhello\nthere\n") and len([r for r in found if r[0] == 1]) == 1
     assert len([r for r in found if r[0] is None]) == 1
 
 
@@ -64,6 +64,15 @@ def test_markers(line, role):
     assert chat.marker(line)[0] == role
 
 
+@pytest.mark.parametrize(("turns", "rows", "copies"), [(1024, 20_000, 20_000), (1, 2, 3), (1024, 2, 7), (2, 5, 5)])
+def test_repeated_rows_are_chunks_of_their_own(spark, turns, rows, copies):
+    said = [(1, 0, "Human: hi"), (1, 1, "AI: yo"), (1, 1, "AI: yo"), *[(1, 2, "Human: again")] * 11, (1, 3, "AI: end")]
+    chunks = spark.createDataFrame(said * 1 + [(2, 0, "User: x")] * 4, "conv_id long, turn long, text string")
+    found = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.parse(chunks, turns, rows, copies).collect())
+    want = [(1, 0, "user", "hi"), *[(1, 1, "assistant", "yo")] * 2, *[(1, 2, "user", "again")] * 11, (1, 3, "assistant", "end"), *[(2, 0, "user", "x")] * 4]
+    assert found == want
+
+
 def test_empty(spark):
     assert chat.parse(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0
 
