@@ -110,6 +110,13 @@ def test_long_runs_of_white_space(blank):
     assert packing.encode(text, json_path, ranks).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_the_guard_takes_many_runs_of_blanks():
+    text = ("x" + " " * (packing.BLANKS - 1)) * 200 + "y"  # 2 MB
+    began = time.time()
+    assert not packing.blank_run(text) and packing.blank_run(text + " " * packing.BLANKS) and packing.blank_run(" " * packing.BLANKS)
+    assert time.time() - began < 1
+
+
 def test_pack_takes_a_blank_text(spark):
     rows = packing.pack(spark.createDataFrame([(1, " " * 1_000_000), (2, "x")], "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in rows} == {1, 2}
