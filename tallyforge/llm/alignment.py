@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .divergence import within
 from .shared import by_bytes, materialize
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+NOTHING = (np.zeros(0, np.int32), np.zeros(0, np.int32))
 #: Texts with a run of so many white space characters are coded by the tokenizers library (the fast pattern can't step back so far).
 blank_run = re.compile(r"(?<!\s)\s{10000}").search
 
@@ -84,16 +85,16 @@ class Coders:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and B; none where one of them doesn't give the bytes back."""
         if not text:
-            return [], []
+            return NOTHING
         spaced = " " + text
         a = self.slow.encode(spaced, add_special_tokens=False).ids if len(text) >= 10_000 and blank_run(text) else self.fast.encode_ordinary(spaced)
         b = self.pieces.encode(text, num_threads=1)
         want = spaced.encode()
         fits = b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-        return (a, b) if fits else ([], [])
+        return (np.array(a, np.int32), np.array(b, np.int32)) if fits else NOTHING
 
 
 @lru_cache(maxsize=4)
@@ -161,7 +162,7 @@ def encode_all(texts: list[str | None], coder: Coders) -> tuple[np.ndarray, np.n
     out = []
     for side in (0, 1):
         sizes = np.array([len(x[side]) for x in both], np.int64)
-        ids = np.fromiter((i for x in both for i in x[side]), np.int64, int(sizes.sum()))
+        ids = np.concatenate([np.zeros(0, np.int32), *(x[side] for x in both)]).astype(np.int64)
         out.append((ids, np.concatenate([[0], np.cumsum(sizes)])))
     return out[0][0], out[0][1], out[1][0], out[1][1]
 
@@ -241,7 +242,7 @@ def alignments(documents: DataFrame, files: Files | None = None) -> DataFrame:
         for batch in by_bytes(batches, 1, BLOCK >> 3):
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.array(x, np.int64) for x in coder.encode(text or ""))
+                a, b = coder.encode(text or "")
                 found = align(coder.a_size[a], coder.b_size[b])
                 n = int(found.cut_a.sum())
                 groups = zip(*(np.bincount(g, minlength=n).tolist() for g in (found.group_a, found.group_b)), strict=True)
