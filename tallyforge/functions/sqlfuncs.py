@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from ..operators.stats import STIRLING
 from ..sources.haystacks import FILLER
 from . import fuzzy
 
+TERM = "a.t * (low - k) / CAST(n - low + k + 1 AS DOUBLE)"
 STATEMENTS = (
     "CREATE OR REPLACE TEMPORARY FUNCTION pass_hat_k(c BIGINT, n BIGINT, k INT) RETURNS DOUBLE RETURN CASE WHEN n >= k THEN aggregate(sequence(0, k - 1), CAST(1 AS DOUBLE), (a, i) -> a * greatest(c - i, 0) / (n - i)) END",
     "CREATE OR REPLACE TEMPORARY FUNCTION within_budget(made BIGINT, optimal BIGINT) RETURNS BOOLEAN RETURN made = 0 OR optimal <= 0 OR made <= greatest(2 * optimal, optimal + 3)",
-    "CREATE OR REPLACE TEMPORARY FUNCTION sign_test_p(w BIGINT, l BIGINT) RETURNS DOUBLE RETURN CASE WHEN w + l = 0 THEN 1 ELSE least(1, 2 * aggregate(sequence(0, least(w, l)), named_struct('t', pow(0.5, w + l), 's', CAST(0 AS DOUBLE)), (a, i) -> named_struct('t', a.t * (w + l - i) / (i + 1), 's', a.s + a.t), a -> a.s)) END",
+    f"CREATE OR REPLACE TEMPORARY FUNCTION stirling_error(n BIGINT) RETURNS DOUBLE RETURN CASE WHEN n < 16 THEN element_at(array({', '.join(f'{x!r}D' for x in STIRLING)}), CAST(n + 1 AS INT)) "
+    "ELSE (1D/12 - (1D/360 - (1D/1260 - (1D/1680 - 1D/1188 / n / n) / n / n) / n / n) / n / n) / n END",
+    "CREATE OR REPLACE TEMPORARY FUNCTION binomial_half(n BIGINT, x BIGINT) RETURNS DOUBLE RETURN CASE WHEN x = 0 OR x = n THEN pow(0.5D, n) ELSE sqrt(n / (2 * pi() * x) / (n - x)) * "
+    "exp(stirling_error(n) - stirling_error(x) - stirling_error(n - x) - n / 2D * ((2 * x - n) / n * (log1p((2 * x - n) / n) - log1p((n - 2 * x) / n)) + log1p(-pow((2 * x - n) / n, 2)))) END",
+    # The tail as a multiple of its largest term.
+    "CREATE OR REPLACE TEMPORARY FUNCTION tail_terms(n BIGINT, low BIGINT) RETURNS DOUBLE RETURN CASE WHEN low = 0 THEN 1D ELSE aggregate(sequence(0L, least(low, CAST(ceil(7 * sqrt(n)) AS BIGINT) + 64) - 1), "
+    f"named_struct('t', 1D, 's', 1D, 'c', 0D), (a, k) -> named_struct('t', {TERM}, 's', a.s + ({TERM} - a.c), 'c', ((a.s + ({TERM} - a.c)) - a.s) - ({TERM} - a.c)), a -> a.s) END",
+    "CREATE OR REPLACE TEMPORARY FUNCTION sign_test_p(w BIGINT, l BIGINT) RETURNS DOUBLE RETURN CASE WHEN w = l THEN 1D ELSE least(1D, 2 * binomial_half(w + l, least(w, l)) * tail_terms(w + l, least(w, l))) END",
     "CREATE OR REPLACE TEMPORARY FUNCTION wilson_low(p BIGINT, n BIGINT) RETURNS DOUBLE RETURN CASE WHEN n > 0 THEN round(greatest(0, (p / n + 3.8416D / (2 * n) - 1.96D * sqrt(p / n * (1 - p / n) / n + 3.8416D / (4D * n * n))) / (1 + 3.8416D / n)), 4) ELSE 0 END",
     "CREATE OR REPLACE TEMPORARY FUNCTION wilson_high(p BIGINT, n BIGINT) RETURNS DOUBLE RETURN CASE WHEN n > 0 THEN round(least(1, (p / n + 3.8416D / (2 * n) + 1.96D * sqrt(p / n * (1 - p / n) / n + 3.8416D / (4D * n * n))) / (1 + 3.8416D / n)), 4) ELSE 0 END",
 )

@@ -7,16 +7,21 @@ compiled once, and an answer is held against its own task's checks alone.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constraints as C
 from ..functions import files as D
 from ..functions import jsonx as J
 from ..functions import text as X
+from ..functions.fuzzy import char_loop_ratio
+from ..sources import lake as lakes
+from . import judging as V
 from . import maintain as M
 from . import scorers as R
+from .maintain import with_columns
 
 MOST_CHECKS = 2000
 
@@ -101,7 +106,10 @@ def grade_episodes(trials: DataFrame, bank: DataFrame) -> DataFrame:
     goal = F.when(c("files").isNull(), c("goal")).when(c("has_state"), (c("goal") + c("files")) / 2).otherwise(c("files"))
     state = R.state_tail(goal, c("side"), c("made"), c("optimal"), c("loops"), c("final"))
     pick = lambda i, none, own: F.when(c("kind") == "simple", c(own)).when(c("kind") == "state", F.when(c("forbidden"), none).otherwise(state[i])).when(c("has_content"), with_content[i]).otherwise(plain[i])
-    return m.select("trial_id", pick(0, F.lit(0.0), "score").alias("score"), pick(1, F.lit(False), "passed").alias("passed"))
+    # What a judge can't overrule; single calls have no other gate than forbidden tools, and states none for stopping early.
+    longer = c("kind") != "simple"
+    gate = V.hard_gate(c("forbidden"), F.when(longer, X.within_budget(c("made"), c("optimal"))), F.when(longer, ~c("loops")), F.when(c("kind") == "loop", ~c("early")), F.lit(""))
+    return m.select("trial_id", pick(0, F.lit(0.0), "score").alias("score"), pick(1, F.lit(False), "passed").alias("passed"), gate.alias("gate"))
 
 
 def dialogue_rules(bank: DataFrame) -> DataFrame:
@@ -137,10 +145,6 @@ def grade_dialogues(trials: DataFrame, bank: DataFrame) -> DataFrame:
     )
 
 
-def with_columns(df: DataFrame, **types: str) -> DataFrame:
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
-
-
 #: What grade() reads of an answer besides its keys and text, and of a task besides its keys, answer and constraints.
 OF_ANSWER = {"calls": "string", "results": "string", "final_state": "string", "opening": "string", "closing": "string", "turns": "string", "attempts_used": "int"}
 OF_TASK = {
@@ -149,8 +153,35 @@ OF_TASK = {
 }
 
 
+def grade_texts(own: DataFrame, answers: DataFrame, bank: DataFrame, facts: bool) -> DataFrame:
+    """score and passed of answers that are graded as they stand; own: answers with their tasks."""
+    module, text = F.col("module"), F.col("text")
+    shares = fractions(answers, bank.filter("way IN ('text', 'fact')")).withColumnRenamed("trial_id", "f_trial")
+    own = own.join(shares, F.col("trial_id") == F.col("f_trial"), "left").withColumn("fact", F.lit(None).cast("double"))
+    if facts:
+        candidates = F.filter(F.concat(F.array("answer"), F.coalesce("accept", M.no_texts())), lambda c: c.isNotNull())
+        known = R.factual_rows(own.filter("way = 'fact'").select("trial_id", "text", candidates.alias("candidates"), "exact"))
+        own = own.drop("fact").join(known.select(F.col("trial_id").alias("k_trial"), F.col("score").alias("fact")), F.col("trial_id") == F.col("k_trial"), "left")
+    answered = knowledge(text, F.col("answer_type"), F.col("answer"), F.col("exact"), F.col("fact"))
+    formed = F.when(F.col("fraction").isNull(), answered).otherwise(R.with_constraints(answered, F.col("fraction")))
+    parsed = J.parse(text)
+    gate = (F.col("answer_type") == "json") & (parsed.isNull() | F.is_variant_null(parsed))
+    shaped = F.when(F.coalesce(gate, F.lit(False)), 0.0).otherwise(F.coalesce("fraction", F.lit(0.0)))
+    said = X.stripped(F.coalesce(text, F.lit(""))) != ""
+    score = (
+        F.when(module.isin("knowledge", "long_context"), formed).when(module == "format", F.round(shaped, 4))
+        .otherwise(F.when(F.col("truncated") | ~said, 0.0).otherwise(F.round(shaped, 4)))
+    )
+    return own.withColumn("score", score).select("trial_id", "score", (F.col("score") >= R.FULL).alias("passed"))
+
+
 def grade(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
-    """score and passed of each answer (trial_id, task_id, text, truncated, truncation_class).
+    """score and passed of each answer, as graded() has them."""
+    return graded(answers, bank, **limits).select("trial_id", "task_id", "module", "score", "passed")
+
+
+def graded(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
+    """score, passed and gate (the first hard gate that a tool episode fails) of each answer (trial_id, task_id, text, truncated, truncation_class).
 
     bank: task_id, module, answer_type, answer (with accept, more right answers, and exact), constraints. Knowledge and long-context answers weigh their form in; format
     and plain adversarial answers are their checks, and must parse where JSON is asked for; what is extracted is matched field
@@ -164,52 +195,138 @@ def grade(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
     """
     answers, bank = with_columns(answers, **OF_ANSWER), with_columns(bank, **OF_TASK)
     module, text = F.col("module"), F.col("text")
-    met = answers.join(F.broadcast(bank.drop("constraints", "content_checks")), "task_id").withColumn("closing", F.when(F.col("truncated"), "").otherwise(F.col("closing")))
     fields = F.from_json(F.get_json_object("expected", "$.extracted"), "map<string,string>")
     extracted = (module == "data_extract") | ((module == "format") & F.coalesce(F.size(fields) > 0, F.lit(False)))
     tooled = (module == "tools") | ((module == "adversarial") & F.coalesce("has_tools", F.lit(False)))
-    met = met.withColumn("way", F.when(tooled, "tools").when(extracted, "extract").when(module.isin("code", "multi_turn_if"), module).otherwise("text"))
-    shares = fractions(answers, bank).withColumnRenamed("trial_id", "f_trial")
-    own = met.filter("way = 'text'").join(shares, F.col("trial_id") == F.col("f_trial"), "left")
+    by_rule = module.isin("knowledge", "long_context", "format", "adversarial")
+    way = F.when(tooled, "tools").when(extracted, "extract").when(module.isin("code", "multi_turn_if"), module).when(by_rule, "text").otherwise("none")
     told = module.isin("knowledge", "long_context") & ~F.coalesce(F.col("answer_type").isin("numeric", "calibration", "multiple_choice"), F.lit(False))
-    candidates = F.filter(F.concat(F.array("answer"), F.coalesce("accept", F.array().cast("array<string>"))), lambda c: c.isNotNull())
-    facts = R.factual_rows(own.filter(told).select("trial_id", "text", candidates.alias("candidates"), "exact"))
-    own = own.join(facts.select(F.col("trial_id").alias("k_trial"), F.col("score").alias("fact")), F.col("trial_id") == F.col("k_trial"), "left")
-    answered = knowledge(text, F.col("answer_type"), F.col("answer"), F.col("exact"), F.col("fact"))
-    formed = F.when(F.col("fraction").isNull(), answered).otherwise(R.with_constraints(answered, F.col("fraction")))
-    parsed = J.parse(text)
-    gate = (F.col("answer_type") == "json") & (parsed.isNull() | F.is_variant_null(parsed))
-    shaped = F.when(F.coalesce(gate, F.lit(False)), 0.0).otherwise(F.coalesce("fraction", F.lit(0.0)))
-    score = (
-        F.when(module.isin("knowledge", "long_context"), formed).when(module == "format", F.round(shaped, 4))
-        .when(module == "adversarial", F.when(F.col("truncated") | (X.stripped(F.coalesce(text, F.lit(""))) == ""), 0.0).otherwise(F.round(shaped, 4)))
-        .otherwise(F.raise_error(F.concat(F.lit("no rule for module "), module)).cast("double"))
-    )
-    full = (F.col("score") >= R.FULL).alias("passed")
-    by_text = own.withColumn("score", score).select("trial_id", "score", full)
-    by_field = R.score_rows(met.filter("way = 'extract'").select("trial_id", "expected", text.alias("response")), "data_extract").select("trial_id", "score", full)
-    episodes = grade_episodes(met.filter("way = 'tools'"), bank)
-    dialogues, code = grade_dialogues(met.filter("way = 'multi_turn_if'"), bank), R.code_rows(met.filter("way = 'code'"), **limits)
-    scored = by_text.unionByName(by_field).unionByName(episodes).unionByName(dialogues).unionByName(code)
+    bank = bank.withColumn("way", F.when((way == "text") & told, "fact").otherwise(way))
+    # Only the ways that the bank's tasks take are planned: seven at most.
+    ways = {r["way"] for r in bank.select("way").distinct().collect()}
+    met = answers.join(F.broadcast(bank.drop("constraints", "content_checks")), "task_id").withColumn("closing", F.when(F.col("truncated"), "").otherwise(F.col("closing")))
+    found = []
+    if ways & {"text", "fact"}:
+        found.append(grade_texts(met.filter("way IN ('text', 'fact')"), answers, bank, "fact" in ways))
+    if "extract" in ways:
+        found.append(R.score_rows(met.filter("way = 'extract'").select("trial_id", "expected", text.alias("response")), "data_extract").select("trial_id", "score", (F.col("score") >= R.FULL).alias("passed")))
+    if "multi_turn_if" in ways:
+        found.append(grade_dialogues(met.filter("way = 'multi_turn_if'"), bank))
+    if "code" in ways:
+        found.append(R.code_rows(met.filter("way = 'code'"), **limits))
+    if "none" in ways:
+        fails = F.raise_error(F.concat(F.lit("no rule for module "), module))
+        found.append(met.filter("way = 'none'").select("trial_id", fails.cast("double").alias("score"), F.lit(False).alias("passed")))
+    found.append(grade_episodes(met.filter("way = 'tools'"), bank) if "tools" in ways else met.filter("false").select("trial_id", F.lit(0.0).alias("score"), F.lit(False).alias("passed"), F.lit("").alias("gate")))
+    scored = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     final = R.gated(module, F.col("truncated"), F.col("truncation_class"), F.col("score"))
     cut = (final == 0.0) & (F.col("score") != 0.0)
     out = met.select("trial_id", "task_id", "module", "truncated", "truncation_class").join(scored, "trial_id", "left")
-    return out.select("trial_id", "task_id", "module", final.alias("score"), (F.col("passed") & ~F.coalesce(cut, F.lit(False))).alias("passed"))
+    return out.select("trial_id", "task_id", "module", final.alias("score"), (F.col("passed") & ~F.coalesce(cut, F.lit(False))).alias("passed"), "gate")
 
 
-def rescore(trials: DataFrame, bank: DataFrame, **limits) -> DataFrame:
-    """Grades stored trials anew where rescore_status() allows it: trials with status, det_score, success and moved.
+#: What a re-grade puts anew into a stored trial.
+RESTAMPED = {
+    "task_hash": "string", "difficulty": "string", "tier": "string", "band": "string", "expected": "string", "det_score": "double", "det_success": "boolean", "success": "boolean",
+    "infra_error": "boolean", "truncation_class": "string", "judge_anchor_det": "double", "judge_blocked_by": "string",
+}
+#: What else it reads of a trial and of a task.
+OF_TRIAL = {"llm_score": "double", "error": "string", "text": "string", "truncated": "boolean", "calls": "string"}
+OF_RUBRIC = {"difficulty": "string", "tier": "string", "band": "string", "expected": "string", "answer_type": "string", "constraints": "array<string>", "function_name": "string", "has_tools": "boolean"}
+
 
-    trials: as grade()'s answers, with module, error, n_turns, task_hash, prompt, det_score and success; bank: as grade()'s,
-    with task_hash and prompt. Trials that can't be graded, and code without a sandbox (status skipped_sandbox), keep what they
-    had. A judged trial's verdict follows from the new score through judging.
+def recorded_expected() -> Column:
+    """The rubric that a trial of a task keeps for its judge, as a JSON text: what it expects, and for some modules the answer's type and the checks."""
+    c = F.col
+    variants = lambda text: F.expr(f"cast(parse_json({text}) as map<string,variant>)")
+    own = F.when(F.coalesce(c("expected"), F.lit("")) != "", variants("expected")).otherwise(variants("'{}'"))
+    kind = F.create_map(F.lit("answer_type"), F.parse_json(F.to_json(F.struct(c("answer_type")))))
+    kind = F.transform_values(kind, lambda _, v: F.coalesce(F.try_variant_get(v, "$.answer_type", "variant"), F.parse_json(F.lit("null"))))
+    checks = F.create_map(F.lit("constraints"), F.parse_json(F.concat(F.lit("["), F.array_join(F.coalesce("constraints", M.no_texts()), ","), F.lit("]"))))
+    tooled = (c("module") == "adversarial") & F.coalesce("has_tools", F.lit(False))
+    return (
+        F.when(c("module") == "code", F.to_json(F.struct("function_name")))
+        .when((c("module") == "adversarial") & ~tooled, F.to_json(F.map_concat(kind, checks)))
+        .when(c("module") == "format", F.to_json(F.map_concat(own, kind, checks)))
+        .when(c("module") == "knowledge", F.to_json(F.map_concat(own, kind)))
+        .otherwise(F.to_json(own))
+    )
+
+
+def same_calls() -> Column:
+    """How often the most frequent of a trial's calls (name and arguments, keys in any order) was made."""
+    calls = F.coalesce(F.from_json("calls", "array<struct<name:string,arguments:string>>"), F.array().cast("array<struct<name:string,arguments:string>>"))
+    said = F.transform(calls, lambda x: F.concat_ws(" ", x["name"], F.to_json(F.try_parse_json(x["arguments"]))))
+    return F.coalesce(F.array_max(F.transform(F.array_distinct(said), lambda s: F.size(F.filter(said, lambda x: x == s)))), F.lit(0))
+
+
+def truncation_classes(trials: DataFrame) -> DataFrame:
+    """truncation_class anew, from the texts and calls that are kept. The Arrow measure sees each different text that was cut, once."""
+    text, cut = F.coalesce("text", F.lit("")), F.coalesce("truncated", F.lit(False))
+    own = trials.withColumn("truncated", cut).withColumn("_said", F.when(cut, text))
+    texts = own.filter("_said IS NOT NULL").select(F.col("_said").alias("_t")).distinct().withColumn("_loop", char_loop_ratio(F.col("_t")))
+    met = own.join(texts, F.col("_said") == F.col("_t"), "left")
+    found = X.truncation_class(cut, X.loop_ratio(F.coalesce("_said", F.lit(""))), F.coalesce("_loop", F.lit(0.0)), same_calls())
+    return met.withColumn("truncation_class", found).drop("_said", "_t", "_loop")
+
+
+def rescore(trials: DataFrame, bank: DataFrame, allow_drift: bool = False, only_changed: bool = False, **limits) -> DataFrame:
+    """Grades stored trials anew where rescore_status() allows it, and restamps them (RESTAMPED).
+
+    trials: as graded()'s answers, with module, error, n_turns, task_hash, OF_STORED, det_score, success, and llm_score and
+    judge_anchor_det where a judge has seen them; bank: as graded()'s, with task_hash, OF_BANK, difficulty, tier and band. Adds status, drift,
+    regraded_only (a changed task that shows the same), moved (score or deterministic verdict), stale_judge and flipped ('pass', 'fail'). A judge's
+    score stays, and its verdict is derived again; a judged trial without an anchor gets the score that the judge saw. Trials that can't be
+    graded, and code without a sandbox (status skipped_sandbox), keep what they had. only_changed: trials of unchanged tasks keep it too (status same).
     """
-    met = M.rescore_status(trials, bank).drop("now_hash", "now_prompt")
-    own = ["trial_id", "task_id", "text", "truncated", "truncation_class", *(c for c in OF_ANSWER if c in trials.columns)]
-    new = grade(met.filter("status = 'rescored'").select(*own), bank.drop("task_hash", "prompt"), **limits)
-    new = new.select("trial_id", F.col("score").alias("new_score"), F.col("passed").alias("new_passed"))
+    given = trials.columns
+    trials = with_columns(trials, **RESTAMPED, **OF_TRIAL)
+    bank = with_columns(bank, **OF_RUBRIC, **M.OF_BANK)
+    stamps = bank.withColumn("expected", recorded_expected()).select("module", "task_id", *[F.col(c).alias(f"new_{c}") for c in ("difficulty", "tier", "band", "expected")])
+    c = F.col
+    met = M.rescore_status(trials, bank, allow_drift).join(stamps, ["module", "task_id"], "left")
+    if only_changed:
+        met = met.withColumn("status", F.when((c("status") == "rescored") & ~c("task_changed"), "same").otherwise(c("status")))
+    due = truncation_classes(met.filter("status = 'rescored'"))
+    own = ["trial_id", "task_id", "text", "truncated", "truncation_class", *(x for x in OF_ANSWER if x in trials.columns)]
+    new = graded(due.select(*own), bank.drop("task_hash", *M.OF_BANK, "difficulty", "tier", "band"), **limits).join(due.select("trial_id", c("truncation_class").alias("new_class")), "trial_id")
+    new = new.select("trial_id", c("score").alias("new_score"), c("passed").alias("new_passed"), c("gate").alias("new_gate"), "new_class")
     out = met.join(new, "trial_id", "left")
-    fresh = F.col("new_score").isNotNull()
-    moved = fresh & ((F.abs(F.col("new_score") - F.col("det_score")) > 1e-9) | (F.col("new_passed") != F.col("success")))
-    status = F.when((F.col("status") == "rescored") & ~fresh, "skipped_sandbox").otherwise(F.col("status"))
-    return out.withColumns({"moved": F.coalesce(moved, fresh), "status": status, "det_score": F.coalesce("new_score", "det_score"), "success": F.coalesce("new_passed", "success")}).drop("new_score", "new_passed")
+    fresh, was = c("new_score").isNotNull(), F.coalesce("det_success", "success")
+    moved = fresh & (~(F.abs(c("new_score") - c("det_score")) <= 1e-9) | ~c("new_passed").eqNullSafe(was) | c("det_score").isNull())
+    out = out.withColumns({"moved": F.coalesce(moved, F.lit(False)), "status": F.when((c("status") == "rescored") & ~fresh, "skipped_sandbox").otherwise(c("status")), "was_success": c("success")})
+    anchor = F.when(c("moved") & c("llm_score").isNotNull() & c("judge_anchor_det").isNull(), c("det_score")).otherwise(c("judge_anchor_det"))
+    put = lambda name, value: F.when(fresh, value).otherwise(c(name))
+    unhashed = F.coalesce(c("task_hash"), F.lit("")) == ""
+    out = out.withColumns({
+        "judge_anchor_det": put("judge_anchor_det", anchor), "task_hash": F.when(fresh & ~unhashed, c("now_hash")).otherwise(c("task_hash")),
+        **{x: put(x, c(f"new_{x}")) for x in ("difficulty", "tier", "band", "expected")}, "truncation_class": put("truncation_class", c("new_class")),
+        "infra_error": F.when(fresh & (F.coalesce("error", F.lit("")) == ""), F.lit(False)).otherwise(c("infra_error")),
+        "det_score": put("det_score", c("new_score")), "det_success": put("det_success", c("new_passed")),
+        "regraded_only": fresh & c("task_changed") & ~c("drift"),
+    })
+    gate = F.coalesce("new_gate", F.when(c("truncation_class") == "degenerate", "degenerate"))
+    judged = V.apply_verdicts(out.withColumn("was_blocked", c("judge_blocked_by")), gate, c("judge_anchor_det"))
+    asked = fresh & c("llm_score").isNotNull()
+    judged = judged.withColumns({
+        "success": F.when(asked, c("judged_success")).when(fresh, c("new_passed")).otherwise(c("success")),
+        "judge_blocked_by": F.when(asked, F.coalesce("judge_blocked_by", "was_blocked")).otherwise(c("was_blocked")),
+        "stale_judge": asked & V.anchor_is_stale(c("judge_anchor_det"), c("det_score")),
+    })
+    flipped = F.when(fresh & ~c("success").eqNullSafe(c("was_success")), F.when(c("success"), "pass").otherwise("fail"))
+    told = ["status", "drift", "regraded_only", "moved", "stale_judge"]
+    columns = [*given, *(x for x in RESTAMPED if x not in given), *told]
+    return judged.select(*columns, flipped.alias("flipped"))
+
+
+def rescore_lake(spark: SparkSession, lake: str, bank: DataFrame, **how) -> int:
+    """Grades the trials of a lake (sources.lake) anew and writes back those that changed; the lake's version afterwards.
+
+    Only parts with a trial that changed are written. What fails before the commit leaves the lake as it was, and a second run changes nothing.
+    """
+    trials = lakes.read(spark, lake)
+    own = [x for x in RESTAMPED if x in trials.columns]
+    old = trials.select(F.col("trial_id").alias("_id"), F.struct(*own).alias("_old"))
+    new = rescore(trials, bank, **how).select(*trials.columns)
+    changed = new.join(old, new["trial_id"] == old["_id"]).filter(~F.struct(*own).eqNullSafe(F.col("_old"))).select(*trials.columns)
+    return lakes.upsert(changed, lake, ["trial_id"], "module")

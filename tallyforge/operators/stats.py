@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,45 @@ def wilson(passes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     return F.when(n > 0, low).otherwise(0.0), F.when(n > 0, high).otherwise(0.0)
 
 
+#: What Stirling's formula for ln n! lacks, for n up to 15; above, the series has all digits of a double.
+STIRLING = [0.0] + [math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]
+#: Binomial terms that are summed: beyond this many root n from the largest, what is left is under a double's last digit.
+ROOTS, MORE_TERMS = 7, 64
+
+
+def stirling_error(n: Column) -> Column:
+    d = n.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / (1188 * d * d)) / (d * d)) / (d * d)) / (d * d)) / d
+    return F.when(n < len(STIRLING), F.get(F.array(*map(F.lit, STIRLING)), F.least(n, F.lit(len(STIRLING))).cast("int"))).otherwise(series)
+
+
+def binomial_half(n: Column, x: Column) -> Column:
+    """The chance of x heads in n tosses, 0 < x < n, to a double's digits at any n: by Stirling's formula and its error, without logarithms of large numbers."""
+    y, v = n - x, (2 * x - n) / n.cast("double")
+    spread = n / F.lit(2.0) * (v * (F.log1p(v) - F.log1p(-v)) + F.log1p(-v * v))
+    return F.sqrt(n / (2 * math.pi * x.cast("double") * y)) * F.exp(stirling_error(n) - stirling_error(x) - stirling_error(y) - spread)
+
+
 def sign_test_p(wins: Column, losses: Column) -> Column:
-    """Exact two-sided sign test: twice the binomial tail up to the smaller count, at most 1; 1 without differences.
+    """Two-sided sign test at any size: twice the binomial tail up to the smaller count, at most 1; 1 without differences.
 
-    Terms come by recurrence from 0.5**n, so no factorial overflows.
+    The tail is summed from its largest term down, with a compensated sum, over as many terms as count.
     """
-    n, low = wins + losses, F.least(wins, losses)
-    start = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.pow(F.lit(0.5), n.cast("double")).alias("total"))
-    step = lambda a, i: F.struct((a["term"] * (n - i + 1) / i).alias("term"), (a["total"] + a["term"] * (n - i + 1) / i).alias("total"))
-    ks = F.when(low > 0, F.sequence(F.lit(1).cast("long"), F.greatest(low.cast("long"), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-    total = F.aggregate(ks, start, step, lambda a: a["total"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+    n, low = (wins + losses).cast("long"), F.least(wins, losses).cast("long")
+    top = F.when(low == 0, F.pow(F.lit(0.5), n.cast("double"))).otherwise(binomial_half(n, low))
+    terms = F.least(low, F.ceil(ROOTS * F.sqrt(n.cast("double"))).cast("long") + MORE_TERMS)
+    ks = F.when(terms > 0, F.sequence(F.lit(0).cast("long"), F.greatest(terms - 1, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    start = F.struct(one.alias("term"), one.alias("total"), zero.alias("lost"), n.alias("n"), low.alias("low"))
+
+    def step(a: Column, k: Column) -> Column:
+        term = a["term"] * (a["low"] - k) / (a["n"] - a["low"] + k + 1).cast("double")
+        part = term - a["lost"]
+        total = a["total"] + part
+        return F.struct(term.alias("term"), total.alias("total"), ((total - a["total"]) - part).alias("lost"), a["n"].alias("n"), a["low"].alias("low"))
+
+    tail = top * F.aggregate(ks, start, step, lambda a: a["total"])
+    return F.when(n == 0, 1.0).when(2 * low == n, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def holm(tests: DataFrame, p: str, tie: list[str]) -> DataFrame:

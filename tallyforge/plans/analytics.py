@@ -269,6 +269,17 @@ hm AS (SELECT *, max(least(1, (m - i + 1) * p)) OVER (ORDER BY p, ra, rb ROWS BE
   FROM (SELECT *, row_number() OVER (ORDER BY p, ra, rb) AS i, count(*) OVER () AS m FROM pq))"""
 
 
+@entry("""WITH c AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) FILTER (l_quantity > 25) AS wins, count(*) FILTER (l_quantity < 25) AS losses FROM lineitem
+  GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linestatus), (l_returnflag), ()))
+SELECT l_returnflag, l_linestatus, l_linenumber, wins, losses, round(CASE WHEN wins = losses THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1),
+  lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(CAST(2 AS DOUBLE)))))) END, 6) AS p FROM c""")
+def n2_sign_test(spark, sf_dir):
+    """Line items over 25 pieces against those under, by flag, status and line number, and in all: from hundreds to all rows."""
+    own = X.table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus", "l_linenumber")
+    counts = own.agg(F.count_if(F.col("l_quantity") > 25).alias("wins"), F.count_if(F.col("l_quantity") < 25).alias("losses"))
+    return counts.withColumn("p", F.round(N.sign_test_p(F.col("wins"), F.col("losses")), 6))
+
+
 @entry(f"""{TT}, {PAIRS} SELECT model_a, model_b, wins, losses, shared, d AS discordant, round(gap, 6) AS gap, p, round(padj, 4) AS p_adjusted, d > 0 AND padj < 0.05 AS separable, rb = ra + 1 AS adjacent,
 CASE WHEN gap > 0 THEN CAST(ceil(pow(1.959964 + 0.841621, 2) * (CAST(d AS DOUBLE) / shared) / (gap * gap)) AS BIGINT) END AS tasks_needed FROM hm""")
 def n4_pairs(spark, sf_dir):

@@ -265,11 +265,11 @@ def rescore_diff(spark, sf_dir):
     return M.diff(t, new, ["event_id"]).select("event_id")
 
 
-@entry(f"{T} SELECT event_id, CASE WHEN module IN ('view', 'click') THEN 'tools' ELSE module END AS module, module IN ('view', 'click') AS relabelled, coalesce(axis, 'none') AS axis FROM trials WHERE module <> 'error'")
+@entry(f"{T} SELECT event_id, CASE WHEN module IN ('view', 'click') THEN 'tools' ELSE module END AS module, module IN ('view', 'click') AS relabelled, CASE WHEN task_no % 2 = 0 THEN 'none' ELSE axis END AS axis FROM trials WHERE module <> 'error'")
 def migrate(spark, sf_dir):
     t = X.trials(spark, sf_dir)
     old = F.when(F.col("module") == "view", "tool_loop").when(F.col("module") == "click", "tool_state").otherwise(F.col("module"))
-    bank = t.filter("module <> 'error'").select("task_id", F.when(F.col("module").isin("view", "click"), "tools").otherwise(F.col("module")).alias("module"), F.lit("none").alias("axis"), F.lit("h").alias("task_hash")).distinct()
+    bank = t.filter("module <> 'error'").select("task_id", F.when(F.col("module").isin("view", "click"), "tools").otherwise(F.col("module")).alias("module"), F.when(F.col("task_no") % 2 == 0, "none").alias("axis"), F.lit("h").alias("task_hash")).distinct()
     return M.migrate(t.withColumn("module", old), bank).select("event_id", "module", "relabelled", "axis")
 
 

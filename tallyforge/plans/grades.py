@@ -52,9 +52,12 @@ def r8_check_fractions(spark, sf_dir):
 UNCERTAIN = "regexp_matches(regexp_replace(lower(answer), '[*_`]', '', 'g'), 'don''t know|do not know|not know|not sure|uncertain|unknowab|unpredictab|impossib|unattainab|unanswerab|cannot|can''t|unable to|not possible|no way|no one|nobody|don''t have access|do not have access|only estimate|only an estimate|rough estimate|beyond anyone|not feasible')"
 
 
-@entry(f"""WITH {X.ANSWERS_SQL}, {FRAC}, sc AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN abs({NUM} - 1500) <= 15 THEN CAST(1 AS DOUBLE) ELSE 0 END
-WHEN 1 THEN round(CASE WHEN contains(lower(answer), 'tion') THEN CAST(1 AS DOUBLE) ELSE 0 END * (CAST(0.85 AS DOUBLE) + CAST(0.15 AS DOUBLE) * fraction), 4) WHEN 2 THEN round(fraction, 4)
-ELSE round(CASE WHEN {UNCERTAIN} THEN CAST(1 AS DOUBLE) ELSE 0 END * (CAST(0.85 AS DOUBLE) + CAST(0.15 AS DOUBLE) * fraction), 4) END AS s FROM fr)
+SCORE = f"""CASE f.doc_id % 4 WHEN 0 THEN CASE WHEN abs({NUM.replace("answer", "f.answer")} - 1500) <= 15 THEN CAST(1 AS DOUBLE) ELSE 0 END
+WHEN 1 THEN round(CASE WHEN contains(lower(f.answer), 'tion') THEN CAST(1 AS DOUBLE) ELSE 0 END * (CAST(0.85 AS DOUBLE) + CAST(0.15 AS DOUBLE) * fraction), 4) WHEN 2 THEN round(fraction, 4)
+ELSE round(CASE WHEN {UNCERTAIN.replace("(answer)", "(f.answer)")} THEN CAST(1 AS DOUBLE) ELSE 0 END * (CAST(0.85 AS DOUBLE) + CAST(0.15 AS DOUBLE) * fraction), 4) END"""
+
+
+@entry(f"""WITH {X.ANSWERS_SQL}, {FRAC}, sc AS (SELECT doc_id, {SCORE} AS s FROM fr f)
 SELECT doc_id AS trial_id, 't' || CAST(doc_id % 4 AS VARCHAR) AS task_id, CASE doc_id % 4 WHEN 2 THEN 'format' WHEN 3 THEN 'long_context' ELSE 'knowledge' END AS module,
 CASE WHEN doc_id % 19 = 0 THEN 0 ELSE s END AS score, CASE WHEN doc_id % 19 = 0 THEN 0 ELSE s END >= 0.999 AS passed FROM sc""")
 def r1_grade(spark, sf_dir):
