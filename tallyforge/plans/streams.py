@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import lake
+from ..streaming import log, topup
 from ..streaming import trials as L
 from . import fixtures as X
 from .registry import entry
@@ -74,3 +76,47 @@ def stream_top_up(spark, sf_dir):
     for run in ("first", "second"):
         L.top_up(events(spark, sf_dir).select("event_id"), lake, "event_id", place(spark, run))
     return spark.read.parquet(lake)
+
+
+@entry("SELECT event_id, user_id, event_type, value FROM events")
+def stream_trial_log(spark, sf_dir):
+    """Events through the log's sink, in epochs; what its commits name is read back."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
+    path = place(spark, "log")
+    log.write_log(rows, path, place(spark, "log-state"))
+    return log.read_log(spark, path, rows.schema)
+
+
+@entry("SELECT event_id, event_type, value FROM events")
+def stream_top_up_buckets(spark, sf_dir):
+    """Clicks alone, then all events, streamed into a lake of buckets: each is there once."""
+    at, rows = place(spark, "buckets"), events(spark, sf_dir).select("event_id", "event_type", "value")
+    for run, own in (("clicks", rows.filter("event_type = 'click'")), ("all", rows)):
+        topup.top_up(own, at, "event_id", place(spark, run), buckets=8)
+    return lake.read(spark, at)
+
+
+@entry("""WITH o AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS model, event_type = 'error' AS dead, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+WHERE ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events)) SELECT model, bool_and(dead) AS abort FROM o WHERE n <= 2 GROUP BY model HAVING count(*) = 2""")
+def stream_gate_in_order(spark, sf_dir):
+    """A run for each user; the first two events in order of their times decide, whatever order files hold them in."""
+    rows = events(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("model"), "ts", F.col("event_id").alias("uid"), (F.col("event_type") == "error").alias("dead"))
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
+        return drained(spark, L.dead_gate_in_order(rows, 2, "1 day"), "append")
+
+
+CALL = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+@entry(f"""WITH c AS (SELECT {", ".join(CALL)}, l_shipdate AS called, CASE WHEN l_partkey % 17 <> 0 THEN l_shipdate + l_linenumber * INTERVAL 5 HOUR END AS due, l_quantity FROM lineitem),
+r AS (SELECT *, due <= called + INTERVAL 1 DAY AS timely FROM c), w AS (SELECT least(max(called), max(due)) - INTERVAL 1 HOUR AS mark FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS price, CAST(CAST(called AS DATE) AS VARCHAR) AS day, CASE WHEN timely THEN l_quantity END AS result
+FROM r, w WHERE coalesce(timely, false) OR called + INTERVAL 1 DAY < mark""")
+def stream_call_results(spark, sf_dir):
+    """Line items as calls, and most of them again as results some hours later; those that come after a day, or never, are unanswered."""
+    rows = spark.readStream.schema(X.table(spark, sf_dir, "lineitem").schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+    at = F.col("l_shipdate").cast("timestamp")
+    calls = rows.select(*CALL, at.alias("called"))
+    results = rows.filter("l_partkey % 17 <> 0").select(*CALL, F.timestamp_add("HOUR", F.col("l_linenumber") * 5, at).alias("answered"), F.col("l_quantity").alias("result"))
+    found = drained(spark, L.pair_results(calls, results, CALL), "append")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("price"), F.to_date("called").cast("string").alias("day"), "result")

@@ -1,7 +1,7 @@
 """A table of Parquet files that is changed by parts: new files beside the old ones, and a manifest that says which count.
 
-A lake is a folder. Files lie in folders of their own for each write and part; `_manifest/<version>.json` names, for each part, the folder that
-holds it. A version is committed by creating its manifest, which fails if another writer was first; until then nothing that was written counts, so
+A lake is a folder. Files lie in folders of their own for each write and part; `_manifest/<version>.json` names, for each part, the folders that
+hold it. A version is committed by creating its manifest, which fails if another writer was first; until then nothing that was written counts, so
 a job that ends in between leaves the lake as it was, and can be run again. Files that no manifest names are left for whoever cleans up.
 """
 
@@ -31,7 +31,7 @@ def versions(spark: SparkSession, lake: str) -> list[int]:
 
 
 def manifest(spark: SparkSession, lake: str, version: int | None = None) -> dict:
-    """The manifest of a version, by default the last: version, schema and the folder of each part."""
+    """The manifest of a version, by default the last: version, schema and the folders of each part."""
     known = versions(spark, lake)
     if version is None and not known:
         return {"version": 0, "schema": None, "parts": {}}
@@ -58,7 +58,7 @@ def read(spark: SparkSession, lake: str, version: int | None = None, parts: list
     found = manifest(spark, lake, version)
     if found["schema"] is None:
         raise FileNotFoundError(f"no version of {lake}")
-    paths = [f"{lake}/{folder}" for code, folder in found["parts"].items() if parts is None or code in parts]
+    paths = [f"{lake}/{folder}" for code, folders in found["parts"].items() if parts is None or code in parts for folder in folders]
     return spark.read.schema(found["schema"]).parquet(*paths) if paths else spark.createDataFrame([], found["schema"])
 
 
@@ -67,6 +67,10 @@ def part_code(column: str):
     return F.substring(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")), 256), 1, 16)
 
 
+def ddl_of(rows: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+
 def upsert(rows: DataFrame, lake: str, keys: list[str], part: str) -> int:
     """Rows replace those with equal keys and are added otherwise; the lake's version afterwards, the same if there are no rows.
 
@@ -75,7 +79,7 @@ def upsert(rows: DataFrame, lake: str, keys: list[str], part: str) -> int:
     spark = rows.sparkSession
     before, name = manifest(spark, lake), uuid.uuid4().hex[:12]
     staged, data = f"{lake}/_staged-{name}", f"v{before['version'] + 1}-{name}"
-    ddl = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    ddl = ddl_of(rows)
     if before["schema"] not in (None, ddl):
         raise ValueError(f"rows have other columns than {lake}")
     rows.withColumn("_part", part_code(part)).write.parquet(staged)
@@ -90,9 +94,13 @@ def upsert(rows: DataFrame, lake: str, keys: list[str], part: str) -> int:
             kept = read(spark, lake, before["version"], old).withColumn("_part", part_code(part)).join(fresh.select(*keys), keys, "left_anti")
             whole = kept.select(*fresh.columns).unionByName(fresh)
         whole.write.partitionBy("_part").parquet(f"{lake}/{data}")
-        parts = before["parts"] | {c: f"{data}/_part={c}" for c in touched}
+        parts = before["parts"] | {c: [f"{data}/_part={c}"] for c in touched}
         commit(spark, lake, {"version": before["version"] + 1, "schema": ddl, "parts": parts})
         return before["version"] + 1
     finally:
-        at, fs = _fs(spark, staged)
-        fs.delete(at, True)
+        remove(spark, staged)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _fs(spark, path)
+    fs.delete(at, True)

@@ -91,6 +91,74 @@ def dead_gate(rows: DataFrame, need: int = 5) -> DataFrame:
     return rows.groupBy("model").transformWithStateInPandas(DeadGate(need), "model string, abort boolean", "append", "none")
 
 
+class GateInOrder(StatefulProcessor):
+    """Keyed by run: says once whether the first `need` trials to finish, by their own times, were all dead.
+
+    A trial waits in a list until the watermark has passed its time, since an earlier one may still come; only then does it count. Ties go by uid.
+    """
+
+    def __init__(self, need: int = 5):
+        self.need = need
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, uid string, dead boolean")
+        self.seen = handle.getValueState("seen", "n long, dead long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        settled = self.seen.exists() and self.seen.get()[0] >= self.need
+        for pdf in rows:
+            if not settled:
+                times = pdf["at"].astype("int64").tolist()
+                self.waiting.appendList(list(zip(times, pdf["uid"].astype(str).tolist(), pdf["dead"].astype(bool).tolist(), strict=True)))
+                for at in set(times):
+                    self.handle.registerTimer(at // 1000 + 1)  # whole milliseconds, not before its time
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        n, dead = self.seen.get() if self.seen.exists() else (0, 0)
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(r) for r in held if r[0] < now), key=lambda r: r[:2])
+        if n < self.need and due:
+            for _, _, is_dead in due[: self.need - n]:
+                n, dead = n + 1, dead + int(is_dead)
+            self.seen.update((n, dead))
+            left = [tuple(r) for r in held if r[0] >= now]
+            if n >= self.need or not left:
+                self.waiting.clear()
+            else:
+                self.waiting.put(left)
+            if n >= self.need:
+                yield pd.DataFrame({"model": [key[0]], "abort": [dead == n]})
+
+    def close(self) -> None:
+        pass
+
+
+def dead_gate_in_order(rows: DataFrame, need: int = 5, delay: str = "1 hour") -> DataFrame:
+    """(model, abort) for each run (model, ts, uid, dead) once `need` of its trials have finished, in order of ts.
+
+    Rows may come in any order: with shuffled input the verdict is the same, as long as no row comes later than the delay. Rows behind the
+    watermark are dropped. A verdict is given when the watermark has passed the trial that decides.
+    """
+    own = rows.withWatermark("ts", delay).select("model", "ts", F.unix_micros("ts").alias("at"), F.col("uid").cast("string").alias("uid"), "dead")
+    return own.groupBy("model").transformWithStateInPandas(GateInOrder(need), "model string, abort boolean", "append", "eventTime")
+
+
+def pair_results(calls: DataFrame, results: DataFrame, keys: list[str], within: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Every call (keys, called, ...) with its result (keys, answered, ...), which comes no earlier than the call and no later than `within` after it.
+
+    Both are streams; their watermarks bound what is kept of each. A call that is still unanswered when its time is over comes with
+    nulls, once the watermark has passed it; a result without a call is dropped.
+    """
+    left, right = calls.withWatermark("called", delay), results.withWatermark("answered", delay)
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in results.columns if c not in keys])
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    timely = [F.col("answered") >= F.col("called"), F.col("answered") <= F.col("called") + F.expr(f"INTERVAL {within}")]
+    return left.join(right, [*same, *timely], "left_outer").drop(*[f"_{k}" for k in keys])
+
+
 class Episode(StatefulProcessor):
     """Keyed by episode: applies calls to its world as they come, and says what they gave."""
 
