@@ -18,6 +18,7 @@ from ..functions import jsonx as J
 from ..functions import text as X
 from ..functions.fuzzy import char_loop_ratio
 from ..sources import lake as lakes
+from . import calls as K
 from . import judging as V
 from . import maintain as M
 from . import scorers as R
@@ -81,7 +82,7 @@ def file_shares(trials: DataFrame, bank: DataFrame) -> DataFrame:
 
 def grade_episodes(trials: DataFrame, bank: DataFrame) -> DataFrame:
     """score and passed of tool episodes: single calls, states and loops, told apart by what the task expects."""
-    rows = R.episode_rows(trials)
+    rows = K.episodes(trials)
     texts = rows.filter("kind = 'loop'").select("trial_id", "task_id", F.explode("landed").alias("l")).select("trial_id", "task_id", F.col("l.at").alias("at"), F.col("l.content").alias("text"))
     said = rows.filter("kind <> 'simple'").select("trial_id", "task_id", F.lit(-1).cast("long").alias("at"), F.col("said").alias("text"))
     wanted = bank.withColumn("final_checks", F.from_json(F.get_json_object("expected", "$.final_text_checks"), "array<string>"))
@@ -209,7 +210,7 @@ def graded(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
     if ways & {"text", "fact"}:
         found.append(grade_texts(met.filter("way IN ('text', 'fact')"), answers, bank, "fact" in ways))
     if "extract" in ways:
-        found.append(R.score_rows(met.filter("way = 'extract'").select("trial_id", "expected", text.alias("response")), "data_extract").select("trial_id", "score", (F.col("score") >= R.FULL).alias("passed")))
+        found.append(K.extract_scores(met.filter("way = 'extract'").select("trial_id", "expected", text.alias("response"))))
     if "multi_turn_if" in ways:
         found.append(grade_dialogues(met.filter("way = 'multi_turn_if'"), bank))
     if "code" in ways:

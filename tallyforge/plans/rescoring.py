@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from ..operators import grading as G
 from ..operators import maintain as M
 from ..sources import lake as L
+from ..sources.scratch import place
 from . import fixtures as X
 from . import grades
 from .registry import entry
-from .streams import place
 
 EXTRACT = json.dumps({"extracted": {"odd": 1}})
 OVERRIDES = json.dumps({"look": {"error_message": "down"}})

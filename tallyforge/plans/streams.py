@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import lake
+from ..sources.scratch import place
 from ..streaming import log, topup
 from ..streaming import trials as L
 from . import fixtures as X
@@ -19,15 +19,6 @@ from .registry import entry
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A checkpoint location: in the shared folder where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    shared = shared or tempfile.gettempdir()
-    return f"{shared}/tallyforge-stream-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     """What a stream gives over all its input; results are small (tallies, verdicts), so a memory table holds them."""
     name = f"s_{uuid.uuid4().hex[:12]}"
