@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
 from ..functions.text import stripped
+from ..sources.scratch import written
 from .matching import FIELDS, VARIANTS, match
 
 FULL, NEAR, SAME = 0.999, 0.8, 0.99
@@ -51,8 +52,10 @@ def opened(trials: DataFrame) -> DataFrame:
     calls = F.from_json("calls", "array<struct<name:string,arguments:string>>")
     none = F.expr("cast(array() as array<struct<name:string,args:variant>>)")
     did = F.transform(calls, lambda c: F.struct(c["name"].alias("name"), F.try_parse_json(c["arguments"]).alias("args")))
+    # Undetermined to the optimizer: it loses columns where an expectation is a constant that it can look into.
+    asked = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(F.try_parse_json("expected"), F.parse_json(F.lit("{}"))))
     return trials.withColumns({
-        "e": F.coalesce(F.try_parse_json("expected"), F.parse_json(F.lit("{}"))), "did": F.coalesce(did, none),
+        "e": asked, "did": F.coalesce(did, none),
         "gave": F.coalesce(F.from_json("results", "array<string>"), F.array().cast("array<string>")),
     })
 
@@ -247,9 +250,9 @@ def repeats_itself() -> Column:
 
 
 def matched(*requests: DataFrame) -> DataFrame:
-    """All requests with their marks, each different pair of values looked at once."""
-    rows = reduce(DataFrame.unionByName, requests)
-    return match(rows, "want", "got", "mark", F.col("strict")).select("trial_id", "use", "s", "n", "key", "m", "mark")
+    """All requests with their marks, each different pair of values looked at once; both are written, as every use of them reads them again."""
+    rows = written(reduce(DataFrame.unionByName, requests), "requests")
+    return written(match(rows, "want", "got", "mark", F.col("strict")).select("trial_id", "use", "s", "n", "key", "m", "mark"), "marks")
 
 
 def tool_scores(trials: DataFrame) -> DataFrame:
@@ -303,6 +306,7 @@ def episodes(trials: DataFrame) -> DataFrame:
     simple = c("none_wanted") | (~attacked & (truthy(part(e, "tool_name")) | c("several")))
     by_state = ~attacked & (truthy(part(e, "expected_state")) | truthy(part(e, "file_checks")))
     rows = sided(rows.withColumn("kind", F.when(simple, "simple").when(by_state, "state").otherwise("loop")))
+    rows = written(rows.select("trial_id", "task_id", "kind", "e", "p", "did", "gave", "first", "last", "several", "none_wanted", "answer", "closing"), "episodes")
     of = lambda kind: rows.filter(c("kind") == kind)
     marks = matched(forbidden_requests(rows), argument_requests(of("simple")), goal_requests(of("loop")), state_requests(of("state")), same_requests(of("state")))
     forbidden = forbidden_used(rows, marks)

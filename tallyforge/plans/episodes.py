@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy as Z
 from ..operators import aggregates as A
 from ..operators import board as B
+from ..operators import calls as K
 from ..operators import dialogues as D
 from ..operators import filters as P
 from ..operators import judging as J
@@ -136,7 +137,8 @@ def r11_tool_simple(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")
     call = F.concat(F.lit('[{"name": "'), "event_type", F.lit('", "arguments": {"k": '), F.get_json_object("props", "$.k"), F.lit("}}]"))
     rows = e.select("event_id", F.lit('{"tool_name": "click", "required_args": {"k": 30}}').alias("expected"), F.when(F.col("event_id") % 2 == 0, call).otherwise("[]").alias("calls"), F.lit("").alias("answer"))
-    return rounded(R.score_rows(rows, "tool_simple").select("event_id", "score", "passed"))
+    rows = rows.withColumnRenamed("event_id", "trial_id").withColumn("results", F.lit(None).cast("string"))
+    return rounded(K.tool_scores(rows).withColumnRenamed("trial_id", "event_id"))
 
 
 @entry("""WITH w AS (SELECT event_id, event_type = 'view' AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) = 30 AS b FROM events)
@@ -147,7 +149,7 @@ def r9_data_extract(spark, sf_dir):
     mark = F.create_map(*[F.lit(v) for t, n in (("view", 1), ("click", 2), ("error", 3), ("purchase", 4), ("signup", 5)) for v in (t, n)])
     answer = F.concat(F.lit('{"kind": '), mark[F.col("event_type")].cast("string"), F.lit(', "n": {"k": '), F.get_json_object("props", "$.k"), F.lit("}}"))
     rows = e.select("event_id", F.lit('{"extracted": {"kind": 1, "n.k": 30}}').alias("expected"), answer.alias("response"))
-    return rounded(R.score_rows(rows, "data_extract").select("event_id", "score", "passed"))
+    return rounded(K.extract_scores(rows.withColumnRenamed("event_id", "trial_id")).withColumnRenamed("trial_id", "event_id"))
 
 
 @entry(r"""WITH a AS (SELECT doc_id, chr(65 + CAST(doc_id % 12 AS INT)) AS l, doc_id % 3 AS m FROM documents)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
 from ..functions import responses as S
+from ..operators import calls as K
 from ..operators import grading as G
 from . import fixtures as X
 from .registry import entry, rounded
@@ -104,3 +105,77 @@ def sql_functions(spark, sf_dir):
     sqlfuncs.register(spark)
     tasks = by_task(X.trials(spark, sf_dir))
     return rounded(spark.sql("SELECT model, task_id, pass_hat_k(passes, n, 4) AS p4, within_budget(n, passes) AS budget FROM {tasks}", tasks=tasks))
+
+
+# Tool episodes: an order's line items are its calls.
+
+WANTED = [{"tool_name": "RF", "required_args": {"k": 10}}, {"tool_name": "AF", "required_args": {"k": 20}}, {"tool_name": "NO", "required_args": {"k": 30}}, {"tool_name": "NF", "required_args": {"k": 40}}]
+
+
+def orders(spark, sf_dir):
+    """trial_id, calls and results (JSON texts) of every order, and its last argument for each name."""
+    c = X.calls(spark, sf_dir)
+    call = F.to_json(F.struct("name", F.struct(F.col("argument").alias("k")).alias("arguments")))
+    result = F.when(F.col("failed"), '{"error": "down"}').otherwise('{"ok": true}')
+    own = c.groupBy(F.col("episode").alias("trial_id")).agg(F.array_sort(F.collect_list(F.struct("pos", call.alias("call"), result.alias("result")))).alias("x"))
+    last = c.groupBy("episode", "name").agg(F.max_by("argument", "pos").alias("v")).groupBy(F.col("episode").alias("e")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "v")))).alias("final_state"))
+    met = own.join(last, F.col("trial_id") == F.col("e"))
+    joined = F.concat(F.lit("["), F.array_join(F.col("x.call"), ","), F.lit("]"))
+    return met.select("trial_id", joined.alias("calls"), F.to_json("x.result").alias("results"), "final_state", F.size("x").alias("n_calls"))
+
+
+def fold_sql(n: int) -> str:
+    """The n-th wanted call takes the best call that those before it left; ties go to the first."""
+    w = WANTED[n]
+    mark = f"0.34 * CAST(name = '{w['tool_name']}' AS INT) + 0.33 + 0.33 * CAST(argument = {w['required_args']['k']} AS INT)"
+    gone = "".join(f" AND NOT EXISTS (SELECT 1 FROM s{i} WHERE s{i}.episode = c.episode AND s{i}.pos = c.pos)" for i in range(n))
+    return f"s{n} AS (SELECT episode, arg_max(pos, (m, -pos)) AS pos, max(m) AS m FROM (SELECT episode, pos, CAST({mark} AS DOUBLE) AS m FROM calls c WHERE episode % 3 + 2 > {n}{gone}) GROUP BY episode)"
+
+
+@entry(f"""WITH {X.CALLS_SQL}, {", ".join(fold_sql(n) for n in range(4))}, n AS (SELECT episode, count(*) AS made, episode % 3 + 2 AS wanted FROM calls GROUP BY episode),
+g AS (SELECT episode, (coalesce(s0.m, 0) + coalesce(s1.m, 0) + coalesce(s2.m, 0) + coalesce(s3.m, 0)) / wanted AS covered, greatest(0, made - wanted) AS extra FROM n
+  LEFT JOIN s0 USING (episode) LEFT JOIN s1 USING (episode) LEFT JOIN s2 USING (episode) LEFT JOIN s3 USING (episode))
+SELECT episode AS trial_id, round(greatest(0, covered - least(CAST(0.3 AS DOUBLE), 0.1 * extra)), 4) AS score, covered >= 0.999 AND extra = 0 AS passed FROM g""")
+def r13_parallel(spark, sf_dir):
+    """Two to four wanted calls for each order, which take the best of its calls in turn."""
+    o = orders(spark, sf_dir)
+    wanted = F.lit(None).cast("string")
+    for n in (2, 3, 4):
+        wanted = F.when(F.col("trial_id") % 3 + 2 == n, json.dumps(WANTED[:n])).otherwise(wanted)
+    return K.tool_scores(o.select("trial_id", F.lit("{}").alias("expected"), wanted.alias("parallel"), "calls", "results", F.lit("").alias("answer")))
+
+
+@entry("""SELECT event_id AS trial_id, CAST(event_id % 3 <> 0 AND event_id % 5 <> 0 AS INT) * CAST(1 AS DOUBLE) AS score, event_id % 3 <> 0 AND event_id % 5 <> 0 AS passed FROM events""")
+def r12_no_call(spark, sf_dir):
+    """A third of the events make a call although none is wanted, a fifth say nothing."""
+    e = X.table(spark, sf_dir, "events")
+    calls = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('[{"name": "'), "event_type", F.lit('", "arguments": '), "props", F.lit("}]"))).otherwise("[]")
+    rows = e.select(F.col("event_id").alias("trial_id"), F.lit('{"no_call": true}').alias("expected"), calls.alias("calls"), F.lit(None).cast("string").alias("results"), F.when(F.col("event_id") % 5 == 0, " \n").otherwise(F.col("event_type")).alias("answer"))
+    return K.tool_scores(rows)
+
+
+EPISODES = [
+    ("t0", {"goal_tool": "RF", "goal_args": {"k": 17}, "optimal_turns": 3, "min_calls": 2}),
+    ("t1", {"goal_tool": "NO", "goal_args": {"k": 5}, "goal_args_exact": ["k"], "goal_must_be_last": True, "forbidden_tools": ["AF"], "forbidden_unless": {"AF": {"k": 20}}}),
+    ("t2", {"expected_state": {"AF": 20, "RF": 30}, "accept_state": {"RF": [10, 40]}, "unchanged": ["NO"], "optimal_turns": 2}),
+]
+BEFORE = {"AF": 5, "NO": 1, "RF": 30}
+CLIP = "least(CAST(1 AS DOUBLE), CAST({} AS DOUBLE) / made)"
+
+
+@entry(f"""WITH {X.CALLS_SQL}, l AS (SELECT *, lag(name) OVER o = name AND lag(argument) OVER o = argument AND NOT lag(failed) OVER o AS same, count(*) OVER (PARTITION BY episode) AS made FROM calls WINDOW o AS (PARTITION BY episode ORDER BY pos)),
+m AS (SELECT episode, episode % 3 AS k, any_value(made) AS made, coalesce(bool_or(same), false) AS loops, bool_or(name = 'RF' AND argument = 17 AND NOT failed) AS g0, bool_or(name = 'NO' AND argument = 5 AND NOT failed AND pos = made) AS g1_last,
+  min(CASE WHEN name = 'NO' AND argument = 5 AND NOT failed THEN pos END) AS g1_first, bool_or(name = 'AF' AND argument <> 20) AS bad,
+  arg_max(argument, pos) FILTER (name = 'AF') AS af, arg_max(argument, pos) FILTER (name = 'RF') AS rf, arg_max(argument, pos) FILTER (name = 'NO') AS no FROM l GROUP BY episode),
+p AS (SELECT *, CASE k WHEN 0 THEN g0 WHEN 1 THEN g1_first IS NOT NULL AND g1_first = made AND NOT bad END AS goal, CASE WHEN k = 0 THEN made < 2 ELSE false END AS early, k = 1 AND bad AS forbidden,
+  (CAST(coalesce(af = 20, false) AS INT) + CAST(coalesce(rf IN (10, 30, 40), false) AS INT)) / CAST(2 AS DOUBLE) AS done, CAST(coalesce(no = 1, false) AS INT) AS side, CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS optimal FROM m)
+SELECT episode AS trial_id, CASE WHEN k = 2 THEN round(done * 0.6 + side * 0.2 + {CLIP.format("optimal")} * 0.1 + CASE WHEN loops THEN 0 ELSE 0.1 END, 4) WHEN forbidden THEN 0
+  ELSE round(CAST(goal AS INT) * CAST(0.4 AS DOUBLE) + CASE WHEN goal THEN {CLIP.format("optimal")} ELSE 0 END * 0.3 + CASE WHEN loops THEN 0 ELSE 0.2 END + CASE WHEN early THEN 0 ELSE 0.1 END, 4) END AS score,
+  CASE WHEN k = 2 THEN done >= 0.999 AND side = 1 ELSE goal AND NOT forbidden AND NOT loops AND NOT early END AND made <= greatest(2 * optimal, optimal + 3) AS passed FROM p""")
+def r14_episodes(spark, sf_dir):
+    """Orders as tool episodes: two kinds of loops and one of states, from calls and results to score and verdict."""
+    o = orders(spark, sf_dir).withColumn("task_id", F.concat(F.lit("t"), (F.col("trial_id") % 3).cast("string")))
+    final = F.to_json(F.map_concat(F.from_json(F.lit(json.dumps({"spare": 0})), "map<string,long>"), F.from_json("final_state", "map<string,long>")))
+    answers = o.select("trial_id", "task_id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("truncated"), F.lit("").alias("truncation_class"), "calls", "results", final.alias("final_state"))
+    rows = [(t, "tools", None, None, [], json.dumps(e), json.dumps(BEFORE)) for t, e in EPISODES]
+    return G.grade(answers, spark.createDataFrame(rows, "task_id string, module string, answer_type string, answer string, constraints array<string>, expected string, initial_state string")).select("trial_id", "score", "passed")

@@ -10,6 +10,7 @@ from ..functions import files as D
 from ..functions import fuzzy as Z
 from ..functions import jsonx as J
 from ..functions import text as X
+from ..operators import matching
 from . import fixtures as P
 from .registry import entry, rounded
 
@@ -276,4 +277,4 @@ def x8_value_match(spark, sf_dir):
     want = F.concat(F.lit('{"k": 30, "kind": "'), "event_type", F.lit('"}'))
     got = F.concat(F.lit('{"k": "'), F.get_json_object("props", "$.k"), F.lit('", "kind": "signup page", "more": [1]}'))
     pairs = e.select("event_id", want.alias("want"), got.alias("got"))
-    return rounded(Z.on_distinct(pairs, ["want", "got"], "match", Z.json_match).select("event_id", "match"))
+    return rounded(matching.match(pairs, "want", "got", "match").select("event_id", "match"))

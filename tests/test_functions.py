@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from tallyforge.functions import constraints as C
 from tallyforge.functions import files as D
 from tallyforge.functions import fuzzy as Z
 from tallyforge.functions import text as X
+from tallyforge.operators import calls as K
 from tallyforge.operators import scorers as R
 
 
@@ -94,21 +97,100 @@ def test_char_loop():
     assert Z.char_loop("20s" * 100) == 1.0 and Z.char_loop("short") == 0.0
 
 
-def test_tool_scorers():
-    call = [{"name": "get_weather", "arguments": {"city": "Tokyo"}}]
-    assert R.tool_simple({"tool_name": "get_weather", "required_args": {"city": "Tokyo"}}, call) == (1.0, True)
-    assert R.tool_simple({"no_call": True}, [], answer="no") == (1.0, True) and R.tool_simple({"no_call": True}, [], answer=" ") == (0.0, False)
-    assert R.tool_simple({"forbidden_tools": ["get_weather"]}, call) == (0.0, False)
-    assert R.forbidden_calls({"forbidden_tools": ["d"], "forbidden_unless": {"d": {"dry": True}}}, [{"name": "d", "arguments": {"dry": True}}]) == []
-    spec = {"tool_name": "get_weather", "required_args": {"city": "Tokyo"}}
-    assert R.parallel_calls([spec], call * 2) == (0.9, False)
-    assert not R.matches_goal({"name": "p", "arguments": {"n": "3"}}, "p", {"n": 3}, ["n"]) and R.matches_goal({"name": "p", "arguments": {"n": "3"}}, "p", {"n": 3})
-
-
-def test_state_match():
-    goal, side = R.state_match({"expected_state": {"kv": {"a": 2}}, "unchanged": ["files"]}, {"kv": {"a": 2}, "files": {"x": "y"}}, {"kv": {"a": 1}, "files": {"x": "y"}})
-    assert (goal, side) == (1.0, 1.0)
-    assert R.state_match({"expected_state": {"kv": {"a": 2, "b": 1}}}, {"kv": {"a": 1, "b": 1}}, {"kv": {"a": 1, "b": 1}})[0] == 0.0
+CALL = {"name": "get_weather", "arguments": {"city": "Tokyo"}}
+SPEC = {"tool_name": "get_weather", "required_args": {"city": "Tokyo"}}
+ROME = {"name": "get_weather", "arguments": {"city": "Rome", "units": "c"}}
+DRY = {"forbidden_tools": ["d"], "forbidden_unless": {"d": {"dry": True}}, "tool_name": "d"}
+#: expected, parallel, calls, answer, score, passed
+TOOLS = [
+    (SPEC, None, [CALL], "", 1.0, True),
+    ({"no_call": True}, None, [], "no", 1.0, True),
+    ({"no_call": True}, None, [], " ", 0.0, False),
+    ({"no_call": True}, None, [CALL], "no", 0.0, False),
+    ({"forbidden_tools": ["get_weather"]}, None, [CALL], "", 0.0, False),
+    (DRY, None, [{"name": "d", "arguments": {"dry": True}}], "", 1.0, True),
+    (DRY, None, [{"name": "d", "arguments": {"dry": False}}], "", 0.0, False),
+    (DRY, None, [{"name": "d", "arguments": {}}], "", 0.0, False),
+    (SPEC, None, [], "", 0.0, False),
+    (SPEC, None, [ROME, CALL], "", 0.15 + 0.25 + 0.35 + 0.25 * 0.2222, False),
+    (SPEC | {"optional_args": {"units": "c"}}, None, [CALL], "", 0.875, False),
+    ({"tool_name": "f", "required_args": {"n": 5}, "strict_types": True}, None, [{"name": "f", "arguments": {"n": "5"}}], "", 0.75, False),
+    ({"tool_name": "f"}, None, [{"name": "f", "arguments": None}], "", 1.0, True),
+    ({}, [SPEC], [CALL, CALL], "", 0.9, False),
+    ({}, [SPEC, {"tool_name": "get_weather", "required_args": {"city": "Rome"}, "optional_args": {"units": "c"}}], [ROME, CALL], "", 1.0, True),
+    ({}, [SPEC, SPEC], [CALL], "", 0.5, False),
+    ({}, [SPEC, SPEC], [], "", 0.0, False),
+    ({}, [{"tool_name": "x", "required_args": {"q": 1}}], [CALL], "", 0.0, False),
+    # The first takes the better call although the second needs it more: the best left over, in order.
+    ({}, [{"tool_name": "get_weather"}, SPEC], [CALL, {"name": "get_weather", "arguments": {}}], "", round((1 + 0.34) / 2, 4), False),
+]
+
+
+def test_tool_scorers(spark):
+    rows = [(i, json.dumps(e), json.dumps(p), json.dumps(c), a) for i, (e, p, c, a, *_) in enumerate(TOOLS)]
+    df = spark.createDataFrame(rows, "trial_id long, expected string, parallel string, calls string, answer string").withColumn("results", F.lit(None).cast("string"))
+    found = {r["trial_id"]: (r["score"], r["passed"]) for r in K.tool_scores(df).collect()}
+    for i, (*_, score, passed) in enumerate(TOOLS):
+        assert found[i] == (pytest.approx(score, abs=1e-4), passed), TOOLS[i]
+
+
+STATES = [
+    ({"expected_state": {"kv": {"a": 2}}, "unchanged": ["files"]}, {"kv": {"a": 1}, "files": {"x": "y"}}, {"kv": {"a": 2}, "files": {"x": "y"}}, 1.0, 1.0),
+    ({"expected_state": {"kv": {"a": 2, "b": 1}}}, {"kv": {"a": 1, "b": 1}}, {"kv": {"a": 1, "b": 1}}, 0.0, 1.0),
+    ({"expected_state": {"k": 1}, "accept_state": {"k": [2, 3]}}, {}, {"k": 3}, 1.0, 1.0),
+    ({"unchanged": ["a", "b"]}, {"a": 1, "b": 1}, {"a": 1, "b": 2}, 1.0, 0.5),
+    ({"unchanged": ["a"]}, {}, {}, 1.0, 0.0),
+    ({"unchanged_paths": {"f": ["x", "y", "z"]}}, {"f": {"x": 1, "y": 1}}, {"f": {"x": 1, "y": 2, "z": 0}}, 1.0, 1 / 3),
+    ({"unchanged_paths": {"f": ["z"], "g": ["z"]}}, {}, {"f": {"z": None}}, 1.0, 0.5),
+    ({}, None, None, 1.0, 1.0),
+]
+
+
+def test_state_match(spark):
+    rows = [(i, json.dumps(e), json.dumps(a), json.dumps(b), None, None) for i, (e, a, b, *_) in enumerate(STATES)]
+    df = spark.createDataFrame(rows, "trial_id long, expected string, initial_state string, final_state string, calls string, results string")
+    found = {r["trial_id"]: (r["goal"], r["side"]) for r in K.state_scores(df).collect()}
+    assert found == {i: (pytest.approx(g), pytest.approx(s)) for i, (*_, g, s) in enumerate(STATES)}
+
+
+def test_extracted_fields(spark):
+    cases = [
+        ({"extracted": {"a": 1, "b.0.c": "x"}}, '{"a": 1, "b": [{"c": "X"}]}', 1.0),
+        ({"extracted": {"a": 1, "b": 2}}, '```json\n{"a": 1}\n```', 0.5),
+        ({"extracted": {"a": "one"}, "accept": {"a": [1, "I"]}}, '{"a": 1}', 1.0),
+        ({"extracted": {"a": None}}, '{"a": null}', 0.0),
+        ({"extracted": {"0": 5}}, "[5]", 1.0),
+        ({"extracted": {"0": 5}}, '{"0": 5}', 1.0),
+        ({"extracted": {"a": 1}}, "no JSON", 0.0),
+        ({"extracted": {}}, "{}", 0.0),
+        ({"extracted": {"a": 1}}, None, 0.0),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(e), r) for i, (e, r, _) in enumerate(cases)], "trial_id long, expected string, response string")
+    assert {r["trial_id"]: r["score"] for r in K.extract_scores(df).collect()} == {i: s for i, (*_, s) in enumerate(cases)}
+
+
+GOALS = [
+    ({"goal_tool": "p", "goal_args": {"n": 3}, "goal_args_exact": ["n"]}, [{"name": "p", "arguments": {"n": "3"}}], None, []),
+    ({"goal_tool": "p", "goal_args": {"n": 3}}, [{"name": "p", "arguments": {"n": "3"}}], None, [(0, "3")]),
+    ({"goal_tool": "p", "goal_args": {"s": "Ab"}, "goal_args_exact": ["s"]}, [{"name": "p", "arguments": {"s": " aB "}}, {"name": "p", "arguments": {"s": "abc"}}, {"name": "q", "arguments": {"s": "ab"}}], None, [(0, " aB ")]),
+    ({"goal_tool": "p"}, [{"name": "p", "arguments": {"a": "long text", "b": "x", "n": 5}}, {"name": "p", "arguments": {}}], ['{"error": ""}', '{"error": "bad"}'], [(0, "long text")]),
+    ({"goal_tool": "p", "content_arg": "n"}, [{"name": "p", "arguments": {"a": "x", "n": 5}}, {"name": "p", "arguments": {"a": "x"}}], ["[]", "not JSON"], [(0, "5"), (1, "x")]),
+    ({"goal_tool": "p", "goal_args": {"a": 1, "b": 2}}, [{"name": "p", "arguments": {"a": 1}}, {"name": "p", "arguments": {"b": 2, "a": 1}}], None, [(1, "")]),
+]
+
+
+def test_goals_are_found_with_their_content(spark):
+    rows = [(i, "t", "tools", json.dumps(e), json.dumps(c), json.dumps(r)) for i, (e, c, r, _) in enumerate(GOALS)]
+    df = spark.createDataFrame(rows, "trial_id long, task_id string, module string, expected string, calls string, results string")
+    more = {c: F.lit(None).cast("string") for c in ("parallel", "initial_state", "final_state", "text", "opening", "closing")}
+    found = {r["trial_id"]: [tuple(x) for x in r["landed"]] for r in K.episodes(df.withColumns(more).withColumn("truncated", F.lit(False))).collect()}
+    assert found == {i: w for i, (*_, w) in enumerate(GOALS)}
+
+
+def test_a_fold_assigns_calls(spark):
+    cases = [([[0.5, 1.0], [1.0, 1.0]], [1.0, 1.0]), ([[1.0, 1.0], [0.2, 0.9]], [1.0, 0.9]), ([[0.0, 0.0], [0.3, 0.1]], [0.0, 0.3]), ([[0.4], [0.9]], [0.4, 0.0]), ([[], []], [0.0, 0.0])]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i long, m array<array<double>>")
+    assert {r["i"]: r["a"] for r in df.select("i", K.assigned(F.col("m")).alias("a")).collect()} == {i: w for i, (_, w) in enumerate(cases)}
 
 
 def test_extract_code():
