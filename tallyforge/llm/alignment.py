@@ -22,7 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ blank_run = re.compile(r"(?<!\s)\s{10000}").search
 
 @dataclass(frozen=True)
 class Files:
-    """The two vocabularies: A as JSON and, the same, as ranks; B's model."""
+    """The two vocabularies: A as JSON and, the same, as ranks (which name each entry's bytes); B's model."""
 
     a: str
     ranks: str
@@ -53,34 +53,31 @@ class Files:
         return cls(*map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")))
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next free one from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Coders:
     """Both encoders and the bytes of every id; loaded once in a process."""
 
     def __init__(self, files: Files):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(files.a)
-        self.slow.encode_special_tokens = True  # their strings in a text are plain text
+        self.files = files
         with open(files.ranks, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        letters = byte_letters()
-        self.a_bytes = [b""] * self.slow.get_vocab_size()
-        for entry, i in self.slow.get_vocab().items():
-            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        self.a_bytes = sorted(ranks, key=ranks.__getitem__)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=files.b)
         self.b_bytes = [self.piece_bytes(i) for i in range(self.pieces.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
+    @cached_property
+    def slow(self):
+        """The tokenizers library's encoder, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.files.a)
+        found.encode_special_tokens = True  # their strings in a text are plain text
+        return found
+
     def piece_bytes(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
