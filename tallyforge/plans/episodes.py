@@ -16,6 +16,7 @@ from ..operators import scorers as R
 from ..operators import toolworld as W
 from ..sources import files as S
 from ..sources import haystacks as H
+from ..sources.scratch import place
 from . import fixtures as X
 from .registry import entry, rounded
 
@@ -306,6 +307,20 @@ def s8_checkpoint_log(spark, sf_dir):
     return S.log_rows(head.unionByName(body), {"model": "m"}, "n long")
 
 
+@entry("""WITH l AS (SELECT user_id % 12 AS f, event_id, event_type, value, row_number() OVER (PARTITION BY user_id % 12 ORDER BY event_id) AS line_no, event_id % 997 = 996 AND user_id % 3 = 0 AS torn FROM events),
+g AS (SELECT *, bool_or(torn) OVER (PARTITION BY f ORDER BY line_no) AS cut FROM l) SELECT f AS run, line_no, event_id AS n, event_type AS kind, value FROM g WHERE NOT cut AND f <> 5""")
+def s8_log_files(spark, sf_dir):
+    """Events written as logs of twelve runs and read back in splits; a header that is another's, and torn lines in a third of the runs."""
+    e = X.table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("f"), "event_id", "event_type", "value", (F.col("user_id") % 3 == 0).alias("may"))
+    line = F.to_json(F.struct(F.col("event_id").alias("n"), F.col("f").alias("run"), F.col("event_type").alias("kind"), "value"))
+    torn = (F.col("event_id") % 997 == 996) & F.col("may")
+    body = e.select("f", F.col("event_id").alias("pos"), F.when(torn, F.substr(line, F.lit(1), F.length(line) - 3)).otherwise(line).alias("value"))
+    head = e.select("f").distinct().select("f", F.lit(-1).cast("long").alias("pos"), F.when(F.col("f") == 5, '{"model": "other"}').otherwise('{"model": "m"}').alias("value"))
+    path = place(spark, "logs")
+    head.unionByName(body).repartition("f").sortWithinPartitions("f", "pos").select("f", "value").write.partitionBy("f").text(path)
+    return S.read_log(spark, path, {"model": "m"}, "n long, run long, kind string, value double").select("run", "line_no", "n", "kind", "value")
+
+
 @entry("SELECT count(*) AS cycles FROM events WHERE event_type = 'click' AND event_id % 4 <> 0 AND event_id % 9 <> 0")
 def s10_probe_cycles(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")

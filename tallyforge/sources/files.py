@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
@@ -93,26 +94,54 @@ def infer_band(task: dict) -> str:
     return task.get("band") or {"easy": "anchor", "hard": "hard"}.get(task.get("difficulty", "medium"), "mid")
 
 
+def same_header(fingerprint: dict[str, str], head: Column) -> Column:
+    """Whether a header line tells every key of the fingerprint as it is wanted."""
+    told = F.from_json(head, "map<string,string>")
+    return F.forall(F.array(*[F.coalesce(told[F.lit(k)] == F.lit(v), F.lit(False)) for k, v in fingerprint.items()]), lambda x: x)
+
+
 def log_rows(lines: DataFrame, fingerprint: dict[str, str], ddl: str) -> DataFrame:
     """Rows of an append-only JSON log (file, line_no, value): a header that must fit, then trials up to the first torn line.
 
-    A header that doesn't fit leaves nothing, and so does a file without one. Files are logs of their own.
+    A header that doesn't fit leaves nothing, and so does a file without one. Files are logs of their own. What is known of a file is one
+    row, put together from partial aggregates, so a file's lines need not meet in one task.
+    """
+    told = lines.groupBy("file").agg(
+        F.min(F.when(F.try_parse_json("value").isNull(), F.col("line_no"))).alias("torn"), F.max(F.when(F.col("line_no") == 0, F.col("value"))).alias("head")
+    ).filter(same_header(fingerprint, F.col("head")))
+    whole = lines.join(told, "file").filter("line_no > 0 AND (torn IS NULL OR line_no < torn)")
+    return whole.select("file", "line_no", F.from_json("value", ddl).alias("row")).select("file", "line_no", "row.*")
+
+
+def log_lines(spark: SparkSession, path: str, fits: Callable[[Column], Column]) -> DataFrame:
+    """file, line_no and value of the lines after the header (line 0) and before the first torn one, of those logs whose header fits.
+
+    A log of any length is read in splits by any number of tasks. Lines of a split are numbered as they are read, so a split's number of
+    lines, its first torn line and (from the first split) the header are one row, and a running sum over a file's splits tells the number of
+    each line. Lines are joined to their own split's row: no task holds more of a log than a split, and a split's lines
+    come in their order. The text source lists the files once.
     """
-    parsed = lines.withColumn("row", F.from_json("value", ddl)).withColumn("bad", F.try_parse_json("value").isNull())
-    header = F.from_json("value", "map<string,string>")
-    keys = [F.coalesce(header[F.lit(k)] == F.lit(v), F.lit(False)) for k, v in fingerprint.items()]
-    fits = keys[0]
-    for k in keys[1:]:
-        fits = fits & k
-    order = Window.partitionBy("file").orderBy("line_no")
-    good = parsed.withColumn("torn", F.max("bad").over(order)).withColumn("fits", F.max(F.when(F.col("line_no") == 0, fits)).over(Window.partitionBy("file")))
-    return good.filter("line_no > 0 AND NOT torn AND fits").select("file", "line_no", "row.*")
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_name").alias("file"),
+        F.monotonically_increasing_id().alias("seq"), "value",
+    )
+    splits = raw.groupBy("path", "split").agg(
+        F.count("*").alias("lines"), F.min("seq").alias("first"), F.min(F.when(F.try_parse_json("value").isNull(), F.col("seq"))).alias("bad"),
+        F.min_by(F.when(F.col("split") == 0, F.col("value")), "seq").alias("head"),
+    )
+    own = Window.partitionBy("path")
+    before = F.coalesce(F.sum("lines").over(own.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = splits.withColumn("before", before)
+    told = numbered.select("path", "split", (F.col("before") - F.col("first")).alias("shift"), F.min(F.col("before") + F.col("bad") - F.col("first")).over(own).alias("torn"), F.max("head").over(own).alias("head"))
+    wanted = told.filter(fits(F.col("head"))).drop("head")
+    lines = raw.join(wanted, ["path", "split"]).withColumn("line_no", F.col("seq") + F.col("shift"))
+    return lines.filter("line_no > 0 AND (torn IS NULL OR line_no < torn)").select("file", "line_no", "value").sortWithinPartitions("file", "line_no")
 
 
 def read_log(spark: SparkSession, path: str, fingerprint: dict[str, str], ddl: str) -> DataFrame:
-    """A checkpoint log. Its lines are numbered in the file: logs are small, one for each run."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
-    return log_rows(raw, fingerprint, ddl)
+    """The rows of a log, or of all logs in a folder; see log_lines."""
+    lines = log_lines(spark, path, lambda head: same_header(fingerprint, head))
+    return lines.select("file", "line_no", F.from_json("value", ddl).alias("row")).select("file", "line_no", "row.*")
 
 
 class TrialLog:
@@ -157,15 +186,16 @@ def run_fingerprint(settings: dict[str, Any]) -> dict[str, Any]:
     return {name: settings.get(name) for name in SAME_RUN}
 
 
+def plain(settings: Column) -> Column:
+    """Settings (JSON) as a text that is the same for equal settings, whatever their order; where a model was served is no part of it."""
+    told = F.try_parse_json(settings).cast("map<string,variant>")
+    return F.to_json(F.transform_values(F.map_filter(told, lambda k, v: k != "endpoint"), lambda k, v: F.to_json(v)))
+
+
 def read_trial_log(spark: SparkSession, path: str, fingerprint: dict[str, Any], ddl: str = schema.TRIAL) -> DataFrame:
     """Trials of an interrupted run: none if the log is another run's, and none from the first torn line on."""
-    own = {k: json.dumps(v) for k, v in fingerprint.items()}
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
-    head = raw.filter("line_no = 0").select("file", F.get_json_object("value", "$.__checkpoint__").alias("head")).collect()  # a line for each run's log
-    fits = [r["file"] for r in head if r["head"] and {k: json.dumps(v) for k, v in json.loads(r["head"]).items() if k != "endpoint"} == own]
-    rows = raw.filter(F.col("file").isin(fits) & (F.col("line_no") > 0))
-    torn = F.max(F.try_parse_json("value").isNull()).over(Window.partitionBy("file").orderBy("line_no"))
-    return rows.withColumn("torn", torn).filter("NOT torn").select("file", "line_no", F.from_json("value", ddl).alias("row")).select("file", "line_no", "row.*")
+    fits = lambda head: F.coalesce(plain(F.get_json_object(head, "$.__checkpoint__")) == plain(F.lit(json.dumps(fingerprint))), F.lit(False))
+    return log_lines(spark, path, fits).select("file", "line_no", F.from_json("value", ddl).alias("row")).select("file", "line_no", "row.*")
 
 
 def append_log(path: str | Path, row: dict[str, Any]) -> None:

@@ -1,4 +1,6 @@
 import json
+import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,45 @@ def test_small_reports(spark):
     assert {r["status"]: (r["n"], r["moved"]) for r in reports.status_report(moved).collect()} == {"rescored": (2, 1), "stale": (1, 0)}
     items = spark.createDataFrame([("x", "restraint", 0.5, 3), ("y", "weak", 0.1, 1), ("z", "restraint", 0.2, 2)], "task_id string, class string, pass_rate double, position long")
     assert [r["task_id"] for r in reports.restraint_items(items).orderBy("position").collect()] == ["z", "x"]
+
+
+@contextmanager
+def splits_of(spark, size):
+    """Files are read in splits of a few bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "64"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_a_log_is_read_by_several_tasks(spark, tmp_path):
+    rng, want = random.Random(5), {}
+    for f in range(6):
+        lines = [json.dumps({"model": "m" if f != 2 else "other"})]
+        torn = {0: None, 1: 700, 2: None, 3: 1, 4: 3, 5: None}[f]
+        lines += [json.dumps({"n": i, "t": "é" * rng.randrange(40)}, ensure_ascii=bool(i % 2)) for i in range(1, 900 if f < 5 else 1)]
+        if torn is not None:
+            lines[torn] = lines[torn][:-1] if f != 3 else ""
+        want[f"log{f}.jsonl"] = [] if f == 2 else list(range(1, len(lines) if torn is None else torn))
+        (tmp_path / f"log{f}.jsonl").write_text("\n".join(lines) + ("\n" if f % 2 else ""), encoding="utf-8")
+    (tmp_path / "log9.jsonl").write_text("")
+    with splits_of(spark, 3000):
+        assert spark.read.text(str(tmp_path / "log0.jsonl")).rdd.getNumPartitions() > 8
+        rows = files.read_log(spark, str(tmp_path), {"model": "m"}, "n long").collect()
+    got = {f: sorted((r["line_no"], r["n"]) for r in rows if r["file"] == f) for f in want}
+    assert got == {f: [(n, n) for n in ns] for f, ns in want.items()}
+
+
+def test_a_trial_logs_settings_are_compared_as_values(spark, tmp_path):
+    own = files.run_fingerprint({"model": "m", "temperature": 0.5, "seed": 7, "thinking": True})
+    body = '\n{"task_id": "a"}\n'
+    heads = {"same": own, "turned": dict(reversed(own.items())), "elsewhere": own | {"endpoint": "x"}, "text": own | {"seed": "7"}, "less": {"model": "m"}, "more": own | {"z": 1}}
+    for name, head in heads.items():
+        (tmp_path / name).write_text(json.dumps({"__checkpoint__": head}) + body)
+    (tmp_path / "bare").write_text(json.dumps(own) + body)
+    (tmp_path / "torn").write_text(json.dumps({"__checkpoint__": own})[:-3] + body)
+    got = {r["file"] for r in files.read_trial_log(spark, str(tmp_path), own).collect()}
+    assert got == {"same", "turned", "elsewhere"}
