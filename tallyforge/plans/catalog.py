@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, episodes, grades, registry, reports, rescoring, streams, texts  # noqa: F401  (importing a module registers its queries)
+from . import analytics, episodes, grades, registry, reports, rescoring, stored, streams, texts  # noqa: F401  (importing a module registers its queries)
 
 
 def queries() -> dict[str, registry.Query]:

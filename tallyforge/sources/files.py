@@ -16,17 +16,20 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators.board import prefer_judged
+from . import batch
 
 
-def load_results(spark: SparkSession, path: str, judged: bool | None = None) -> DataFrame:
-    """Trials of all result files under a path, with their run's settings, file and position."""
-    raw = spark.read.schema(schema.RESULT_FILE).option("multiLine", True).option("pathGlobFilter", "*_raw_results*.json").json(path)
-    named = raw.select("meta", "results", F.col("_metadata.file_name").alias("source_file"))
+def load_results(spark: SparkSession, path: str, judged: bool | None = None, modules: list[str] | None = None) -> DataFrame:
+    """Trials of all result files under a path, with their run's model, file and position; of some modules, if these are given.
+
+    Files that aren't wanted aren't opened, and other modules' trials are dropped where a file is read, a trial at a time.
+    """
+    found = batch.read(spark, batch.TrialResults, path)
     if judged is not None:
-        is_judged = F.endswith("source_file", F.lit("_judged.json"))
-        named = named.filter(is_judged if judged else ~is_judged)
-    rows = named.select("meta", "source_file", F.posexplode("results").alias("trial_seq", "r"))
-    flat = rows.select(F.col("meta.model").alias("model"), "source_file", F.col("trial_seq").cast("long").alias("trial_seq"), "r.*")
+        found = found.filter(F.col("judged") == F.lit(judged))
+    if modules:
+        found = found.filter(F.col("module").isin(modules))
+    flat = found.select("model", "source_file", "trial_seq", F.from_json("trial", schema.TRIAL).alias("r")).select("model", "source_file", "trial_seq", "r.*")
     return schema.with_defaults(flat, schema.TRIAL_DEFAULTS)
 
 
@@ -35,11 +38,10 @@ def load_runs(spark: SparkSession, path: str) -> DataFrame:
     return schema.with_defaults(raw.select("meta.*", F.col("_metadata.file_name").alias("source_file")), schema.RUN_DEFAULTS)
 
 
-def load_preferred(spark: SparkSession, path: str) -> DataFrame:
-    """Trials of each run's judged file, or of its raw one."""
-    trials = load_results(spark, path)
-    best = prefer_judged(trials.select(F.col("source_file").alias("file")).distinct()).select(F.col("file").alias("source_file"))
-    return trials.join(best, "source_file", "left_semi")
+def load_preferred(spark: SparkSession, path: str, modules: list[str] | None = None) -> DataFrame:
+    """Trials of each run's judged file, or of its raw one; the files' names are listed without reading any."""
+    named = spark.read.format("binaryFile").option("pathGlobFilter", "*_raw_results*.json").load(path).select(F.substring_index("path", "/", -1).alias("file"))
+    return load_results(spark, path, modules=modules).join(prefer_judged(named).select(F.col("file").alias("source_file")), "source_file", "left_semi")
 
 
 def save_trials(trials: DataFrame, path: str) -> None:
@@ -53,47 +55,20 @@ def save_json(rows: DataFrame, path: str) -> None:
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
     """The models' registry from YAML; a missing file is an empty registry."""
-    import yaml
-
-    file = Path(path)
-    entries = (yaml.safe_load(file.read_text()) or {}).get("models", []) if file.exists() else []
-    kinds = [c.split() for c in schema.MODEL.split(", ")]
-    value = lambda e, c, t: None if e.get(c) is None else float(e[c]) if t == "double" else str(e[c])
-    return spark.createDataFrame([tuple(value(e, c, t) for c, t in kinds) for e in entries if e.get("name")], schema.MODEL)
+    return batch.read(spark, batch.ModelRegistry, path)
 
 
 def load_tasks(spark: SparkSession, folder: str, modules: list[str] | None = None, fast: bool = False) -> DataFrame:
     """The task bank, a YAML file for each module; only the wanted modules' files are read. Tier and band are inferred."""
-    import yaml
-
-    rows = []
-    for file in sorted(Path(folder).glob("*.yaml")):
-        if modules and file.stem not in modules:
-            continue
-        data = yaml.safe_load(file.read_text()) or []
-        for t in data.get("tasks", []) if isinstance(data, dict) else data:
-            if fast and not t.get("fast"):
-                continue
-            rows.append((t.get("id"), file.stem, t.get("axis"), t.get("prompt"), t.get("system_prompt"), t.get("difficulty", "medium"), infer_tier(file.stem, t), infer_band(t), bool(t.get("fast")), t.get("max_tokens"), t.get("answer_type"), json.dumps(t.get("expected", {})), [json.dumps(c) for c in t.get("constraints", [])], t.get("tools", []), t.get("optimal_turns"), "", ""))
-    tasks = spark.createDataFrame(rows, schema.TASK)
+    tasks = batch.read(spark, batch.TaskBank, folder)
+    if modules:
+        tasks = tasks.filter(F.col("module").isin(modules))
+    if fast:
+        tasks = tasks.filter("fast")
     key = F.to_json(F.struct(*[c for c in tasks.columns if c not in ("fast", "task_hash", "world_hash")]))
     return tasks.withColumn("task_hash", F.substring(F.sha2(key, 256), 1, 16))
 
 
-def infer_tier(module: str, task: dict) -> str:
-    if "tier" in task:
-        return task["tier"]
-    if module == "tools":
-        return "baseline" if task.get("axis") == "call" else "hard"
-    if module == "code":
-        return "hard" if task.get("buggy_code") else "baseline"
-    return "baseline" if module in ("format", "knowledge") else "hard"
-
-
-def infer_band(task: dict) -> str:
-    return task.get("band") or {"easy": "anchor", "hard": "hard"}.get(task.get("difficulty", "medium"), "mid")
-
-
 def same_header(fingerprint: dict[str, str], head: Column) -> Column:
     """Whether a header line tells every key of the fingerprint as it is wanted."""
     told = F.from_json(head, "map<string,string>")

@@ -21,10 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, Writ
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-
-def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return pa.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pa.fs.LocalFileSystem(), path)
+from ..sources.storage import filesystem
 
 
 @dataclass
