@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+import pandas as pd
+from pyspark.sql import Row, SparkSession
+from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import DoubleType
 
 from ..operators.stats import STIRLING
 from ..sources.haystacks import FILLER
@@ -26,6 +28,56 @@ STATEMENTS = (
 )
 
 
+def mean_pass_hat_k(passes: pd.Series, n: pd.Series, k: pd.Series) -> float:
+    """pass^k over the tasks of a group with k attempts or more, 0 without any, as an aggregate: mean_pass_hat_k(passes, n, k).
+
+    Its input is a row for each task (by_task), so a group is no larger than a bank. Nulls don't count. As with all of
+    Spark's aggregates in Python, a table without rows gives no row, grouped or not.
+    """
+    known = passes.notna() & n.notna() & k.notna()
+    c, m, most = (x[known].astype("int64") for x in (passes, n, k))
+    able = m >= most
+    c, m, most = c[able], m[able], most[able]
+    if not len(c):
+        return 0.0
+    share = pd.Series(1.0, index=c.index)
+    for i in range(int(most.max())):
+        counts = i < most
+        share = share.where(~counts, share * (c - i).clip(lower=0) / (m - i).clip(lower=1))
+    return float(share.mean())
+
+
+class ItemStats:
+    """What trials tell of a task, as a table function: item_stats(TABLE(rows) PARTITION BY task_id ORDER BY model).
+
+    Rows are a model's passes and n at the task with its module, band and whether it is of the top or bottom third; a row comes out for
+    each partition. It holds sums only, whatever the number of rows. Nulls in passes or n don't count; the band is the last model's.
+    """
+
+    def __init__(self) -> None:
+        self.task = self.module = self.band = None
+        self.rates, self.top, self.bottom, self.flaky = [0.0, 0], [0.0, 0], [0.0, 0], 0
+
+    def eval(self, row: Row) -> None:
+        if row["passes"] is None or not row["n"]:
+            return
+        rate = row["passes"] / row["n"]
+        self.task, self.band = row["task_id"], row["band"]
+        self.module = row["module"] if self.module is None else max(self.module, row["module"] or self.module)
+        for sums, own in ((self.rates, True), (self.top, row["top"]), (self.bottom, row["bottom"])):
+            if own:
+                sums[0], sums[1] = sums[0] + rate, sums[1] + 1
+        self.flaky += 0 < rate < 1
+
+    def terminate(self):
+        if self.rates[1]:
+            mean = lambda s: s[0] / s[1] if s[1] else 0.0
+            yield self.task, self.module, self.band, mean(self.rates), mean(self.top) - mean(self.bottom), self.flaky, self.rates[1]
+
+
+ITEM_STATS = "task_id: string, module: string, band: string, pass_rate: double, discrimination: double, flaky_models: bigint, n_models: bigint"
+
+
 class Haystack:
     """Filler lines as a table function: haystack(first, count)."""
 
@@ -40,4 +92,6 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("indel_ratio", fuzzy.ratio)
     spark.udf.register("window_ratio", fuzzy.window)
     spark.udf.register("json_match", fuzzy.json_match)
+    spark.udf.register("mean_pass_hat_k", pandas_udf(mean_pass_hat_k, DoubleType()))
+    spark.udtf.register("item_stats", udtf(ItemStats, returnType=ITEM_STATS))
     spark.udtf.register("haystack", udtf(Haystack, returnType="i: bigint, line: string"))

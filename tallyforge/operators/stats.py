@@ -134,13 +134,17 @@ def band_legs(tasks: DataFrame, cohort: list[str]) -> DataFrame:
     ).withColumn("monotonic", F.when((F.size("legs") == 0) | known, None).otherwise(F.forall("legs", lambda x: x >= 0)))
 
 
-def items(tasks: DataFrame, cohort: list[str], k: int = 1) -> DataFrame:
-    """Per task: mean pass rate, discrimination of the top against the bottom third, flaky models, cohort steps, class."""
+def thirds(tasks: DataFrame, k: int) -> DataFrame:
+    """Whether a model is of the fleet's top or bottom third, at least one model each."""
     order = ranking(tasks, k).withColumn("third", F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) / 3)))
-    order = order.withColumn("m", F.count("*").over(Window.partitionBy())).select(
+    return order.withColumn("m", F.count("*").over(Window.partitionBy())).select(
         "model", (F.col("rank") <= F.col("third")).alias("top"), (F.col("rank") > F.col("m") - F.col("third")).alias("bottom"), F.col("m").alias("fleet")
     )
-    met = fractions(tasks).join(F.broadcast(order), "model")  # a row for each model
+
+
+def items(tasks: DataFrame, cohort: list[str], k: int = 1) -> DataFrame:
+    """Per task: mean pass rate, discrimination of the top against the bottom third, flaky models, cohort steps, class."""
+    met = fractions(tasks).join(F.broadcast(thirds(tasks, k)), "model")  # a row for each model
     mean_of = lambda c: F.avg(F.when(F.col(c), F.col("frac")))
     stats = met.groupBy("task_id").agg(
         F.max("module").alias("module"), F.max_by("band", "model").alias("band"), F.avg("frac").alias("pass_rate"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sqlfuncs
 from ..operators import aggregates as A
 from ..operators import board as B
 from ..operators import filters as P
@@ -57,6 +58,14 @@ def a2_pass_hat_k(spark, sf_dir):
     return rounded(tasks_of(spark, sf_dir).groupBy("model").agg(of(1), of(2), of(3), of(5)))
 
 
+@entry(f"{TT} SELECT model, tier, {pass_k_case(1)} AS k1, {pass_k_case(3)} AS k3, {pass_k_case(5)} AS k5, round(coalesce(avg({X.pass_k_sql('passes', 'n', 2)}) FILTER (WHERE n >= 2), 0), 6) AS k2 FROM tasks GROUP BY model, tier")
+def a2_pass_k_aggregate(spark, sf_dir):
+    """The same as an aggregate of SQL, per model and tier."""
+    sqlfuncs.register(spark)
+    of = ", ".join(f"mean_pass_hat_k(passes, n, {k}) AS k{k}" for k in (1, 2, 3, 5))
+    return rounded(spark.sql(f"SELECT model, tier, {of} FROM {{tasks}} GROUP BY model, tier", tasks=tasks_of(spark, sf_dir)))
+
+
 HEAD = f"SELECT model, module, coalesce(avg({P3}), 0) AS s FROM tasks GROUP BY model, module"
 
 
@@ -320,6 +329,17 @@ def n7_items(spark, sf_dir):
     return rounded(out.select("task_id", "module", "band", "pass_rate", "discrimination", "flaky_models", "n_models", "band_discrimination", "class"))
 
 
+@entry(f"""{TT}, {RANK}, th AS (SELECT model, rank <= greatest(1, m // 3) AS top, rank > m - greatest(1, m // 3) AS bottom FROM (SELECT *, count(*) OVER () AS m FROM rk))
+SELECT task_id, max(module) AS module, arg_max(band, model) AS band, round(avg(f), 6) AS pass_rate, round(coalesce(avg(CASE WHEN top THEN f END), 0) - coalesce(avg(CASE WHEN bottom THEN f END), 0), 6) AS discrimination,
+  {total("f > 0 AND f < 1")} AS flaky_models, count(*) AS n_models FROM (SELECT *, CAST(passes AS DOUBLE) / n AS f FROM tasks JOIN th USING (model)) GROUP BY task_id""")
+def n7_items_table(spark, sf_dir):
+    """Items as a table function of SQL, over a partition for each task."""
+    sqlfuncs.register(spark)
+    tasks = tasks_of(spark, sf_dir)
+    rows = tasks.join(F.broadcast(N.thirds(tasks, K)), "model")  # a row for each model
+    return rounded(spark.sql("SELECT * FROM item_stats(TABLE(SELECT * FROM {rows}) PARTITION BY task_id ORDER BY model)", rows=rows))
+
+
 @entry(f"""{TT}, ev2 AS (SELECT model, count(DISTINCT task_id) AS every, avg(CASE WHEN NOT infra_error THEN det_score END) AS mean_soft FROM trials GROUP BY model),
 ab AS (SELECT model, count(*) AS n_tasks, {total("passes >= 15")} AS passed FROM tasks WHERE n >= 15 GROUP BY model),
 me AS (SELECT model, coalesce(n_tasks, 0) AS n_tasks, coalesce(passed, 0) AS passed, mean_soft, every FROM ev2 LEFT JOIN ab USING (model))

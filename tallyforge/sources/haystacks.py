@@ -100,10 +100,19 @@ AUDIT_DRAWS = (
     ("env", ENVIRONMENTS), ("svc", SERVICES), ("actor", ACTORS), ("region", REGIONS), ("path", PATHS), ("n", range(2, 9000)), ("sha", 12), ("trace", 16), ("req", 20), ("k24", 24), ("k36", 36),
 )
 CAST = ("Priya", "Marco", "Dana", "Ines", "Rafael", "Nadia", "Bo", "Tomas")
+#: What is talked of, and its short name.
 TOPICS = (
-    "the on-call rota", "the vendor invoice backlog", "staging flakiness", "the onboarding docs", "the hiring loop", "the dashboard cleanup", "the log retention change",
-    "the API deprecation notice", "the incident review write-up", "the storage cost spike",
-)
+    ("the on-call rota", "rota"),
+    ("the vendor invoice backlog", "invoices"),
+    ("staging flakiness", "staging"),
+    ("the onboarding docs", "docs"),
+    ("the hiring loop", "hiring"),
+    ("the dashboard cleanup", "dashboards"),
+    ("the log retention change", "retention"),
+    ("the API deprecation notice", "deprecation"),
+    ("the incident review write-up", "the write-up"),
+    ("the storage cost spike", "storage costs"),
+)
 CHATTER = (
     "{a}: On {topic} — where did we land last week?",
     "{a}: I looked at {topic} briefly and it is smaller than it sounded.",
@@ -157,8 +166,8 @@ def audit(rnd: random.Random) -> Iterator[tuple[str, int]]:
 def meeting(rnd: random.Random) -> Iterator[tuple[str, int]]:
     """Lines of a meeting, a tenth of its exchanges about who owns what. An exchange is never cut, so its lines weigh with its last."""
     while True:
-        topic = rnd.choice(TOPICS)
-        names = {"topic": topic, "other": rnd.choice([t for t in TOPICS if t != topic])}
+        topic, short = rnd.choice(TOPICS)
+        names = {"topic": short, "other": rnd.choice([t for t, _ in TOPICS if t != topic])}
         names["a"], names["b"] = rnd.sample(CAST, 2)
         form = rnd.choice(OWNERSHIP if rnd.random() < OWNERSHIP_SHARE else CHATTER)
         lines = form.format(**names, n=drawn(rnd, GUESTS)).split("\n")

@@ -28,6 +28,18 @@ def test_styles_follow_the_random_stream():
     assert haystacks.styled("ops_audit", 1, "s")[0].startswith(f"2026-0{month}-{day:02d}T{hour:02d}:{minute:02d}:{second:02d}Z")
 
 
+def test_meetings_follow_the_random_stream():
+    """Short names stand for what is talked of, whole ones for what else there is; the draws come in their order."""
+    for salt in map(str, range(40)):
+        rnd = random.Random(f"meeting::{salt}")
+        topic, short = rnd.choice(haystacks.TOPICS)
+        other = rnd.choice([t for t, _ in haystacks.TOPICS if t != topic])
+        a, b = rnd.sample(haystacks.CAST, 2)
+        forms = haystacks.OWNERSHIP if rnd.random() < 0.1 else haystacks.CHATTER
+        want = rnd.choice(forms).replace("{topic}", short).replace("{other}", other).replace("{a}", a).replace("{b}", b).replace("{n}", str(rnd.randrange(3, 400)))
+        assert "\n".join(haystacks.styled("meeting", 500, salt)).startswith(want)
+
+
 def test_documents_of_specs(spark):
     specs = [("a", {"needle": "NEEDLE", "filler_tokens": 600, "filler_style": "ops_audit", "position": 0.0}), ("b", {"type": "multi_key", "needle": "N", "distractors": ["D"], "filler_tokens": 300, "filler_style": "meeting"})]
     frame = spark.createDataFrame([(i, json.dumps(s)) for i, s in specs], "task_id string, spec string")
