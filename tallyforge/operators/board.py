@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import aggregates, stats
+from ..sources.scratch import written
+from . import aggregates, ledger, stats
 
 # The floors of tiers and of size classes (billions of parameters in all).
 TIERS = (("S", 0.90), ("A", 0.80), ("B", 0.70), ("C", 0.60), ("D", 0.45), ("E", 0.30), ("F", 0.0))
@@ -56,15 +57,13 @@ def prefer_judged(files: DataFrame) -> DataFrame:
 
 
 def board(trials: DataFrame, weights: DataFrame, models: DataFrame, k: int) -> DataFrame:
-    """Ranked rows. The (model, task) aggregate feeds the headlines and the pairs."""
-    tasks = aggregates.by_task(trials)
-    judged = aggregates.weighted(aggregates.group_scores(tasks, "module", k), weights)
-    raw = aggregates.weighted(aggregates.group_scores(tasks.withColumn("passes", F.col("det_passes")), "module", k), weights).withColumnRenamed("headline", "det_headline")
-    speed = aggregates.speed(trials).filter("module = '__global__'").select("model", "tokens_per_second")
-    lost = aggregates.task_coverage(trials, k).select("model", "excluded", "short")
+    """Ranked rows, all from one ledger: trials are read once."""
+    sums = ledger.ledger(trials)
+    tasks = written(ledger.by_task(sums), "tasks")
+    heads, speed, lost = ledger.headlines(tasks, weights, k), sums.groupBy("model").agg(ledger.speed()), ledger.lost(sums, k)
     ties = tied_with_above(stats.pairs(tasks, k))
     size = F.broadcast(size_cells(models))  # a row for each model
-    rows = judged.join(raw, "model").join(speed, "model", "left").join(lost, "model", "left").join(size, "model", "left").join(ties, "model", "left")
+    rows = heads.join(speed, "model", "left").join(lost, "model", "left").join(size, "model", "left").join(ties, "model", "left")
     score = F.round("headline", 6)
     return rows.select(
         F.row_number().over(Window.orderBy(F.desc(score), "model")).cast("long").alias("rank"), "model", score.alias("headline"), F.round("det_headline", 6).alias("det_headline"),

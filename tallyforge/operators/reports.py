@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import aggregates as A
 from . import board as B
+from . import ledger as L
 from . import stats as N
 
 INVERSIONS, EVIDENCE, OVERSIZED = 12, 6, 8
@@ -45,21 +47,28 @@ def module_cells(trials: DataFrame, weights: DataFrame, skips: tuple[str, ...] =
 
 def board_rows(trials: DataFrame, weights: DataFrame, k: int, repair_module: str, skips: tuple[str, ...] = A.JUDGE_SKIPS) -> DataFrame:
     """A model's row beyond rank and tier: scores with and without the judge, coverage, speed, repairs, time and counts."""
-    tasks = A.by_task(trials)
-    scores = A.group_scores(tasks, "module", k)
-    plain = A.weighted(A.group_scores(tasks, "module", k, "det_passes"), weights).withColumnRenamed("headline", "det_pass")
-    judged = A.weighted(scores, weights).withColumnRenamed("headline", "judged_pass")
-    means = A.module_means(trials)
-    mean_of = lambda c, name: A.weighted(means.withColumn("pass_k", c), weights).withColumnRenamed("headline", name)
-    det, llm = mean_of(F.col("det"), "overall_det"), mean_of(F.coalesce("llm", "det"), "overall_llm")
-    gaps = A.judge_gaps(trials, skips).withColumn("coverage", F.col("judged") / F.col("total"))
-    rates = A.timings(trials).filter("module = '__global__'").select("model", "prefill_rate", "decode_rate")
-    speed = A.speed(trials).filter("module = '__global__'").select("model", "tokens_per_second")
-    repairs = A.recovery(trials, repair_module).select("model", F.try_divide("one_shot", "solved").alias("first_try"))
+    sums = L.ledger(trials, detailed=True)
+    tasks = written(L.by_task(sums), "tasks")
+    heads = L.headlines(tasks, weights, k).withColumnsRenamed({"headline": "judged_pass", "det_headline": "det_pass"})
+    own = written(L.modules(sums, skips), "modules")
+    mean = lambda c: F.sum(c * F.col("w")) / F.sum("w")
+    means = own.join(F.broadcast(weights), "module").groupBy("model").agg(  # a row for each module
+        F.coalesce(mean(F.col("det")), F.lit(0.0)).alias("overall_det"), F.coalesce(mean(F.coalesce("llm", "det")), F.lit(0.0)).alias("overall_llm")
+    )
+    named = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("module")))), ",")
+    gaps = own.groupBy("model").agg(
+        F.sum("judged").alias("judged"), F.try_divide(F.sum("judged"), F.sum("total")).alias("coverage"), named(F.col("judged") == 0).alias("unjudged"),
+        named((F.col("judged") > 0) & (F.col("judged") < F.col("total"))).alias("partial"),
+    )
+    rate = lambda n, s: F.when(F.sum(s) > 0, F.sum(n) / F.sum(s))
+    repaired = lambda c: F.sum(F.when(F.col("module") == repair_module, F.col(c)))
+    runs = sums.groupBy("model").agg(
+        rate("prompt_tokens", "prefill_seconds").alias("prefill_rate"), rate("completion_tokens", "generation_seconds").alias("decode_rate"), L.speed(),
+        F.try_divide(repaired("one_shot"), repaired("solved")).alias("first_try"), (F.sum("seconds") / 60).alias("trial_minutes"),
+    )
     able = tasks.groupBy("model").agg(A.whole(F.col("n") >= k).alias("n_tasks"), F.count("*").alias("known"))
-    spent = trials.groupBy("model").agg((F.sum("duration_seconds") / 60).alias("trial_minutes"))
-    met = plain
-    for part in (judged, det, llm, gaps, rates, speed, repairs, able, spent):  # each has a row for each model
+    met = heads
+    for part in (means, gaps, runs, able):  # each has a row for each model
         met = met.join(part, "model", "left")
     has = F.coalesce(F.col("judged") > 0, F.lit(False))
     only = lambda c: F.when(has, F.col(c))
