@@ -130,3 +130,28 @@ def test_rescored_trials_get_new_scores(spark):
     found = {r["trial_id"]: (r["status"], r["det_score"], r["success"], r["moved"]) for r in G.rescore(t, b, backend="rlimit").collect()}
     assert found["all hold"] == ("rescored", 1.0, True, True) and found["forgotten"] == ("rescored", 0.8889, False, True)
     assert found["cut"] == ("error_no_turns", 0.5, False, False) and found["too few"] == ("drifted", 0.5, False, False) and found["right"] == ("skipped_sandbox", 0.5, False, False)
+
+
+def test_rules_of_dialogues_add_up_until_revoked(spark):
+    import random
+
+    rnd, tasks = random.Random(2), []
+    for t in range(40):
+        turns = []
+        for _ in range(rnd.randrange(5)):
+            turn = {}
+            if rnd.random() < 0.8:
+                own = [{"type": rnd.choice(["max_words", "bullets_kept"]), "value": rnd.randrange(9)} for _ in range(rnd.randrange(3))]
+                turn["constraints"] = [c | ({"id": rnd.choice("abc")} if rnd.random() < 0.7 else {}) for c in own]
+            if rnd.random() < 0.4:
+                turn["revokes"] = rnd.sample("abc", rnd.randrange(3))
+            turns.append(turn)
+        tasks.append((f"t{t}", json.dumps(turns)))
+    want = {}
+    for task, text in tasks:
+        held, turns = [], json.loads(text)
+        for i, turn in enumerate(turns):
+            held = [c for c in held if c.get("id") not in turn.get("revokes", [])] + turn.get("constraints", [])
+            want[task, i] = (len(turns), [c for c in held if c["type"] != "bullets_kept"], sum(c["type"] == "bullets_kept" for c in held))
+    rows = G.dialogue_rules(spark.createDataFrame([*tasks, ("none", None)], "task_id string, conversation string")).collect()
+    assert {(r["task_id"], r["turn"]): (r["n_turns"], [json.loads(c) for c in r["checks"]], r["crossing"]) for r in rows} == want and len(rows) == len(want)
