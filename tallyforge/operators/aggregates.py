@@ -23,6 +23,14 @@ MODULE_WEIGHTS = {
     "agentic": {"tools": 0.38, "multi_turn_if": 0.16, "long_context": 0.12, "format": 0.12, "code": 0.08, "adversarial": 0.08, "knowledge": 0.06},
     "coding": {"code": 0.21, "tools": 0.28, "format": 0.15, "long_context": 0.12, "multi_turn_if": 0.11, "adversarial": 0.07, "knowledge": 0.06},
 }
+#: The modules in the order in which they are run and told.
+MODULES = ("tools", "code", "knowledge", "format", "long_context", "multi_turn_if", "adversarial")
+
+
+def module_place(module: Column) -> Column:
+    """A module's place in that order, from 0; modules that it doesn't name come after it, and are ordered by name."""
+    place = F.array_position(F.array(*[F.lit(m) for m in MODULES]), module)
+    return F.when(place > 0, place - 1).otherwise(len(MODULES)).cast("long")
 
 
 def whole(condition: Column) -> Column:

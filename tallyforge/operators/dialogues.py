@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..schema import CALL
 from .aggregates import whole
 
 
@@ -45,6 +47,25 @@ def forbidden(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return calls.join(tools, "name", "left_semi")
 
 
+def flat_calls(turns: Column) -> Column:
+    """All calls of an episode's turns, in order; a turn without calls gives none."""
+    none = F.array().cast(f"array<{CALL}>")
+    return F.flatten(F.transform(turns, lambda t: F.coalesce(t["tool_calls"], none)))
+
+
+def tool_results(turns: Column) -> Column:
+    """What the tools answered, in the order of the calls; an answer may be null."""
+    return F.transform(F.filter(turns, lambda t: t["role"] == "tool"), lambda t: t["content"])
+
+
+def closing_answer(turns: Column, truncated: Column) -> Column:
+    """The model's last words, without its reasoning: empty where the answer was cut, or where it last called a tool instead of speaking."""
+    calls = lambda t: F.coalesce(F.size(t["tool_calls"]) > 0, F.lit(False))
+    spoke = lambda t: X.stripped(F.coalesce(t["content"], F.lit(""))) != ""
+    last = F.try_element_at(F.filter(turns, lambda t: (t["role"] == "assistant") & (calls(t) | spoke(t))), F.lit(-1))
+    return F.when(truncated | last.isNull() | calls(last), "").otherwise(X.strip_reasoning(last["content"]))
+
+
 def final_answers(turns: DataFrame) -> DataFrame:
     """Per conversation the last assistant turn's text."""
     own = turns.filter("role = 'assistant'")

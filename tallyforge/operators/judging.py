@@ -65,5 +65,22 @@ def merge(trials: DataFrame, verdicts: DataFrame) -> DataFrame:
     return trials.join(verdicts.select("model", "uid", F.col("score").alias("llm_score"), F.col("reasoning").alias("llm_reasoning")), ["model", "uid"], "left")
 
 
+def asked(trials: DataFrame, skips: tuple[str, ...] = SKIPPED, only: DataFrame | None = None) -> DataFrame:
+    """Trials that a judge is asked about: those of judged modules, and of these only some tasks' (module, task_id) where only is given."""
+    due = trials.filter(~F.col("module").isin(*skips))
+    return due if only is None else due.join(only.select("module", "task_id"), ["module", "task_id"], "left_semi")
+
+
+def second_pass(due: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Of the trials that a judge was asked about (model, module, uid), all of those modules for which it gave no verdict at all.
+
+    One failed call leaves a whole module without verdicts, and would drop it from the judged score unseen. Which modules have one is told
+    by partial counts, so a module's trials never meet in one task. A verdict without a score is none.
+    """
+    scored = verdicts.filter("score IS NOT NULL").select("model", "uid").distinct().withColumn("scored", F.lit(True))
+    per_module = due.join(scored, ["model", "uid"], "left").groupBy("model", "module").agg(F.count("scored").alias("n"))
+    return due.join(per_module.filter("n = 0").select("model", "module"), ["model", "module"], "left_semi")
+
+
 def to_retry(trials: DataFrame, verdicts: DataFrame) -> DataFrame:
     return trials.join(verdicts, ["model", "uid"], "left_anti")

@@ -38,6 +38,20 @@ def a3_module_scores(spark, sf_dir):
     return rounded(A.group_scores(tasks_of(spark, sf_dir), "module", K))
 
 
+NAMED = "CASE module WHEN 'click' THEN 'format' WHEN 'view' THEN 'tools' WHEN 'error' THEN 'adversarial' WHEN 'purchase' THEN 'code' ELSE module END"
+PLACES = "CASE " + " ".join(f"WHEN module = '{m}' THEN {i}" for i, m in enumerate(A.MODULES)) + f" ELSE {len(A.MODULES)} END"
+
+
+@entry(f"""{TT}, r AS (SELECT model, {NAMED} AS module, passes, n FROM tasks), s AS (SELECT model, module, round(coalesce(avg({P3}), 0), 1) AS score FROM r GROUP BY model, module)
+SELECT model, module, score, row_number() OVER (PARTITION BY model ORDER BY score DESC, {PLACES}, module) AS position FROM s""")
+def modules_in_order(spark, sf_dir):
+    """A model's modules from its best; equal scores in the modules' own order."""
+    tasks = tasks_of(spark, sf_dir).withColumn("module", F.expr(NAMED))
+    scores = A.group_scores(tasks, "module", K).select("model", "module", F.round("pass_k", 1).alias("score"))
+    order = Window.partitionBy("model").orderBy(F.desc("score"), A.module_place(F.col("module")), "module")
+    return scores.withColumn("position", F.row_number().over(order).cast("long"))
+
+
 @entry(group_sql("band"))
 def a4_band_scores(spark, sf_dir):
     return rounded(A.group_scores(tasks_of(spark, sf_dir), "band", K))
@@ -289,6 +303,16 @@ def n2_sign_test(spark, sf_dir):
     return counts.withColumn("p", F.round(N.sign_test_p(F.col("wins"), F.col("losses")), 6))
 
 
+@entry(f"""{TT}, {PAIRS}, w AS (SELECT model_b AS model, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(losses) AS BIGINT) AS losses FROM hm GROUP BY model_b), z AS (SELECT *, wins + losses AS n FROM w)
+SELECT model, wins, losses, round(CASE WHEN wins = losses THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(CAST(2 AS DOUBLE)))))) END, 6) AS p, {wilson_sql("losses", "n")} FROM z""")
+def sql_statistics(spark, sf_dir):
+    """The sign test and the interval as functions of SQL: each model against all that are ranked above it."""
+    sqlfuncs.register(spark)
+    query = "SELECT model, wins, losses, round(sign_test_p(wins, losses), 6) AS p, wilson_low(losses, wins + losses) AS low, wilson_high(losses, wins + losses) AS high"
+    return spark.sql(f"{query} FROM (SELECT model_b AS model, sum(wins) AS wins, sum(losses) AS losses FROM {{pairs}} GROUP BY model_b)", pairs=N.pairs(tasks_of(spark, sf_dir), K))
+
+
 @entry(f"""{TT}, {PAIRS} SELECT model_a, model_b, wins, losses, shared, d AS discordant, round(gap, 6) AS gap, p, round(padj, 4) AS p_adjusted, d > 0 AND padj < 0.05 AS separable, rb = ra + 1 AS adjacent,
 CASE WHEN gap > 0 THEN CAST(ceil(pow(1.959964 + 0.841621, 2) * (CAST(d AS DOUBLE) / shared) / (gap * gap)) AS BIGINT) END AS tasks_needed FROM hm""")
 def n4_pairs(spark, sf_dir):

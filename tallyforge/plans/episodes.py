@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import fuzzy as Z
 from ..operators import aggregates as A
 from ..operators import board as B
@@ -77,6 +78,26 @@ def x28_final_answers(spark, sf_dir):
     return D.final_answers(X.table(spark, sf_dir, "conversations"))
 
 
+@entry(f"""{C}, p AS (SELECT *, CASE WHEN pos % 2 = 0 THEN name || '(' || argument || ') ' ELSE '' END || name || '(' || argument + 1 || ')' AS made FROM calls)
+SELECT episode, CASE WHEN episode % 4 = 3 THEN string_agg(made, ' ' ORDER BY pos) || ' end()' ELSE string_agg(made, ' ' ORDER BY pos) END AS calls, string_agg(CASE WHEN failed THEN '-' ELSE CAST(argument AS VARCHAR) END, ' ' ORDER BY pos) AS results,
+CASE WHEN episode % 9 = 0 OR episode % 4 IN (0, 3) THEN '' WHEN episode % 4 = 1 THEN 'done ' || count(*) ELSE 'all done' END AS answer FROM p GROUP BY episode""")
+def x28_turns(spark, sf_dir):
+    """Episodes as nested turns, a turn with one or two calls and a tool's for each line: the calls in order, the tools' answers, the last words."""
+    call = lambda name, arguments: F.struct(name.alias("name"), arguments.cast("string").alias("arguments"))
+    turn = lambda role, content, calls=None: F.struct(F.lit(role).alias("role"), content.alias("content"), (F.lit(None) if calls is None else calls).cast(f"array<{schema.CALL}>").alias("tool_calls"))
+    made = lambda x: F.when(x["pos"] % 2 == 0, F.array(call(x["name"], x["argument"]), call(x["name"], x["argument"] + 1))).otherwise(F.array(call(x["name"], x["argument"] + 1)))
+    pair = lambda x: F.array(turn("assistant", F.lit("a step"), made(x)), turn("tool", F.when(~x["failed"], x["argument"].cast("string"))))
+    lines = F.array_sort(F.collect_list(F.struct("pos", "name", "argument", "failed")))  # an order's lines: seven at most
+    kind = F.col("episode") % 4
+    words = F.when(kind == 0, "  ").when(kind == 1, F.concat(F.lit("<think>so</think>done "), F.size("lines").cast("string"))).otherwise("all done")
+    ends = F.when(kind == 3, F.array(call(F.lit("end"), F.lit(""))))
+    turns = F.concat(F.flatten(F.transform("lines", pair)), F.array(turn("assistant", words, ends)))
+    e = X.calls(spark, sf_dir).groupBy("episode").agg(lines.alias("lines")).select("episode", turns.alias("turns"))
+    shown = F.transform(D.flat_calls(F.col("turns")), lambda c: F.concat(c["name"], F.lit("("), c["arguments"], F.lit(")")))
+    answers = F.transform(D.tool_results(F.col("turns")), lambda r: F.coalesce(r, F.lit("-")))
+    return e.select("episode", F.array_join(shown, " ").alias("calls"), F.array_join(answers, " ").alias("results"), D.closing_answer(F.col("turns"), F.col("episode") % 9 == 0).alias("answer"))
+
+
 @entry("SELECT conv_id, max(turn) AS last_cut, arg_max(text, turn) AS text, count(*) AS cuts FROM conversations WHERE length(text) > 900 GROUP BY conv_id")
 def w14_cut_evidence(spark, sf_dir):
     return D.cut_evidence(X.table(spark, sf_dir, "conversations").withColumn("truncated", F.length("text") > 900))

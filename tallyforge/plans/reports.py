@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import judging as J
 from ..operators import reports as R
 from ..operators import stats as N
 from ..operators import toolworld as W
@@ -156,6 +157,18 @@ def judge_batches(spark, sf_dir):
     return rows.withColumn("trial_ids", F.array_join(F.col("trial_ids").cast("array<string>"), ","))
 
 
+GOT = "llm_score IS NOT NULL AND NOT (model_no % 4 = 1 AND module = 'click') AND NOT (model_no % 4 = 2 AND module = 'error')"
+
+
+@entry(f"""{T}, a AS (SELECT *, count(*) FILTER ({GOT}) OVER (PARTITION BY model, module) AS got FROM trials WHERE module NOT IN ('view') AND task_no <> 5) SELECT model, module, event_id FROM a WHERE got = 0""")
+def judge_second_pass(spark, sf_dir):
+    """Some modules of some models got no verdict at all: all their trials are asked about again, tasks that weren't asked about aside."""
+    trials = X.trials(spark, sf_dir).withColumn("uid", F.col("event_id"))
+    verdicts = trials.select("model", "uid", F.when(F.expr(GOT), F.col("llm_score")).alias("score"))
+    only = trials.filter("task_no <> 5").select("module", "task_id").distinct()
+    return J.second_pass(J.asked(trials, SKIPS, only), verdicts).select("model", "module", "event_id")
+
+
 @entry(f"""{T} SELECT model, module, count(*) AS n, {total("success AND NOT det_success")} AS rescued, {total("det_success AND NOT success")} AS demoted FROM trials WHERE NOT infra_error GROUP BY model, module""")
 def judge_diverged(spark, sf_dir):
     return R.diverged(X.trials(spark, sf_dir))

@@ -123,3 +123,34 @@ def test_comparability_needs_two_runs(spark):
     got = {r["model"]: r["mismatch"] for r in A.comparability(runs([("a", 3, "full"), ("b", 3, "full"), ("c", 2, "fast")]), ["trials", "profile"]).collect()}
     assert got == {"a": "", "b": "", "c": "trials,profile"}
     assert A.comparability(runs([("a", 3, "full")]), ["trials"]).first()["mismatch"] == ""
+
+
+def test_second_pass_takes_whole_modules(spark):
+    from tallyforge.operators import judging as J
+
+    due = spark.createDataFrame([("m", "a", 1), ("m", "a", 2), ("m", "b", 3), ("m", "b", 4), ("n", "a", 1), ("n", "format", 9), ("n", None, 5)], "model string, module string, uid long")
+    verdicts = spark.createDataFrame([("m", 1, 0.5), ("m", 1, 0.7), ("m", 3, None), ("x", 4, 1.0)], "model string, uid long, score double")
+    asked = J.asked(due)
+    assert {(r["model"], r["module"], r["uid"]) for r in J.second_pass(asked, verdicts).collect()} == {("m", "b", 3), ("m", "b", 4), ("n", "a", 1)}
+    assert J.second_pass(asked, verdicts.limit(0)).count() == 5 and J.second_pass(asked.limit(0), verdicts).count() == 0
+
+
+def test_turns_in_order_and_last_words(spark):
+    from tallyforge import schema
+    from tallyforge.operators import dialogues as D
+
+    say = lambda text, *calls: ("assistant", text, [(c, "{}") for c in calls] or None, None, None, None)
+    tool = lambda text: ("tool", text, None, None, None, None)
+    rows = [
+        ("plain", [say("let me", "a", "b"), tool("1"), tool(None), say("<think>x</think> so ")], False, ["a", "b"], ["1", None], "so"),
+        ("cut", [say("words")], True, [], [], ""),
+        ("calls", [say("words"), say("more", "a")], False, ["a"], [], ""),
+        ("blank", [say("words"), say(" \n"), tool("x")], False, [], ["x"], "words"),
+        ("thought", [say("words"), say("<think>never ends")], False, [], [], ""),
+        ("none", [], False, [], [], ""),
+        ("null", [say(None)], False, [], [], ""),
+    ]
+    frame = spark.createDataFrame([(n, t, c) for n, t, c, *_ in rows], f"k string, turns array<{schema.TURN}>, cut boolean")
+    turns = frame["turns"]
+    got = frame.select("k", D.flat_calls(turns)["name"].alias("calls"), D.tool_results(turns).alias("results"), D.closing_answer(turns, frame["cut"]).alias("words")).collect()
+    assert {r["k"]: (r["calls"], r["results"], r["words"]) for r in got} == {n: tuple(want) for n, _, _, *want in rows}
