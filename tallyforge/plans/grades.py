@@ -179,3 +179,45 @@ def r14_episodes(spark, sf_dir):
     answers = o.select("trial_id", "task_id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("truncated"), F.lit("").alias("truncation_class"), "calls", "results", final.alias("final_state"))
     rows = [(t, "tools", None, None, [], json.dumps(e), json.dumps(BEFORE)) for t, e in EPISODES]
     return G.grade(answers, spark.createDataFrame(rows, "task_id string, module string, answer_type string, answer string, constraints array<string>, expected string, initial_state string")).select("trial_id", "score", "passed")
+
+
+# One graded table with rows of every kind: events, six kinds in turn.
+
+RULES = [{"constraints": [{"id": "a", "type": "contains", "any": ["alpha"]}]}, {"constraints": [{"type": "not_contains", "value": "beta"}]}, {"revokes": ["a"]}]
+ATTACK = ['{"type": "contains", "all": ["view"]}', '{"type": "not_contains", "value": "maybe"}']
+#: module, answer type, answer, checks, what is expected, dialogue.
+KINDS = [
+    ("knowledge", "multiple_choice", "B", [], {}, None), ("data_extract", None, None, [], {"extracted": {"kind": 1, "n.k": 30}}, None),
+    ("tools", None, None, [], {"tool_name": "click", "required_args": {"k": 30}}, None), ("tools", None, None, [], {"no_call": True}, None),
+    ("adversarial", "constraint", None, ATTACK, {}, None), ("multi_turn_if", None, None, [], {}, json.dumps(RULES)),
+]
+
+
+@entry("""WITH e AS (SELECT event_id AS i, CASE WHEN event_id % 24 < 12 THEN 0 ELSE 1 END AS half, user_id AS u, event_type AS t, value AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+q AS (SELECT *, CAST(half = 0 AS INT) AS c0, (CAST(half = 0 AS INT) + CAST(v <= 20 AS INT)) / CAST(2 AS DOUBLE) AS c1, CAST(u % 3 <> 0 AND u % 5 <> 0 AS INT) AS c2 FROM e),
+s AS (SELECT *, CASE i % 6 WHEN 0 THEN CAST(u % 4 = 1 AS INT) WHEN 1 THEN (CAST(t = 'view' AS INT) + CAST(k = 30 AS INT)) / CAST(2 AS DOUBLE)
+  WHEN 2 THEN CASE WHEN half = 0 THEN 0.15 + CASE WHEN t = 'click' THEN 0.25 ELSE 0 END + 0.35 + CASE WHEN k = 30 THEN 0.25 ELSE 0 END ELSE 0 END
+  WHEN 3 THEN CAST(half = 1 AND u % 5 <> 0 AS INT) WHEN 4 THEN CASE WHEN u % 7 = 0 OR u % 11 = 0 THEN 0 ELSE (CAST(t = 'view' AS INT) + CAST(half = 0 AS INT)) / CAST(2 AS DOUBLE) END
+  ELSE round((c0 + c1 + c2) / CAST(3 AS DOUBLE), 4) END AS score FROM q)
+SELECT i AS trial_id, CASE i % 6 WHEN 0 THEN 'knowledge' WHEN 1 THEN 'data_extract' WHEN 4 THEN 'adversarial' WHEN 5 THEN 'multi_turn_if' ELSE 'tools' END AS module, round(CAST(score AS DOUBLE), 4) AS score,
+CASE WHEN i % 6 = 5 THEN c0 = 1 AND c1 = 1 AND c2 = 1 AND u % 5 <> 0 ELSE score >= 0.999 END AS passed FROM s""")
+def graded_modules(spark, sf_dir):
+    """Letters, extractions, calls, calls rightly not made, attacks (some cut, some silent) and dialogues (some too short: silence meets no rule), graded as one table."""
+    i, u, c = F.col("event_id"), F.col("user_id"), F.col
+    kind, half = i % 6, F.when(i % 24 < 12, 0).otherwise(1)
+    e = X.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    mark = F.when(c("event_type") == "view", 1).otherwise(2).cast("string")
+    attacked = F.when(u % 7 == 0, " ").otherwise(F.concat(c("event_type"), F.when(half == 1, ", maybe").otherwise("")))
+    text = F.when(kind == 0, F.concat(F.lit("Answer: "), F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (u % 4 + 1).cast("int")))).when(kind == 1, F.concat(F.lit('{"kind": '), mark, F.lit(', "n": {"k": '), c("k"), F.lit("}}"))).when(kind == 4, attacked)
+    call = F.concat(F.lit('[{"name": "'), "event_type", F.lit('", "arguments": {"k": '), c("k"), F.lit("}}]"))
+    said = lambda x: F.struct(x.alias("content"), F.lit(False).alias("truncated"))
+    first = F.when(half == 0, "alpha").otherwise("omega")
+    turns = [said(first), said(F.concat(first, F.when(c("value") > 20, " beta").otherwise(""))), said(F.when(u % 3 == 0, "beta").otherwise("gamma"))]
+    answers = e.select(
+        i.alias("trial_id"), F.concat(F.lit("t"), kind.cast("string")).alias("task_id"), text.alias("text"), ((kind == 4) & (u % 11 == 0)).alias("truncated"), F.when((kind == 4) & (u % 11 == 0), "incomplete").otherwise("").alias("truncation_class"),
+        F.when((kind.isin(2, 3)) & (half == 0), call).otherwise("[]").alias("calls"), F.when((kind == 3) & (u % 5 != 0), "no need").alias("opening"),
+        F.when(kind == 5, F.to_json(F.when(u % 5 == 0, F.array(*turns[:2])).otherwise(F.array(*turns)))).alias("turns"),
+    )
+    rows = [(f"t{n}", m, a, r, checks, json.dumps(x), d) for n, (m, a, r, checks, x, d) in enumerate(KINDS)]
+    bank = spark.createDataFrame(rows, "task_id string, module string, answer_type string, answer string, constraints array<string>, expected string, conversation string")
+    return G.grade(answers, bank, backend="none").select("trial_id", "module", F.round("score", 4).alias("score"), "passed")
