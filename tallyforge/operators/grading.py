@@ -18,6 +18,7 @@ from ..functions import jsonx as J
 from ..functions import text as X
 from ..functions.fuzzy import char_loop_ratio
 from ..sources import lake as lakes
+from ..sources.scratch import small
 from . import calls as K
 from . import judging as V
 from . import maintain as M
@@ -33,7 +34,7 @@ def check_results(answers: DataFrame, bank: DataFrame) -> DataFrame:
     kinds = [r["check"] for r in checks.select("check").distinct().limit(MOST_CHECKS + 1).collect()]
     if len(kinds) > MOST_CHECKS:
         raise ValueError(f"a bank has at most {MOST_CHECKS} different checks")
-    met = answers.withColumn("parsed", J.parse(F.col("text"))).join(checks, "task_id")
+    met = answers.withColumn("parsed", J.parse(F.col("text"))).join(small(checks), "task_id")
     ok = F.lit(False)
     for text in kinds:
         ok = F.when(F.col("check") == text, C.passes(json.loads(text), F.col("text"), F.col("parsed"))).otherwise(ok)
@@ -71,7 +72,7 @@ def file_shares(trials: DataFrame, bank: DataFrame) -> DataFrame:
     if len(kinds) > MOST_CHECKS:
         raise ValueError(f"a bank has at most {MOST_CHECKS} different checks")
     files = lambda c: F.from_json(F.get_json_object(c, "$.files"), "map<string,string>")
-    met = trials.select("trial_id", "task_id", files("final_state").alias("now"), files("initial_state").alias("then")).join(checks, "task_id")
+    met = trials.select("trial_id", "task_id", files("final_state").alias("now"), files("initial_state").alias("then")).join(small(checks), "task_id")
     met = met.withColumn("new", F.try_element_at("now", F.col("path"))).withColumn("old", F.coalesce(F.try_element_at("then", F.col("path")), F.lit("")))
     ok = F.lit(False)
     for text in kinds:
@@ -94,7 +95,7 @@ def grade_episodes(trials: DataFrame, bank: DataFrame) -> DataFrame:
     found = marked.groupBy("trial_id").agg(F.max(own).alias("own"), best.alias("best"))
     checked = wanted.select("task_id", F.coalesce(F.size("content_checks") > 0, F.lit(False)).alias("has_content"), F.coalesce(F.size("final_checks") > 0, F.lit(False)).alias("has_final"))
     c = F.col
-    m = rows.join(found, "trial_id", "left").join(file_shares(trials, bank), "trial_id", "left").join(checked, "task_id")
+    m = rows.join(found, "trial_id", "left").join(file_shares(trials, bank), "trial_id", "left").join(small(checked), "task_id")
     m = m.withColumn("goal_call", c("best").isNotNull() & ~(c("must_last") & (c("best.at") != c("made") - 1)))
     m = m.withColumn("in_text", c("text_ok") & ~c("goal_call") & ~c("forbidden") & (c("said") != ""))
     zero = F.lit(0.0)
@@ -133,7 +134,7 @@ def dialogue_rules(bank: DataFrame) -> DataFrame:
 def grade_dialogues(trials: DataFrame, bank: DataFrame) -> DataFrame:
     """score (the mean share of rules that hold) and passed (all turns are there, and all rules hold) of dialogues. A turn that was cut has no share."""
     rules, c = dialogue_rules(bank), F.col
-    own = trials.select("trial_id", "task_id", F.from_json("turns", "array<struct<content:string,truncated:boolean>>").alias("turns")).join(rules, "task_id")
+    own = trials.select("trial_id", "task_id", F.from_json("turns", "array<struct<content:string,truncated:boolean>>").alias("turns")).join(small(rules), "task_id")
     said = lambda i: F.coalesce(F.try_element_at("turns", i)["content"], F.lit(""))
     own = own.select(
         "trial_id", F.struct("task_id", "turn").alias("task_id"), F.col("turn").alias("at"), "n_turns", F.size("checks").alias("n"), "crossing", F.coalesce(F.size("turns"), F.lit(0)).alias("seen"),
@@ -208,7 +209,7 @@ def graded(answers: DataFrame, bank: DataFrame, **limits) -> DataFrame:
     bank = bank.withColumn("way", F.when((way == "text") & told, "fact").otherwise(way))
     # Only the ways that the bank's tasks take are planned: seven at most.
     ways = {r["way"] for r in bank.select("way").distinct().collect()}
-    met = answers.join(bank.drop("constraints", "content_checks"), "task_id").withColumn("closing", F.when(F.col("truncated"), "").otherwise(F.col("closing")))
+    met = answers.join(small(bank.drop("constraints", "content_checks")), "task_id").withColumn("closing", F.when(F.col("truncated"), "").otherwise(F.col("closing")))
     found = []
     if ways & {"text", "fact"}:
         found.append(grade_texts(met.filter("way IN ('text', 'fact')"), answers, bank, "fact" in ways))

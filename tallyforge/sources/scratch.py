@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Up to how many bytes, as JSON, a table is sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -24,3 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A join's side, hinted for broadcast if it was counted to be small enough; beyond that Spark joins by the key.
+
+    For sides such as a bank's checks, whose size nothing bounds but which Spark can't tell either: unhinted, it would shuffle the answers.
+    """
+    size = side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64).alias("size")).first()["size"] or 0
+    return F.broadcast(side) if size <= limit else side

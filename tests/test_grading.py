@@ -155,3 +155,12 @@ def test_rules_of_dialogues_add_up_until_revoked(spark):
             want[task, i] = (len(turns), [c for c in held if c["type"] != "bullets_kept"], sum(c["type"] == "bullets_kept" for c in held))
     rows = G.dialogue_rules(spark.createDataFrame([*tasks, ("none", None)], "task_id string, conversation string")).collect()
     assert {(r["task_id"], r["turn"]): (r["n_turns"], [json.loads(c) for c in r["checks"]], r["crossing"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_bank_is_broadcast_only_if_it_was_counted_to_be_small(spark):
+    from tallyforge.sources.scratch import small
+
+    side = spark.createDataFrame([("t", "x" * 1000), ("u", None)], "task_id string, text string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(side)) and not hinted(small(side, 1000)) and hinted(small(side.limit(0), 0))
+    assert sorted(map(tuple, small(side, 1000).collect()), key=str) == sorted(map(tuple, side.collect()), key=str)
