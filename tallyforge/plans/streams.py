@@ -20,21 +20,33 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives over all its input; results are small (tallies, verdicts), so a memory table holds them."""
+    """What a stream gives over all its input. Rows that are appended are as many as the input has keys, so files of the shared folder hold them; tallies are few, and a memory table does."""
     name = f"s_{uuid.uuid4().hex[:12]}"
+    if mode == "append":
+        path = place(spark, name)
+        L.run_to_files(df, path, f"{path}-state")
+        return spark.read.schema(df.schema).parquet(path)
     L.run_to_end(df, name, place(spark, name), mode)
     return spark.table(name)
 
 
+@contextmanager
+def on_disk(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB with bounded memory, one store for each partition of a join of streams, for as long as a stream runs."""
+    rocks = "spark.sql.streaming.stateStore"
+    with setting(spark, f"{rocks}.providerClass", ROCKS), setting(spark, f"{rocks}.rocksdb.boundedMemoryUsage", "true"), setting(spark, "spark.sql.streaming.join.stateFormatVersion", "3"):
+        yield
+
+
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A setting for as long as a stream runs."""
-    before = spark.conf.get(name)
+    before = spark.conf.get(name, None)
     spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +121,6 @@ def stream_call_results(spark, sf_dir):
     at = F.col("l_shipdate").cast("timestamp")
     calls = rows.select(*CALL, at.alias("called"))
     results = rows.filter("l_partkey % 17 <> 0").select(*CALL, F.timestamp_add("HOUR", F.col("l_linenumber") * 5, at).alias("answered"), F.col("l_quantity").alias("result"))
-    found = drained(spark, L.pair_results(calls, results, CALL), "append")
+    with on_disk(spark):
+        found = drained(spark, L.pair_results(calls, results, CALL), "append")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("price"), F.to_date("called").cast("string").alias("day"), "result")

@@ -43,6 +43,13 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"
     return q
 
 
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All that is appended now, as Parquet files of a folder that all machines share: nothing of it passes through the driver."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def top_up(rows: DataFrame, lake: str, uid: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's trials to a lake of trials, each uid once, whether it came before in the stream or in an earlier run.
 
