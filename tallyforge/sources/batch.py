@@ -84,14 +84,78 @@ class FileReader(DataSourceReader):
         raise NotImplementedError
 
 
-def yaml_of(fs: pyarrow.fs.FileSystem, path: str) -> Any:
+def yaml_entries(fs: pyarrow.fs.FileSystem, path: str, key: str, bare: bool = False) -> Iterator[Any]:
+    """The entries of a YAML document's list under a key (bare: or of a document that is a list), one after the other: of a file of any size one entry is held, and what has an anchor."""
     import yaml
-
-    with fs.open_input_stream(path) as f:
-        try:
-            return yaml.load(f.read(), getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-        except yaml.YAMLError as e:
-            raise ValueError(f"no YAML: {e}") from e
+    from yaml.composer import Composer, ComposerError
+
+    base = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    # The parser in C puts whole documents together; Composer does so a node at a time.
+    bases = (Composer, base) if base is not yaml.SafeLoader else (base,)
+
+    class Loader(*bases):
+        def __init__(self, stream: Any):
+            base.__init__(self, stream)
+            Composer.__init__(self)
+
+        def whole(self) -> Any:
+            return self.construct_document(self.compose_node(None, None))
+
+        def entries(self) -> Iterator[Any]:
+            if not self.check_event(yaml.SequenceStartEvent) or self.peek_event().anchor is not None:
+                yield from self.whole() or []
+                return
+            self.get_event()
+            while not self.check_event(yaml.SequenceEndEvent):
+                yield self.whole()
+            self.get_event()
+
+    def top_keys() -> list[str | None]:
+        """The keys of a document that is a mapping. The last of equal ones counts, and a merge (<<) may bring keys, so both are known before entries leave."""
+        keys, depth, at = [], 0, 0
+        with fs.open_input_stream(path) as f:
+            for event in yaml.parse(f, base):
+                if isinstance(event, yaml.CollectionEndEvent):
+                    depth -= 1
+                    if depth == 0:
+                        break
+                elif isinstance(event, yaml.NodeEvent):
+                    if depth == 0 and not isinstance(event, yaml.MappingStartEvent):
+                        return []
+                    if depth == 1:
+                        keys += [event.value if isinstance(event, yaml.ScalarEvent) else None] if at % 2 == 0 else []
+                        at += 1
+                    depth += isinstance(event, yaml.CollectionStartEvent)
+        return keys
+
+    try:
+        keys = top_keys()
+        with fs.open_input_stream(path) as f:
+            loader = Loader(f)
+            loader.get_event()
+            if loader.check_event(yaml.StreamEndEvent):
+                return
+            loader.get_event()
+            if loader.check_event(yaml.MappingStartEvent) and loader.peek_event().anchor is None and "<<" not in keys and None not in keys:
+                last = len(keys) - 1 - keys[::-1].index(key) if key in keys else -1
+                loader.get_event()
+                for i in range(len(keys)):
+                    loader.whole()
+                    if i == last:
+                        yield from loader.entries()
+                    else:
+                        loader.whole()  # its anchors may be meant below
+                loader.get_event()
+            elif bare and loader.check_event(yaml.SequenceStartEvent):
+                yield from loader.entries()
+            else:
+                found = loader.whole() or {}
+                yield from (found.get(key) or []) if isinstance(found, dict) or not bare else found
+            loader.get_event()
+            if not loader.check_event(yaml.StreamEndEvent):
+                raise ComposerError("expected a single document", None, "but found another", loader.peek_event().start_mark)
+    except yaml.YAMLError as e:
+        raise ValueError(f"no YAML: {e}") from e
 
 
 def infer_tier(module: str, task: dict) -> str:
@@ -117,8 +181,8 @@ class TaskReader(FileReader):
         return {"module": name.removesuffix(".yaml")}
 
     def rows(self, fs: pyarrow.fs.FileSystem, file: File) -> Iterator[tuple]:
-        module, data = file.name.removesuffix(".yaml"), yaml_of(fs, file.path) or []
-        for t in (data.get("tasks") or []) if isinstance(data, dict) else data:
+        module = file.name.removesuffix(".yaml")
+        for t in yaml_entries(fs, file.path, "tasks", bare=True):
             if not self.keeps({"fast": bool(t.get("fast"))}):
                 continue
             yield (
@@ -136,7 +200,7 @@ class ModelReader(FileReader):
     def rows(self, fs: pyarrow.fs.FileSystem, file: File) -> Iterator[tuple]:
         kinds = [c.split() for c in schema.MODEL.split(", ")]
         value = lambda e, c, t: None if e.get(c) is None else float(e[c]) if t == "double" else str(e[c])
-        for e in (yaml_of(fs, file.path) or {}).get("models") or []:
+        for e in yaml_entries(fs, file.path, "models"):
             if e.get("name") and self.keeps({"name": str(e["name"])}):
                 yield tuple(value(e, c, t) for c, t in kinds)
 
