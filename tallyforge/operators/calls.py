@@ -309,18 +309,21 @@ def episodes(trials: DataFrame) -> DataFrame:
     rows = written(rows.select("trial_id", "task_id", "kind", "e", "p", "did", "gave", "first", "last", "several", "none_wanted", "answer", "closing"), "episodes")
     of = lambda kind: rows.filter(c("kind") == kind)
     marks = matched(forbidden_requests(rows), argument_requests(of("simple")), goal_requests(of("loop")), state_requests(of("state")), same_requests(of("state")))
-    forbidden = forbidden_used(rows, marks)
-    named = lambda df, key: df.select(c("trial_id").alias(key), *[x for x in df.columns if x != "trial_id"])
+    # Each part is written: plans of all parts in one, several times over, took the driver's memory.
+    forbidden = written(forbidden_used(rows, marks), "forbidden")
+    named = lambda df, key: written(df, "part").select(c("trial_id").alias(key), *[x for x in df.columns if x != "trial_id"])
     out = rows
-    for key, found in (("_f", forbidden), ("_s", simple_scores(of("simple"), marks, forbidden).drop("forbidden")), ("_t", state_marks(of("state"), marks)), ("_l", landed_calls(of("loop"), marks))):
+    out = out.join(forbidden.select(c("trial_id").alias("_f"), "forbidden"), c("trial_id") == c("_f"), "left").drop("_f")
+    for key, found in (("_s", simple_scores(of("simple"), marks, forbidden).drop("forbidden")), ("_t", state_marks(of("state"), marks)), ("_l", landed_calls(of("loop"), marks))):
         out = out.join(named(found, key), c("trial_id") == c(key), "left").drop(key)
     text_ok, longer = truthy(part(e, "text_answer_ok")), c("kind") != "simple"
     least = F.coalesce(part(e, "min_calls", "double"), F.when(text_ok, 0).otherwise(1))
     when = lambda value: F.when(longer, value)
     landed = F.when(c("kind") == "loop", F.coalesce("landed", F.expr("cast(array() as array<struct<at:bigint,content:string>>)")))
-    return out.select(
+    out = out.select(
         "trial_id", "task_id", "kind", "score", "passed", "goal", "side", F.when(c("kind") == "state", truthy(part(e, "expected_state"))).alias("has_state"), when(F.size("did").cast("long")).alias("made"),
         when(F.coalesce(part(e, "optimal_turns", "double"), F.lit(1.0))).alias("optimal"), when(repeats_itself()).alias("loops"), when(F.size("did") < least).alias("early"),
         F.coalesce("forbidden", F.lit(False)).alias("forbidden"), when(text_ok).alias("text_ok"), when(truthy(part(e, "goal_must_be_last"))).alias("must_last"),
         when(stripped(F.coalesce("closing", F.lit("")))).alias("said"), landed.alias("landed"),
     )
+    return written(out, "measures")

@@ -18,7 +18,7 @@ from ..functions import jsonx as J
 from ..functions import text as X
 from ..functions.fuzzy import char_loop_ratio
 from ..sources import lake as lakes
-from ..sources.scratch import small
+from ..sources.scratch import small, written
 from . import calls as K
 from . import judging as V
 from . import maintain as M
@@ -59,6 +59,8 @@ def knowledge(text: Column, kind: Column, answer: Column, exact: Column, fact: C
 def text_shares(texts: DataFrame, bank: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the share of its task's checks that each text (trial_id, task_id, at, text) meets: null for tasks without checks."""
     checks = bank.select("task_id", F.col(column).alias("constraints")).filter(F.size("constraints") > 0)
+    if checks.isEmpty():
+        return texts.withColumn(name, F.lit(None).cast("double"))
     own = texts.select(F.struct("trial_id", "at").alias("trial_id"), "task_id", "text")
     found = fractions(own, checks).select(F.col("trial_id").alias("key"), F.col("fraction").alias(name))
     return texts.join(found, F.struct("trial_id", "at") == F.col("key"), "left").drop("key")
@@ -71,6 +73,8 @@ def file_shares(trials: DataFrame, bank: DataFrame) -> DataFrame:
     kinds = [r["check"] for r in checks.select("check").distinct().limit(MOST_CHECKS + 1).collect()]
     if len(kinds) > MOST_CHECKS:
         raise ValueError(f"a bank has at most {MOST_CHECKS} different checks")
+    if not kinds:
+        return trials.filter("false").select("trial_id", F.lit(None).cast("double").alias("files"))
     files = lambda c: F.from_json(F.get_json_object(c, "$.files"), "map<string,string>")
     met = trials.select("trial_id", "task_id", files("final_state").alias("now"), files("initial_state").alias("then")).join(small(checks), "task_id")
     met = met.withColumn("new", F.try_element_at("now", F.col("path"))).withColumn("old", F.coalesce(F.try_element_at("then", F.col("path")), F.lit("")))
@@ -92,7 +96,7 @@ def grade_episodes(trials: DataFrame, bank: DataFrame) -> DataFrame:
     call = F.when(F.col("at") >= 0, F.struct("at", "content", "final"))
     # The call whose content is best, and of these the first.
     best = F.max_by(call, F.when(F.col("at") >= 0, F.struct(F.coalesce("content", F.lit(0.0)).alias("c"), (-F.col("at")).alias("a"))))
-    found = marked.groupBy("trial_id").agg(F.max(own).alias("own"), best.alias("best"))
+    found = written(marked.groupBy("trial_id").agg(F.max(own).alias("own"), best.alias("best")), "texts")
     checked = wanted.select("task_id", F.coalesce(F.size("content_checks") > 0, F.lit(False)).alias("has_content"), F.coalesce(F.size("final_checks") > 0, F.lit(False)).alias("has_final"))
     c = F.col
     m = rows.join(found, "trial_id", "left").join(file_shares(trials, bank), "trial_id", "left").join(small(checked), "task_id")
