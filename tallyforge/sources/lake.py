@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import cleaned
 
 class Overtaken(RuntimeError):
     """Another writer committed the version that this one was to be."""
@@ -78,27 +79,35 @@ def upsert(rows: DataFrame, lake: str, keys: list[str], part: str) -> int:
     """
     spark = rows.sparkSession
     before, name = manifest(spark, lake), uuid.uuid4().hex[:12]
-    staged, data = f"{lake}/_staged-{name}", f"v{before['version'] + 1}-{name}"
+    data, rest = (f"v{before['version'] + 1}-{name}{x}" for x in ("", "-kept"))
     ddl = ddl_of(rows)
     if before["schema"] not in (None, ddl):
         raise ValueError(f"rows have other columns than {lake}")
-    rows.withColumn("_part", part_code(part)).write.parquet(staged)
-    fresh = spark.read.schema(f"{ddl}, _part string").parquet(staged)
-    try:
-        touched = sorted(r["_part"] for r in fresh.select("_part").distinct().collect())  # a row for each part
-        if not touched:
-            return before["version"]
-        old = [c for c in touched if c in before["parts"]]
-        whole = fresh
-        if old:
-            kept = read(spark, lake, before["version"], old).withColumn("_part", part_code(part)).join(fresh.select(*keys), keys, "left_anti")
-            whole = kept.select(*fresh.columns).unionByName(fresh)
-        whole.write.partitionBy("_part").parquet(f"{lake}/{data}")
-        parts = before["parts"] | {c: [f"{data}/_part={c}"] for c in touched}
-        commit(spark, lake, {"version": before["version"] + 1, "schema": ddl, "parts": parts})
-        return before["version"] + 1
-    finally:
-        remove(spark, staged)
+    write(rows.withColumn("_part", part_code(part)), f"{lake}/{data}")
+    touched = folders(spark, f"{lake}/{data}")
+    if not touched:
+        remove(spark, f"{lake}/{data}")
+        return before["version"]
+    old, kept = [c for c in touched if c in before["parts"]], []
+    if old:  # rows that stay go to files of their own: nothing is written twice
+        fresh = spark.read.schema(ddl).parquet(*[f"{lake}/{data}/_part={c}" for c in touched]).select(*keys)
+        write(read(spark, lake, before["version"], old).join(fresh, keys, "left_anti").select(*rows.columns).withColumn("_part", part_code(part)), f"{lake}/{rest}")
+        kept = folders(spark, f"{lake}/{rest}")
+    parts = before["parts"] | {c: [f"{data}/_part={c}", *([f"{rest}/_part={c}"] if c in kept else [])] for c in touched}
+    commit(spark, lake, {"version": before["version"] + 1, "schema": ddl, "parts": parts})
+    return before["version"] + 1
+
+
+def write(rows: DataFrame, path: str) -> None:
+    """Rows in a folder for each part; the shuffle files behind them go when they are written."""
+    with cleaned(rows.sparkSession):
+        rows.write.option("compression", "zstd").partitionBy("_part").parquet(path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The parts that a write made, a folder for each."""
+    at, fs = _fs(spark, path)
+    return sorted(f.getPath().getName().removeprefix("_part=") for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName().startswith("_part="))
 
 
 def remove(spark: SparkSession, path: str) -> None:

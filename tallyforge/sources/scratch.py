@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to how many bytes, as JSON, a table is sent to every executor.
 BROADCAST_BYTES = 32 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -20,13 +23,25 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared or tempfile.gettempdir()}/tallyforge-{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go as soon as it has ended, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table that is read again; it goes when the JVM ends."""
     spark = df.sparkSession
     path = place(spark, name)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
