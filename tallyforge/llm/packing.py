@@ -27,9 +27,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, sliced
+from .shared import files_for, materialize, sliced
 
-CAPACITY, END_ID, PART_ROWS = 2048, 0, 500_000
+CAPACITY, END_ID, PART_ROWS, ROW_BYTES = 2048, 0, 500_000, 64
 #: A text that holds this goes to the tokenizers library itself, which gives it an id of its own.
 SPECIAL = "<|endoftext|>"
 #: So does one with a run of white space that the fast encoder's pattern can't step back through (from about 500,000).
@@ -239,7 +239,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, json_path: str | None =
     cut = materialize(pieces(documents, capacity, json_path, ranks_path), "pieces")
     # The rank among pieces of one length: any length may be common, so each is ranked in parts, with the parts' offsets.
     # A part holds the pieces of a length whose hash falls to it; more pieces make more parts.
-    parts = max(8, cut.count() // PART_ROWS)
+    n_pieces = cut.count()
+    parts = max(8, n_pieces // PART_ROWS)
     keyed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(parts)))
     sums = keyed.groupBy("length", "part").agg(F.count("*").alias("n"))
     # At most `capacity` rows reach the driver.
@@ -249,6 +250,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, json_path: str | None =
     order = Window.partitionBy("length", "part").orderBy("doc_id", "th", "piece")
     ranked = keyed.withColumn("own", F.row_number().over(order)).join(before, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).alias("rank"))
+    ranked = ranked.coalesce(files_for(spark, n_pieces * ROW_BYTES))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts_for, sliced, text_bytes
+from .shared import files_for, materialize, parts_for, sliced, text_bytes
 
 LEAST, KMER = 50, 24
 BLOCK, FLUSH, LEAST_BUCKETS, BUCKET = 1 << 18, 350_000, 12, 12 << 20
@@ -526,11 +526,15 @@ def row_key(text: str | Column = "text") -> Column:
     return F.shiftright(F.xxhash64(text), 32).cast("int")
 
 
-def changes(documents: DataFrame, with_text: bool, least: int = LEAST, kmer: int = KMER, block: int = BLOCK, flush: int = FLUSH, hot: int = HOT, bucket_bytes: int = BUCKET) -> DataFrame:
-    """RESULT rows of the documents that lose bytes (and of some that lose none)."""
+def text_total(documents: DataFrame) -> int:
+    return documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def changes(documents: DataFrame, with_text: bool, least: int = LEAST, kmer: int = KMER, block: int = BLOCK, flush: int = FLUSH, hot: int = HOT, bucket_bytes: int = BUCKET, total: int | None = None) -> DataFrame:
+    """RESULT rows of the documents that lose bytes (and of some that lose none). total: the texts' bytes, where they are known."""
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = text_total(documents) if total is None else total
     buckets = parts_for(documents.sparkSession, total, bucket_bytes, LEAST_BUCKETS)
 
     # A bucket's number is its partition: hashing numbers would leave some tasks empty and give others several.
@@ -540,7 +544,8 @@ def changes(documents: DataFrame, with_text: bool, least: int = LEAST, kmer: int
 
     per_document = resolved.groupBy("doc_id", "rk").agg(F.collect_list("spans").alias("spans"), F.collect_list("wants").alias("wants"))
     met = rows.join(per_document, ["doc_id", "rk"]).select("doc_id", "rk", "text", "spans", "wants")
-    fetched = materialize(met.mapInArrow(fetch_rows(with_text, least), FETCHED_DDL), "fetched")
+    fetched = met.mapInArrow(fetch_rows(with_text, least), FETCHED_DDL)
+    fetched = materialize(fetched.coalesce(files_for(documents.sparkSession, total)), "fetched")
 
     wanted = fetched.filter(F.col("kind") == SEGMENT).select("key", "doc_id", "rk", "starts", "data")
     scanned = wanted.repartition("key").sortWithinPartitions("key").mapInArrow(scan_rows(least), "doc_id long, rk int, spans binary")
@@ -564,11 +569,13 @@ def report(documents: DataFrame, **limits: int) -> DataFrame:
 
 def dedup_text(documents: DataFrame, **limits: int) -> DataFrame:
     """The documents, all of them, without their repeated bytes."""
-    found = changes(documents, True, **limits).filter("n_removed > 0").dropDuplicates(["doc_id", "rk"])
+    total = text_total(documents)
+    found = changes(documents, True, total=total, **limits).filter("n_removed > 0").dropDuplicates(["doc_id", "rk"])
     found = found.select(F.col("doc_id").alias("r_id"), F.col("rk").alias("r_rk"), F.col("left").alias("r_left"))
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
     wide = documents.select(F.col("doc_id").cast("long").alias("d_id"), row_key(F.coalesce("text", F.lit(""))).alias("d_rk"), own.alias("own"))
     met = wide.join(found, (F.col("d_id") == F.col("r_id")) & (F.col("d_rk") == F.col("r_rk")), "left")
     at = documents.columns.index("text")
     text = F.when(F.col("r_id").isNotNull(), F.col("r_left")).otherwise(F.col(f"own.c{at}"))
-    return met.select(*[(text if i == at else F.col(f"own.c{i}")).alias(c) for i, c in enumerate(documents.columns)])
+    left = met.select(*[(text if i == at else F.col(f"own.c{i}")).alias(c) for i, c in enumerate(documents.columns)])
+    return left.coalesce(files_for(documents.sparkSession, total))

@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 #: While a table is written, shuffle files go as soon as the query that wrote them has ended, and Arrow batches are small.
 CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2000
+#: Tables written here are read by the run that wrote them, which knows that they are whole: they need no _SUCCESS file.
+MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
@@ -53,7 +55,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     try:
         spark.conf.set(CLEANUP, "true")
         spark.conf.set(BATCH, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option(MARK, "false").parquet(path)
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
@@ -82,6 +84,15 @@ def parts_for(spark: SparkSession, n_bytes: int, each: int, least: int = 1) -> i
     return max(least, -(-int(n_bytes) // each))
 
 
+def files_for(spark: SparkSession, n_bytes: int, each: int = 8 << 20) -> int:
+    """Files that a table of so many bytes is worth: of about `each` bytes, but two for each core and 12 at least.
+
+    Where shuffle partitions are many and small, a table is coalesced to these. In a local folder Hadoop starts a process for
+    each file (chmod) and one for its checksums, which counts with the whole memory of the JVM until it has begun.
+    """
+    return parts_for(spark, n_bytes, each, max(12, 2 * spark.sparkContext.defaultParallelism))
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     cast = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())

@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, sliced, text_bytes, unsigned_hex
+from .shared import files_for, materialize, sliced, text_bytes, unsigned_hex
 
 SHINGLE, SEED, THRESHOLD, LIMIT = 3, 42, 3, 4096
 EDGES_A_FILE = 250_000
+#: Bytes that a fingerprint takes at its anchors.
+REPLICAS = 500
 ONE = np.uint64(1)
 
 
@@ -215,8 +217,8 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LINK = "kind int, a long, b long"
 
 
-def links(classes: DataFrame, limit: int = LIMIT, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) that span the components of distinct fingerprints fp."""
+def links(classes: DataFrame, limit: int = LIMIT, threshold: int = THRESHOLD, files: int | None = None) -> DataFrame:
+    """Links (a, b) that span the components of distinct fingerprints fp. files: how many are written, at most."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,16 +229,14 @@ def links(classes: DataFrame, limit: int = LIMIT, threshold: int = THRESHOLD) ->
 
     met = classes.select("fp").mapInArrow(replicate, "key long, fp long")
     first = met.repartition("key").sortWithinPartitions("key").mapInArrow(link_rows(limit, threshold, 1), LINK)
-    first = materialize(first, "links")
+    first = materialize(first.coalesce(files) if files else first, "links")
     crowded = first.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     second = crowded.repartition("key").sortWithinPartitions("key").mapInArrow(link_rows(limit, threshold, 2), LINK)
     return first.unionByName(second).filter("kind = 0").select("a", "b")
 
 
-def connect(edges: DataFrame) -> DataFrame:
+def connect(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large-star and small-star steps."""
-    spark = edges.sparkSession
-
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("b", "a")).toDF("u", "v") if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -250,7 +250,7 @@ def connect(edges: DataFrame) -> DataFrame:
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = materialize(edges.distinct(), "edges")
+    now = materialize(edges.distinct().coalesce(files) if files else edges.distinct(), "edges")
     seen = sign(now)
     while seen[0]:
         # Stars never add edges, so the files needn't be more than this many were worth.
@@ -263,13 +263,15 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 def fingerprinted(documents: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text) and fp of each row, written."""
-    return materialize(fingerprints(documents.withColumn("th", F.xxhash64("text")), "doc_id", "th"), "fingerprints")
+    """doc_id, th (hash of the text), n (its bytes) and fp of each row, written."""
+    rows = documents.withColumn("th", F.xxhash64("text")).withColumn("n", F.octet_length("text"))
+    return materialize(fingerprints(rows, "doc_id", "th", "n"), "fingerprints")
 
 
 def named(classes: DataFrame, limit: int) -> DataFrame:
     """Classes (fp, ...), one row for each fingerprint, with the root that names their component."""
-    roots = connect(links(classes, limit))
+    files = files_for(classes.sparkSession, REPLICAS * classes.count())
+    roots = connect(links(classes, limit, files=files), files)
     return classes.join(roots, classes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
@@ -296,13 +298,16 @@ def keep_first(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     Copies are combined before they are shuffled: only a row for each fingerprint meets the links.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("th").alias("th"))
-    classes = fingerprinted(documents).groupBy("fp").agg(F.min(order).alias("k"))
+    prints = fingerprinted(documents)
+    n_bytes = prints.agg(F.sum("n")).first()[0] or 0
+    classes = prints.groupBy("fp").agg(F.min(order).alias("k"))
     first = named(classes, limit).groupBy("root").agg(F.min("k").alias("k")).select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in KEY])
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
     wide = documents.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), own.alias("own"))
     met = wide.join(first, [wide[c] == first[f"k_{c}"] for c in KEY], "left_semi")
     one = met.groupBy(*KEY).agg(F.first("own").alias("own"))  # dealt as the join has dealt it
-    return one.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(documents.columns)])
+    one = one.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(documents.columns)])
+    return one.coalesce(files_for(documents.sparkSession, n_bytes))
 
 
 KEY = ("none", "id", "th")
