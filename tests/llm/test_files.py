@@ -3,7 +3,7 @@
 from pathlib import Path
 
 import corpus_pipeline
-from tallyforge.llm import shared
+from tallyforge.llm import neighbours, shared
 
 
 def test_small_tables_are_few_files(spark, tmp_path, monkeypatch):
@@ -27,3 +27,11 @@ def test_small_tables_are_few_files(spark, tmp_path, monkeypatch):
     assert len(files) > 8 and max(files.values()) <= 12, files
     own = [p for p in paths if not p.startswith(str(tmp_path))]
     assert own and not any((Path(p.removeprefix("file:")) / "_SUCCESS").exists() for p in own)
+
+
+def test_neighbours_tables_start_no_process_of_the_driver(spark, monkeypatch):
+    paths, new = [], shared.new_path
+    monkeypatch.setattr(shared, "new_path", lambda *a: paths.append(new(*a)) or paths[-1])
+    rows = [(i, [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(120)]
+    assert neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count() == 15
+    assert len(paths) == 4 and not any((Path(p.removeprefix("file:")) / "_SUCCESS").exists() for p in paths)
