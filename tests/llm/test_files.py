@@ -35,3 +35,29 @@ def test_neighbours_tables_start_no_process_of_the_driver(spark, monkeypatch):
     rows = [(i, [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(120)]
     assert neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count() == 15
     assert len(paths) == 4 and not any((Path(p.removeprefix("file:")) / "_SUCCESS").exists() for p in paths)
+
+
+def test_tables_folders_start_no_process(spark, tmp_path, monkeypatch):
+    """Hadoop starts a chmod for each local folder that it makes, which counts with the whole memory of the driver; a table had three."""
+    paths, new = [], shared.new_path
+    monkeypatch.setattr(shared, "new_path", lambda *a: paths.append(new(*a)) or paths[-1])
+    rows = [(i, [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(120)]
+    jfr, file = spark.sparkContext._jvm.jdk.jfr, spark.sparkContext._jvm.java.io.File(f"{tmp_path}/processes.jfr")
+    recording = jfr.Recording()
+    try:
+        recording.enable("jdk.ProcessStart").withoutStackTrace()
+        recording.start()
+        assert neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count() == 15
+        spark.range(3).write.parquet(f"{tmp_path}/seen")
+        recording.stop()
+        recording.dump(file.toPath())
+    finally:
+        recording.close()
+    events = jfr.consumer.RecordingFile.readAllEvents(file.toPath())
+    started = [e.getString("command") for e in events]
+    folders = {f"{p.removeprefix('file:')}{x}" for p in paths for x in ("", "/_temporary", "/_temporary/0")}
+    assert any(x.endswith("/seen/_temporary/0") for x in started)  # such processes are seen
+    assert len(paths) == 4 and not [x for x in started if x.split()[-1] in folders]
+    for p in paths:
+        folder = Path(p.removeprefix("file:"))
+        assert list(folder.glob("part-*")) and not (folder / "_temporary").exists() and folder.stat().st_mode & 0o777 == 0o755
