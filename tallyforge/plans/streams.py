@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import lake
-from ..sources.scratch import place
+from ..sources.scratch import cleaned, place
 from ..streaming import log, topup
 from ..streaming import trials as L
 from . import fixtures as X
@@ -25,16 +25,33 @@ def drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     if mode == "append":
         path = place(spark, name)
         L.run_to_files(df, path, f"{path}-state")
+        dropped(spark, f"{path}-state")
         return spark.read.schema(df.schema).parquet(path)
     L.run_to_end(df, name, place(spark, name), mode)
     return spark.table(name)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 @contextmanager
-def on_disk(spark: SparkSession) -> Iterator[None]:
-    """State in RocksDB with bounded memory, one store for each partition of a join of streams, for as long as a stream runs."""
-    rocks = "spark.sql.streaming.stateStore"
-    with setting(spark, f"{rocks}.providerClass", ROCKS), setting(spark, f"{rocks}.rocksdb.boundedMemoryUsage", "true"), setting(spark, "spark.sql.streaming.join.stateFormatVersion", "3"):
+def kept_short(spark: SparkSession, bounded: bool) -> Iterator[None]:
+    """For as long as a stream runs: of state and its logs only what the last batches need is kept, and stores are as many as cores, as each costs every batch something.
+
+    State that isn't `bounded` by what a batch brings goes to RocksDB with bounded memory, one store for each partition of a join of streams; that takes about three times as long.
+    """
+    state = "spark.sql.streaming.stateStore"
+    settings = {f"{state}.maintenanceInterval": "5s", f"{state}.minDeltasForSnapshot": "2", "spark.sql.streaming.minBatchesToRetain": "2"}
+    if bounded:
+        settings["spark.sql.shuffle.partitions"] = str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    else:
+        settings |= {f"{state}.providerClass": ROCKS, f"{state}.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.join.stateFormatVersion": "3"}
+    with ExitStack() as own:
+        for name, value in settings.items():
+            own.enter_context(setting(spark, name, value))
         yield
 
 
@@ -117,10 +134,17 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2)
 FROM r, w WHERE coalesce(timely, false) OR called + INTERVAL 1 DAY < mark""")
 def stream_call_results(spark, sf_dir):
     """Line items as calls, and most of them again as results some hours later; those that come after a day, or never, are unanswered."""
-    rows = spark.readStream.schema(X.table(spark, sf_dir, "lineitem").schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+    path, table = place(spark, "calls"), X.table(spark, sf_dir, "lineitem").select(*CALL, "l_quantity")
+    with cleaned(spark):
+        rows, sliced = L.in_order(table, ["l_shipdate", "l_orderkey", "l_linenumber"], path)
+        a_day = table.groupBy("l_shipdate").count().agg(F.max("count")).first()[0] or 0  # state reaches back a day
     at = F.col("l_shipdate").cast("timestamp")
     calls = rows.select(*CALL, at.alias("called"))
     results = rows.filter("l_partkey % 17 <> 0").select(*CALL, F.timestamp_add("HOUR", F.col("l_linenumber") * 5, at).alias("answered"), F.col("l_quantity").alias("result"))
-    with on_disk(spark):
-        found = drained(spark, L.pair_results(calls, results, CALL), "append")
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("price"), F.to_date("called").cast("string").alias("day"), "result")
+    paired = L.pair_results(calls, results, CALL).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("price"), F.to_date("called").cast("string").alias("day"), "result"
+    )
+    with kept_short(spark, sliced and a_day <= L.AT_ONCE), cleaned(spark):
+        found = drained(spark, paired, "append")
+    dropped(spark, path)
+    return found

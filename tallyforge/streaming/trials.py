@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,6 +15,9 @@ from pyspark.sql.types import StructType
 
 from ..operators.toolworld import World
 
+#: Rows that a stream in order brings at a time, and the files that hold them.
+AT_ONCE, FILES = 500_000, 6
+
 
 def read_events(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Events as a stream of Parquet files; times are instants, which watermarks need."""
@@ -45,11 +49,34 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """All that is appended now, as Parquet files of a folder that all machines share: nothing of it passes through the driver."""
-    q = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    sink = df.writeStream.outputMode("append").format("parquet").option("path", path).option("compression", "zstd").option("checkpointLocation", checkpoint)
+    q = sink.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
+def in_order(rows: DataFrame, by: list[str], path: str, at_once: int = AT_ONCE) -> tuple[DataFrame, bool]:
+    """The rows as a stream that brings them in order of `by`, about `at_once` at a time, from a sorted copy in a folder that all machines share.
+
+    Tables that aren't in order of time can only be streamed as one batch: with more, the watermark would drop rows, and one batch has
+    all rows in its shuffles and its state. A stream takes files by their age, so the copy's files get times in their order; where the
+    file system doesn't keep these, the stream is one batch. Says too whether it comes in parts.
+    """
+    spark = rows.sparkSession
+    files = FILES * max(1, -(-rows.count() // at_once))
+    rows.repartitionByRange(files, *by).write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = sorted((f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda p: (int(p.getName().split("-")[1]), p.getName()))
+    first = int(time.time() * 1000) - 10 * len(parts)
+    for n, part in enumerate(parts):
+        fs.setTimes(part, first + 10 * n, -1)
+    times = {f.getPath().getName(): f.getModificationTime() for f in fs.listStatus(place)}
+    aged = [times[p.getName()] for p in parts]
+    sliced, stream = all(a < b for a, b in zip(aged, aged[1:], strict=False)), spark.readStream.schema(rows.schema)
+    return (stream.option("maxFilesPerTrigger", FILES) if sliced else stream).parquet(path), sliced
+
+
 def top_up(rows: DataFrame, lake: str, uid: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's trials to a lake of trials, each uid once, whether it came before in the stream or in an earlier run.
 
